@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("pii", "quality", "mixing", "html_extract", "lines", "decontam", "simhash")
+MODULES = ("pii", "quality", "mixing", "html_extract", "lines", "decontam", "substr", "simhash")
 
 
 def queries() -> dict:
