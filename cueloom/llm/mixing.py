@@ -105,7 +105,8 @@ def _running(df: DataFrame, by: list[str], bucket: str, order: list[Column], val
     before = totals.withColumn("_before", F.coalesce(F.sum("_sum").over(W.partitionBy(*by).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
     inside = F.coalesce(F.sum(value).over(W.partitionBy(*by, bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     ranked = df.withColumns({"_inside": inside, "_rank": F.row_number().over(W.partitionBy(*by, bucket).orderBy(*order))})
-    return ranked.join(before, [*by, bucket]).withColumn(name, F.col("_before") + F.col("_inside")).drop("_before", "_inside")
+    # Sizes of what Python makes are not known to the planner; without the hint it may broadcast them.
+    return ranked.join(before.hint("merge"), [*by, bucket]).withColumn(name, F.col("_before") + F.col("_inside")).drop("_before", "_inside")
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -188,7 +189,7 @@ def taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     if not plan.names:
         return rows.select("doc_id", "size", F.col("size").alias("source_size"), F.lit(0.0).alias("target"), F.col("size").alias("taken"))
     uses = slots(docs.sparkSession, plan).groupBy("src", "block").agg(F.count(F.lit(1)).alias("uses"))
-    met = pieces(rows, plan, most_docs).join(uses, ["src", "block"], "left")
+    met = pieces(rows, plan, most_docs).join(uses.hint("merge"), ["src", "block"], "left")
     summed = met.groupBy("src", "bucket", "_rank", "doc_id", "size", "source_size", "target").agg(F.sum(F.col("words") * F.coalesce("uses", F.lit(0))).alias("taken"))
     return summed.select("doc_id", "size", "source_size", "target", "taken")
 
@@ -203,7 +204,7 @@ def mixed_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     part = pieces(rows, plan, most_docs).filter("words > 0").join(words, "place").select("src", "block", "first", "from", F.slice("_words", (F.col("from") + 1).cast("int"), F.col("words").cast("int")).alias("w"))
     made = part.groupBy("src", "block").agg(F.sort_array(F.collect_list(F.struct("first", "from", "w"))).alias("p"))  # a block's pieces hold BLOCK words
     text = made.select("src", "block", F.array_join(F.flatten(F.transform("p", lambda x: x["w"])), " ").alias("text"))
-    return slots(docs.sparkSession, plan).join(text, ["src", "block"]).select("shard", "src", "use", "block", "text")
+    return slots(docs.sparkSession, plan).join(text.hint("merge"), ["src", "block"]).select("shard", "src", "use", "block", "text")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
