@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("pii", "quality", "mixing", "html_extract", "lines", "decontam", "substr", "simhash", "lm")
+MODULES = ("pii", "quality", "mixing", "chat", "html_extract", "lines", "decontam", "substr", "simhash", "lm")
 
 
 def queries() -> dict:

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
@@ -368,6 +369,16 @@ def _salted_join(fps: DataFrame, of: DataFrame) -> DataFrame:
     return salted.join(of.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["fp", "salt"]).select("doc_id", "fp", "component_id")
 
 
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """docs, all columns, with one document of each component: the one of the smallest id, of repeated rows one."""
+    found = near_duplicates(docs, id_col, text_col, **kw)
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\x00none"))
+    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key("doc_id").alias("_key")).distinct()
+    kept = docs.withColumn("_key", key(f"`{id_col}`")).join(keep, "_key", "left_semi")
+    # The join has dealt the rows by _key already; the window needs no further shuffle.
+    return kept.withColumn("_rank", F.row_number().over(W.partitionBy("_key").orderBy(F.xxhash64(F.col(f"`{text_col}`"))))).filter("_rank = 1").drop("_key", "_rank")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(common.table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
