@@ -43,10 +43,11 @@ _PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ATTR = re.compile(r"(?:^|[\s\"'])(class|id|role|style|hidden|aria-hidden)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
-#: How a token stands: in a bad part, in a good part, or neither; outside: in neither on a page with most of its words in good parts.
-NEUTRAL, GOOD, BAD, OUTSIDE = 0, 1, 2, 3
-#: A text in a bad part counts as so many words at most, so that a long advert doesn't cut an article in two.
-BAD_MOST = 8
+#: How a token stands: in a bad part, in a good part, or neither; outside: in neither on a page with most of its words in good
+#: parts; nested: in a bad part of a good one. Nested tokens score nothing, so that no advert cuts an article in two.
+NEUTRAL, GOOD, BAD, OUTSIDE, NESTED = 0, 1, 2, 3, 4
+#: A text in a bad part counts as so many words at most, for the same reason.
+BAD_MOST = 1
 
 
 def _judge(tag: str, attrs: str) -> int:
@@ -87,7 +88,8 @@ def tokens(page: str) -> list[tuple[str, str, int]]:
         good = [i for i, (_, s) in enumerate(stack) if s == GOOD]
         #: The title of an article often stands in its own header.
         in_article_header = len(bad) == 1 and stack[bad[0]][0] == "header" and bool(good) and good[0] < bad[0]
-        standing = BAD if bad and not (in_article_header and any(t in HEADINGS for t, _ in stack)) else GOOD if good else NEUTRAL
+        free = not bad or in_article_header and any(t in HEADINGS for t, _ in stack)
+        standing = (GOOD if good else NEUTRAL) if free else NESTED if good and good[0] < bad[0] else BAD
 
     while at < end:
         lt = page.find("<", at)
@@ -201,7 +203,7 @@ def weights(seed: int = 5, pages: int = 300) -> dict[str, float]:
         seq = tokens(page)
         hits = [i for i, (k, w, _) in enumerate(seq) if k in "wl" and set(w.split()) & content]
         for i, (k, w, s) in enumerate(seq):
-            if k == "/":
+            if k == "/" or s == NESTED:
                 continue
             n = len(w.split()) if k != "t" else 1
             side = inside if hits[0] <= i <= hits[-1] and (k == "t" or set(w.split()) & content) else outside
@@ -233,7 +235,7 @@ def extract(page: str | None, w: dict[str, float] | None = None) -> list[str]:
         return []
     w = w or weights()
     seq = tokens(page)
-    score = [0.0 if k == "/" else w.get(token_class(k, x, s), -0.5 if k == "t" else 0.5) * (1 if k == "t" else min(len(x.split()), BAD_MOST if s == BAD else 10**9)) for k, x, s in seq]
+    score = [0.0 if k == "/" or s == NESTED else w.get(token_class(k, x, s), -0.5 if k == "t" else 0.5) * (1 if k == "t" else min(len(x.split()), BAD_MOST if s == BAD else 10**9)) for k, x, s in seq]
     a, b = best_region(score)
     while a > 0 and seq[a - 1][0] not in "/t":  # whole blocks only
         a -= 1
@@ -252,7 +254,7 @@ def extract(page: str | None, w: dict[str, float] | None = None) -> list[str]:
         if kind == "/":
             close()
             in_list = what == "li"
-        elif kind in "wl" and standing != BAD:
+        elif kind in "wl" and standing not in (BAD, NESTED):
             said.append((kind, what))
     close()
     return blocks

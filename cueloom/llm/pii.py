@@ -109,7 +109,7 @@ def _iban_ok(s: str) -> bool:
 
 
 def features(text: str, start: int, end: int, kind: str) -> list[float]:
-    s, left, right = text[start:end], text[max(0, start - 40) : start], text[end : end + 12]
+    s, left, right = text[start:end], text[max(0, start - 24) : start], text[end : end + 12]
     digits = _NOT_DIGIT.sub("", s)
     groups = [len(x) for x in re.findall(r"[0-9]+", s)]
     low = s.lower()
@@ -165,7 +165,8 @@ def synthetic(seed: int = 20, examples: int = EXAMPLES) -> list[tuple[str, str,
 
     def mail() -> str:
         at, dot = r.choice([(" at ", " dot "), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" [at] ", "."), (" @ ", "."), ("(at)", ".")])
-        return f"{_word(r)}{r.choice(['.', '_', '', ''])}{r.randint(1, 99)}{at}{_word(r)}{dot}{tld()}"
+        local = _word(r) + r.choice(["", "", f"{r.choice('._')}{_word(r)}", str(r.randint(1, 99)), f".{r.randint(1, 99)}"])
+        return f"{local}{at}{_word(r)}{dot}{tld()}"
 
     def phone() -> str:
         p = sep()
@@ -221,6 +222,9 @@ def synthetic(seed: int = 20, examples: int = EXAMPLES) -> list[tuple[str, str,
             for _ in range(examples):
                 what, cue = make(), r.choice(cues)
                 head = " ".join(_word(r) for _ in range(r.randint(2, 6))) + (f" {cue}" if cue else "")
+                if r.random() < 0.35:  # another item with its own cue shortly before
+                    other, cues_of = r.choice(yes + no)
+                    head = f"{r.choice(cues_of)} {other()}{r.choice([', ', '; ', ' '])}{head if r.random() < 0.5 else r.choice(['on', 'und', 'et', 'y', 'the']) + (f' {cue}' if cue else '')}"
                 out.append((f"{head}{r.choice([' ', ': ', ' '])}{what}{r.choice([' ', ', ', '. '])}{_word(r)} {_word(r)}", what, personal))
     return out
 
@@ -241,7 +245,7 @@ def candidates(text: str) -> list[Span]:
 def trained() -> boosting.Boosted:
     x, y = [], []
     for text, what, personal in synthetic():
-        at = text.index(what)
+        at = text.rindex(what)
         for a, kind, b in candidates(text):
             if a < at + len(what) and at < b:
                 x.append(features(text, a, b, kind))
