@@ -141,7 +141,7 @@ def _window(model: Model, h: np.ndarray, x: np.ndarray, cls: np.ndarray, word: n
     return h, grad
 
 
-def score(model: Model, inputs: np.ndarray, cls: np.ndarray, word: np.ndarray, first: np.ndarray, window: int = 32, abreast: int = 2048) -> np.ndarray:
+def score(model: Model, inputs: np.ndarray, cls: np.ndarray, word: np.ndarray, first: np.ndarray, window: int = 32, abreast: int = 1024) -> np.ndarray:
     """The summed natural log-probability of each text; first: where each begins (one more than texts). Whole texts, read side by side from the longest; a text drops out at its end."""
     lengths = np.diff(first)
     out = np.zeros(len(lengths))

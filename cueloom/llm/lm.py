@@ -2,7 +2,7 @@
 
 Counts of all training tokens are one aggregation over word hashes. They give the base score, the frequent words, and the
 distribution within the classes of rare words, so what is learned from the corpus grows with it. The recurrent part is trained
-on a bounded sample of whole training documents (``SAMPLE_DOCS``, ``SAMPLE_TOKENS``; the first by a hash of the id).
+on a bounded sample of whole training documents, chosen by a hash (``SAMPLE_DOCS`` expected, ``SAMPLE_TOKENS`` at most).
 
 Scoring needs every token's count, and the vocabulary grows with the corpus, so it is not broadcast: documents are dealt to
 blocks of about ``BLOCK_TOKENS`` tokens, each block asks for the counts of its own distinct words by a join, and is scored
@@ -183,7 +183,10 @@ def learn(rows: DataFrame, counts: DataFrame) -> tuple[Vocabulary, gru.Model]:
     share = np.maximum(share, 0.5)
     unseen = (ones + 0.5) / (ones + 2 * twos + 1.0)
 
-    sample = rows.filter("not held").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).select("text").limit(SAMPLE_DOCS).collect()
+    # A share of the documents by a hash, SAMPLE_DOCS expected; no task sends more than its own part of them.
+    part = min(1.0, SAMPLE_DOCS / max(1, ends))
+    sample = rows.filter("not held").withColumn("place", F.xxhash64("doc_id", "text")).filter(F.pmod("place", F.lit(1 << 20)) < int(part * (1 << 20)) + 1).select("place", "text").collect()
+    sample.sort(key=lambda r: (r["place"], r["text"]))
     kept: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
     for r in sample:
@@ -240,40 +243,44 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 h = _hashes(ws.codes()[1].to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), b, np.int32)), pa.array(h)], names=["block", "h"])
 
-    wanted = dealt.select("block", "text").mapInArrow(ask, "block int, h long").distinct()
+    # All of dealt's columns go in, so that this and the cogroup below share one shuffle of the texts.
+    wanted = dealt.mapInArrow(ask, "block int, h long")
     answers = wanted.join(counts.select("h", "c").hint("merge"), "h").select("block", "h", "c")
     n, v = vocab.n, vocab.v
 
+    end = vocab.classes - 1
+
     def run(texts: pa.Table, answer: pa.Table) -> pa.Table:
-        ws = common.words_of(texts.column("text"), common.separators("space"), lower=True)
-        codes, distinct = ws.codes()
-        words = distinct.to_pylist()
-        h = _hashes(words)
         ah, ac = answer.column("h").to_numpy(), answer.column("c").to_numpy()
         by = np.argsort(ah)
-        c = np.zeros(len(h), np.int64)
-        if len(ah):
-            at = np.minimum(np.searchsorted(ah[by], h), len(ah) - 1)
-            c = np.where(ah[by][at] == h, ac[by][at], 0)
-        x, cls, col, within = vocab.read(h, spelling(words), c)
-        # The end follows each text's words.
-        docs_n = len(ws.first) - 1
-        first = ws.first + np.arange(docs_n + 1)
-        place = np.ones(ws.n + docs_n, bool)
-        place[first[1:] - 1] = False
-
-        def spread(of: np.ndarray, end: float, kind) -> np.ndarray:
-            out = np.full(ws.n + docs_n, end, kind)
-            out[place] = of[codes] if len(of) else 0
-            return out
-
-        count = spread(c, vocab.ends, np.int64)
-        base = np.add.reduceat(np.log10((count + 0.5) / (n + 0.5 * (v + 1))), first[:-1])
-        known = np.add.reduceat((count > 0).astype(np.int64), first[:-1])
-        share = np.add.reduceat(spread(within, 0.0, np.float64), first[:-1])
-        end = vocab.classes - 1
-        ln = gru.score(model, spread(x, len(vocab.frequent) + end, np.int64), spread(cls, end, np.int64), spread(col, -1, np.int64), first)
-        return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held"), "n_tokens": np.diff(first), "n_known": known, "train_tokens": np.full(docs_n, n), "base_score": base, "score": (ln + share) / LN10})
+        ah, ac = ah[by], ac[by]
+        parts = []
+        for t in common.chunks(iter(texts.select(["text"]).to_batches()), "text", TEXT_CHUNK // 2):
+            ws = common.words_of(t.column("text"), common.separators("space"), lower=True)
+            codes, distinct = ws.codes()
+            words = distinct.to_pylist()
+            h = _hashes(words)
+            c = np.zeros(len(h), np.int64)
+            if len(ah):
+                at = np.minimum(np.searchsorted(ah, h), len(ah) - 1)
+                c = np.where(ah[at] == h, ac[at], 0)
+            x, cls, col, within = vocab.read(h, spelling(words), c)
+            # The end follows each text's words.
+            first = ws.first + np.arange(t.num_rows + 1)
+            place = np.ones(ws.n + t.num_rows, bool)
+            place[first[1:] - 1] = False
+
+            def spread(of: np.ndarray, last: float, kind) -> np.ndarray:
+                out = np.full(len(place), last, kind)
+                out[place] = of[codes] if len(of) else 0
+                return out
+
+            base = spread(np.log10((c + 0.5) / (n + 0.5 * (v + 1))), np.log10((vocab.ends + 0.5) / (n + 0.5 * (v + 1))), np.float64)
+            sums = [np.add.reduceat(s, first[:-1]) for s in (base, spread(c > 0, vocab.ends > 0, np.int64), spread(within, 0.0, np.float64))]
+            parts.append((np.diff(first), *sums, *(spread(a, b, np.int32) for a, b in ((x, len(vocab.frequent) + end), (cls, end), (col, -1)))))
+        size, base, known, share, x, cls, col = (np.concatenate(p) for p in zip(*parts))
+        ln = gru.score(model, x, cls, col, np.r_[0, np.cumsum(size)])
+        return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held"), "n_tokens": size, "n_known": known, "train_tokens": np.full(len(size), n), "base_score": base, "score": (ln + share) / LN10})
 
     kind = docs.schema[id_col].dataType.simpleString()
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
