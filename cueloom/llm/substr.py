@@ -14,8 +14,8 @@ node of the suffix tree of all texts, so the tree is built in parts that fit in
 4. Marks return to the documents by a join on a hash of id and text; equal windows inside a document share their marks.
 
 Words are [^\\x20\\x09-\\x0D]+, unchanged. A null or empty text has no words. Ids are whole numbers; a null id counts as larger than any
-other, and no row as smaller than one of the same id, so repeated rows keep their words. Windows meet by the words themselves in
-step 3 and by 64-bit hashes in steps 1 and 4.
+other, and no row as smaller than one of the same id, so repeated rows keep their words. Trees compare words by a 64-bit hash of
+each word; steps 1 and 4 compare windows by a 64-bit hash of the window.
 """
 
 from __future__ import annotations
@@ -90,6 +90,12 @@ def _squeeze(raw: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(raw)
 
 
+def _unsqueezed_hashes(blob: bytes) -> np.ndarray:
+    """Hashes of the words of one chunk; the text itself is not kept."""
+    text = pa.array([zstandard.ZstdDecompressor().decompress(blob, max_output_size=1 << 31)], pa.large_binary())
+    return word_hashes(common.words_of(text, common.separators("space")))
+
+
 def _pack(*columns: np.ndarray) -> bytes:
     """Equally long columns of whole numbers, as differences, compressed."""
     a = np.stack([np.diff(np.asarray(c, np.int64), prepend=np.int64(0)) for c in columns]) if columns else np.zeros((0, 0), np.int64)
@@ -122,7 +128,7 @@ def bucketed(docs: DataFrame, buckets: int, window: int) -> DataFrame:
                 continue
             row = np.repeat(np.arange(t.num_rows), np.maximum(ws.counts - window + 1, 0))
             w = window_hashes(h, window)[starts]
-            by = np.lexsort((row, order[row], w))
+            by = np.lexsort((order[row], w))  # stable: equal ones stay by row
             sw, so, sr = w[by], order[row[by]], row[by]
             new = np.r_[True, sw[1:] != sw[:-1]]
             least = so[np.flatnonzero(new)[np.cumsum(new) - 1]]
@@ -245,19 +251,17 @@ def marks(rows: DataFrame, window: int, group: int = GROUP) -> DataFrame:
             if not segs:
                 continue
             key, owner, start, size = np.concatenate(segs, axis=1)
-            text = pa.array([b"".join(zstandard.ZstdDecompressor().decompress(x, max_output_size=1 << 31) for x in t.column("words").drop_null().to_pylist())], pa.large_binary())
-            ws = common.words_of(text, common.separators("space"))
-            codes, distinct = ws.codes()
+            h = np.concatenate([_unsqueezed_hashes(x) for x in t.column("words").drop_null().to_pylist()])
             begin = np.cumsum(size + window - 1) - (size + window - 1)
             starts = common.ranges(begin, size)
-            seg = np.repeat(np.arange(len(size)), size)
-            w = window_hashes(common.mix64(np.arange(1, len(distinct) + 1))[codes], window)[starts]
+            seg = np.repeat(np.arange(len(size), dtype=np.int32), size)
+            w = window_hashes(h, window)[starts]
             by = np.argsort(w, kind="stable")
             same = w[by][1:] == w[by][:-1]
             kept = np.sort(by[np.r_[False, same] | np.r_[same, False]])
             if not len(kept):
                 continue
-            late = kept[repeats(codes, starts[kept], owner[seg[kept]], window, group)]
+            late = kept[repeats(h, starts[kept], owner[seg[kept]], window, group)]
             if not len(late):
                 continue
             place = start[seg[late]] + starts[late] - begin[seg[late]]
