@@ -195,3 +195,35 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+_POWERS = 1 << 12
+
+
+def word_keys(ws: Words, at_once: int = 1 << 20) -> np.ndarray:
+    """A 64-bit hash of each word: a polynomial over its bytes, then scrambled; a bounded number of bytes at a time."""
+    out = np.zeros(ws.n, np.uint64)
+    base = np.uint64(0x9E3779B97F4A7C15)
+    table = np.cumprod(np.full(_POWERS, base, np.uint64))
+    a = 0
+    while a < ws.n:
+        b = max(a + 1, int(np.searchsorted(ws.at, ws.at[a] + at_once)) - 1)
+        d = ws.data[ws.at[a] : ws.at[b]].astype(np.uint64) + np.uint64(1)
+        start = ws.at[a:b] - ws.at[a]
+        place = np.arange(len(d)) - np.repeat(start, np.diff(ws.at[a : b + 1]))
+        powers = table[np.minimum(place, _POWERS - 1)]
+        far = place >= _POWERS
+        if far.any():  # words longer than the table
+            powers[far] = np.cumprod(np.full(int(place.max()) + 1, base, np.uint64))[place[far]]
+        out[a:b] = np.add.reduceat(d * powers, start)
+        a = b
+    return mix64(out)
+
+
+def deal(df: DataFrame, parts: int, by: str) -> DataFrame:
+    """Rows of number `by` to partition by % parts: even where there are few numbers to a partition, which hashing is not."""
+    return df.repartitionById(parts, F.pmod(F.col(by), F.lit(parts)).cast("int"))
+
+
+#: Shuffles that carry whole texts get so many partitions for each one that the session sets, so that what a task fetches at once is small.
+TEXT_PARTS = 4

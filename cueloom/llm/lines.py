@@ -78,7 +78,9 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text_col}`").alias("_text"), F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("row_key")
     )
     none = F.array().cast("array<bigint>")
-    joined = rows.join(cut, "row_key", "left").select("_row", "_text", F.coalesce("cut", none).alias("cut"))
+    parts = common.TEXT_PARTS * common.shuffle_width(docs.sparkSession)
+    met = rows.repartition(parts, "row_key").join(cut.repartition(parts, "row_key").hint("merge"), "row_key", "left")
+    joined = met.select("_row", "_text", F.coalesce("cut", none).alias("cut"))
 
     def parts(ls: Column) -> Column:
         said = F.filter(ls, lambda x: ~_blank(x))
