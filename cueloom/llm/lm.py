@@ -28,7 +28,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, gru
-from .substr import word_hashes
 
 FOLDS, HELD_FOLD = 5, 1
 FREQUENT, WORD_CLASSES, HIDDEN = 1024, 24, 32
@@ -193,7 +192,8 @@ def learn(rows: DataFrame, counts: DataFrame) -> tuple[Vocabulary, gru.Model]:
         ws = common.words_of(pa.array([r["text"]], pa.string()), common.separators("space"), lower=True)
         if size and size + ws.n > SAMPLE_TOKENS:
             continue
-        kept.append((word_hashes(ws).view(np.int64), spelling(ws.strings().to_pylist())))
+        words = ws.strings().to_pylist()
+        kept.append((_hashes(words), spelling(words)))
         size += ws.n + 1
     distinct = np.unique(np.concatenate([k[0] for k in kept])) if kept else np.zeros(0, np.int64)
     asked = spark.createDataFrame(pa.table({"h": distinct})) if len(distinct) else None

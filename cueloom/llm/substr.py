@@ -25,7 +25,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,12 +52,6 @@ def window_hashes(word_hash: np.ndarray, window: int) -> np.ndarray:
     return h
 
 
-def word_hashes(ws: common.Words) -> np.ndarray:
-    codes, distinct = ws.codes()
-    digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(w) for w in distinct.to_pylist()), np.uint64, len(distinct))[codes] if ws.n else np.zeros(0, np.uint64)
-
-
 def seeds(h: np.ndarray, lengths: np.ndarray, window: int) -> np.ndarray:
     """For each window start the smallest hash of its word triples."""
     n = len(h) - SEED_WORDS + 1
@@ -93,7 +86,7 @@ def _squeeze(raw: bytes) -> bytes:
 def _unsqueezed_hashes(blob: bytes) -> np.ndarray:
     """Hashes of the words of one chunk; the text itself is not kept."""
     text = pa.array([zstandard.ZstdDecompressor().decompress(blob, max_output_size=1 << 31)], pa.large_binary())
-    return word_hashes(common.words_of(text, common.separators("space")))
+    return common.word_keys(common.words_of(text, common.separators("space")))
 
 
 def _pack(*columns: np.ndarray) -> bytes:
@@ -122,7 +115,7 @@ def bucketed(docs: DataFrame, buckets: int, window: int) -> DataFrame:
             ws = common.words_of(t.column("text"), common.separators("space"))
             if ws.n < window:
                 continue
-            h = word_hashes(ws)
+            h = common.word_keys(ws)
             starts = common.ranges(ws.first[:-1], np.maximum(ws.counts - window + 1, 0))
             if not len(starts):
                 continue
@@ -157,13 +150,13 @@ def bucketed(docs: DataFrame, buckets: int, window: int) -> DataFrame:
             gone = _pack(keys[d_row], d_start - ws.first[d_row], d_size) if len(d_row) else None
             cuts = np.flatnonzero(np.r_[True, b[1:] != b[:-1], True]) if len(b) else np.zeros(1, np.int64)
             out: dict[str, list] = {n: [] for n in _BUCKETED.names}
-            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            bearer = int(keys[0]) % max(1, len(cuts) - 1)  # the bucket that takes the decided ones along, another for each chunk
+            for k, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
                 out["bucket"].append(int(b[x]))
                 out["segments"].append(_pack(keys[r[x:y]], order[r[x:y]], s[x:y] - ws.first[r[x:y]], size[x:y]))
                 out["words"].append(_squeeze(b"".join([raw[p:q] for p, q in zip(begin[x:y], end[x:y])])))
-                out["decided"].append(gone)
-                gone = None
-            if gone is not None:
+                out["decided"].append(gone if k == bearer else None)
+            if gone is not None and len(cuts) < 2:
                 for n, v in zip(_BUCKETED.names, (int(keys[0]) % buckets, None, None, gone)):
                     out[n].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=_BUCKETED)
@@ -269,7 +262,7 @@ def marks(rows: DataFrame, window: int, group: int = GROUP) -> DataFrame:
             yield from _marks(key[seg[late]][first], place[first], n)
 
     width = common.shuffle_width(rows.sparkSession)
-    return rows.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "row_key long, at array<int>, n array<int>")
+    return common.deal(rows, width, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "row_key long, at array<int>, n array<int>")
 
 
 def _kept_words(texts: pa.Array, at: list, n: list, window: int) -> tuple[common.Words, np.ndarray]:
@@ -278,7 +271,7 @@ def _kept_words(texts: pa.Array, at: list, n: list, window: int) -> tuple[common
     gone = np.zeros(ws.n + 1, np.int32)
     marked = [i for i, x in enumerate(at) if x is not None and len(x)]
     if marked:
-        h = word_hashes(ws)
+        h = common.word_keys(ws)
         for i in marked:
             a, b = int(ws.first[i]), int(ws.first[i + 1])
             w = window_hashes(h[a:b], window)
@@ -310,7 +303,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             removed = np.diff(np.r_[0, np.cumsum(~stays)][ws.first])
             yield pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks(), pa.array(ws.counts), pa.array(removed.astype(np.int64)), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    return rows.join(own, "row_key", "left").select("doc_id", "text", "at", "n").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    parts = common.TEXT_PARTS * common.shuffle_width(spark)
+    met = rows.repartition(parts, "row_key").join(own.repartition(parts, "row_key").hint("merge"), "row_key", "left")
+    return met.select("doc_id", "text", "at", "n").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def digest(found: DataFrame) -> DataFrame:
