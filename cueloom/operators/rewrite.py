@@ -50,7 +50,7 @@ def clamp(ws: DataFrame) -> DataFrame:
     """
     w = W.partitionBy("job_id").orderBy("seg", "pos")
     numbered = ws.filter(F.trim("w") != "").withColumn("_i", F.row_number().over(w).cast("long"))
-    top = F.max(F.greatest("end_ms", F.col("start_ms") + 1) - F.col("_i")).over(w.rowsBetween(W.unboundedPreceding, 0)) + F.col("_i")
+    top = F.greatest(F.max(F.greatest("end_ms", F.col("start_ms") + 1) - F.col("_i")).over(w.rowsBetween(W.unboundedPreceding, 0)), F.lit(0).cast("long")) + F.col("_i")
     ended = numbered.withColumn("_end", top)
     start = F.greatest("start_ms", F.coalesce(F.lag("_end").over(w), F.lit(0).cast("long")))
     out = ended.withColumn("_start", start).withColumn("clamped", (F.col("_start") != F.col("start_ms")) | (F.col("_end") != F.col("end_ms")))

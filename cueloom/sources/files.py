@@ -134,7 +134,8 @@ def split_media(media: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame
 
 def write_subtitles(rendered: DataFrame, path: str) -> None:
     """rendered (job_id, text): one file a job, under job_id=..."""
-    rendered.select("job_id", F.col("text").alias("value")).repartition("job_id").write.mode("overwrite").partitionBy("job_id").option("lineSep", "").text(path)
+    body = F.expr("if(endswith(text, '\n'), substring(text, 1, length(text) - 1), text)")  # the writer ends the row with a line feed
+    rendered.select("job_id", body.alias("value")).repartition("job_id").write.mode("overwrite").partitionBy("job_id").text(path)
 
 
 # --- timelines ------------------------------------------------------------------------------------------------------------
