@@ -125,6 +125,15 @@ def words_of(texts: pa.Array, sep: np.ndarray, lower: bool = False) -> Words:
     return Words(raw[word], starts, np.searchsorted(begin, at).astype(np.int64), begin, end)
 
 
+def spaced(data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Words that stand end to end in data, with one space after each."""
+    out = np.full(len(data) + len(lengths), 32, np.uint8)
+    own = np.ones(len(out), bool)
+    own[np.cumsum(lengths + 1) - 1] = False
+    out[own] = data
+    return out
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """starts[i], starts[i]+1, ... for lengths[i] each, end to end."""
     lengths = np.asarray(lengths, np.int64)

@@ -50,9 +50,7 @@ def fingerprints_of(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     # The words of all texts with one space after each: a shingle is a slice of it.
     lengths = np.diff(ws.at)
     at = ws.at[:-1] + np.arange(ws.n)
-    spaced = np.full(len(ws.data) + ws.n, 32, np.uint8)
-    spaced[common.ranges(at, lengths)] = ws.data
-    raw = spaced.tobytes()
+    raw = common.spaced(ws.data, lengths).tobytes()
     counts = ws.counts
     shingles = np.where(counts >= shingle, counts - shingle + 1, np.minimum(counts, 1))
     first = common.ranges(ws.first[:-1], shingles)

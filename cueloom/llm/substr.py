@@ -5,7 +5,7 @@ node of the suffix tree of all texts, so the tree is built in parts that fit in
 
 1. Each task takes its documents in chunks. Where a chunk holds a window several times, the window's smallest document is the
    only one still open; the others are decided at once, and the window travels once, however common it is.
-2. Open windows go to buckets by the smallest hash of the word triples in them. Neighbouring windows mostly share it, so a bucket
+2. Open windows go to buckets by the smallest hash of the word pairs in them. Neighbouring windows mostly share it, so a bucket
    gets runs of words rather than one copy of the words for each suffix; this only chooses who builds which tree.
 3. In a bucket, suffixes whose window hash occurs once cannot have a deep node and are left out. The others are split by prefixes
    of as many words as it takes to get groups of at most ``GROUP`` suffixes (small prefixes share a group). Each group becomes a
@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW = 13
-SEED_WORDS = 3
-#: A triple of fewer bytes is taken for a bucket only where a window has no longer one: short words are common.
-SEED_BYTES = 14
+SEED_WORDS = 2
+#: A pair of fewer bytes is taken for a bucket only where a window has no longer one: short words are common.
+SEED_BYTES = 9
 GROUP = 1 << 16
 TEXT_CHUNK = 8 << 20
 NO_ID = np.iinfo(np.int64).max
@@ -53,7 +53,7 @@ def window_hashes(word_hash: np.ndarray, window: int) -> np.ndarray:
 
 
 def seeds(h: np.ndarray, lengths: np.ndarray, window: int) -> np.ndarray:
-    """For each window start the smallest hash of its word triples."""
+    """For each window start the smallest hash of its word pairs."""
     n = len(h) - SEED_WORDS + 1
     t, size = np.zeros(n, np.uint64), np.zeros(n, np.int64)
     for j in range(SEED_WORDS):
@@ -80,7 +80,7 @@ def _runs(starts: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _squeeze(raw: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(raw)
+    return zstandard.ZstdCompressor(level=5).compress(raw)
 
 
 def _unsqueezed_hashes(blob: bytes) -> np.ndarray:
@@ -138,9 +138,7 @@ def bucketed(docs: DataFrame, buckets: int, window: int) -> DataFrame:
             first, size = _runs(o_start, o_row, bucket)
             # The words with one space after each: a run of words is a slice of it.
             at = ws.at + np.arange(ws.n + 1)
-            spaced = np.full(len(ws.data) + ws.n, 32, np.uint8)
-            spaced[common.ranges(at[:-1], np.diff(ws.at))] = ws.data
-            raw = spaced.tobytes()
+            raw = common.spaced(ws.data, np.diff(ws.at)).tobytes()
             own = np.argsort(bucket[first], kind="stable")
             first, size = first[own], size[own]
             b, r, s = bucket[first], o_row[first], o_start[first]
@@ -294,11 +292,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             ws, stays = _kept_words(t.column("text"), t.column("at").to_pylist(), t.column("n").to_pylist(), window)
             lengths = np.diff(ws.at)
             kept_len = np.where(stays, lengths + 1, 0)
-            to = np.cumsum(kept_len) - kept_len
-            spaced = np.full(int(kept_len.sum()), 32, np.uint8)
-            spaced[common.ranges(to[stays], lengths[stays])] = ws.data[np.repeat(stays, lengths)]
             ends = np.r_[0, np.cumsum(kept_len)][ws.first]
-            raw = spaced.tobytes()
+            raw = common.spaced(ws.data[np.repeat(stays, lengths)], lengths[stays]).tobytes()
             kept = [raw[a : b - 1] if b > a else b"" for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
             removed = np.diff(np.r_[0, np.cumsum(~stays)][ws.first])
             yield pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks(), pa.array(ws.counts), pa.array(removed.astype(np.int64)), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
