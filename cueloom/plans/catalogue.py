@@ -12,6 +12,8 @@ from ..functions import text as T
 from ..operators import align, breaks, contract, display, glossary, guards, history, metrics, rewrite, segmenter, spans
 from ..profiles import LATIN, CardLimits, CorrectionLimits
 from ..sources import words as S
+from ..storage import kept
+from . import scoring, stages
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -497,6 +499,7 @@ def rule_breakdown(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def edit_reason_counts(spark: SparkSession, d: str) -> DataFrame:
     ws = words(spark, d)
+    ws = kept(ws)
     edits = glossary.apply(ws, *lists(spark), P)[1].unionByName(align.resolve(ws, S.second_opinion(ws), lexicon(spark, d), P)[1])
     return metrics.edit_counts(edits)
 
@@ -603,3 +606,29 @@ def cut_list_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     ws = words(spark, d)
     items = ws.filter("pos = 0").select("job_id", F.lit(1).alias("track"), F.col("start_ms").alias("timeline_start_ms"), (F.col("end_ms") - F.col("start_ms")).alias("duration_ms"), F.concat(F.lit("clip"), F.col("seg").cast("string")).alias("path"), F.lit(0).alias("source_in_ms"))
     return history.fingerprint(items)
+
+
+def _staged(spark: SparkSession, d: str) -> stages.Result:
+    ws = kept(words(spark, d))
+    return stages.run(S.broken(S.fragmented(ws)), *lists(spark), P, second=S.second_opinion(ws), lexicon=lexicon(spark, d), onset=onset(ws), close_ms=60)
+
+
+@query()
+def staged_subtitles(spark: SparkSession, d: str) -> DataFrame:
+    return _staged(spark, d).subtitles(with_timing=True)
+
+
+@query("SELECT conv_id AS job_id, '' AS path, '' AS problem FROM conversations WHERE false")
+def staged_violations(spark: SparkSession, d: str) -> DataFrame:
+    """What all stages together break of the contract: nothing."""
+    return _staged(spark, d).violations
+
+
+@query()
+def bench_table(spark: SparkSession, d: str) -> DataFrame:
+    ws = kept(words(spark, d))
+    cards = kept(segmenter.cards(ws, P))
+    terms = spark.createDataFrame([(t,) for t in ENTITY], "term string")
+    starts = simple_cards(ws, 2).select("job_id", F.col("start_ms").alias("t"))
+    jobs = ws.select("job_id").distinct().withColumn("failure_reason", F.when(F.col("job_id") % 7 == 3, "no audio"))
+    return scoring.table(jobs, scoring.scores(kept(_texts(spark, d)), cards, starts, segmenter.card_warnings(cards, ws, P), terms, P))

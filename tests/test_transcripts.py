@@ -525,3 +525,61 @@ def test_broadcasts_and_pushdown(spark):
     assert "ReadSchema: struct<text:string>" in plan
     near = spans.near(*(spark.createDataFrame([(1, 5)], "job_id long, t long") for _ in range(2)), ["job_id"], 120)
     assert "NestedLoop" not in near._jdf.queryExecution().executedPlan().toString()
+
+
+# --- stages and scoring ---------------------------------------------------------------------------------------------------
+
+
+def test_stages_end_to_end(spark, tmp_path):
+    from cueloom.plans import stages
+
+    mappings, terms = lists(spark, tmp_path, GLOSSARY)
+    raw = words(spark, ["היום", "האימא", "אמרה", "75", ",000", "שלום.", "אז", "נלך"]).withColumn("start_ms", F.when(F.col("pos") == 2, 100).otherwise(F.col("start_ms"))).drop("wid")
+    got = stages.run(raw, mappings, terms, HEBREW, close_ms=200)
+    assert got.violations.count() == 0 and col(got.words, "w", "wid") == ["היום", "האמא", "אמרה", "75,000", "שלום.", "אז", "נלך"]
+    assert [(e.before, e.after) for e in got.edits.collect()] == [("האימא", "האמא")] and "timing_clamped" in {w.code for w in got.warnings.collect()}
+    assert got.subtitles(with_timing=False).first().text.startswith("1\n00:00:00,000 --> ") and got.report().first().cards == got.cards.count()
+
+
+def test_engines_by_name(spark, tmp_path):
+    from cueloom.sources import engines
+
+    words(spark, "a b").write.parquet(str(tmp_path / "w"))
+    assert engines.get("table")(spark, str(tmp_path / "w")).count() == 2
+    doc = dict(engine="e", version="1", language="he", duration=1.0, segments=[dict(start=0.0, end=1.0, text="a", words=[dict(w="a", start=0.25, end=1.0, conf=None)])])
+    (tmp_path / "raw.json").write_text(json.dumps(doc))
+    assert engines.get("documents")(spark, str(tmp_path / "raw.json")).first().start_ms == 250
+    with pytest.raises(KeyError):
+        engines.get("nothing")
+
+
+def test_candidates_become_proposals(spark):
+    rows = [(1, 0, 1, "abc", "abd", 0.01, 0.001), (1, 0, 1, "abc", "abe", 0.02, 0.001), (1, 0, 2, "abc", "abd", 0.001, 0.0), (1, 0, 3, "abc", "abd", 0.03, 0.02), (1, 0, 4, "ab", "ac", 0.9, 0.0)]
+    got = guards.candidates_to_proposals(spark.createDataFrame(rows, "job_id long, seg int, wid long, heard string, candidate string, p double, p_heard double")).collect()
+    assert [(g.wid, g.replacement) for g in got] == [(1, "abe")]
+
+
+def test_bench_table_columns(spark):
+    from cueloom.plans import catalogue
+
+    rows = catalogue.Q["bench_table"](spark, "/root/testdata/sf0.001").collect()
+    failed = [r for r in rows if r.status == "failed"]
+    assert failed and all(r.wer is None and r.cards is None and r.warn_cps_exceeded is None for r in failed)
+    ok = [r for r in rows if r.status == "ok"]
+    assert all(0 < r.wer < 0.2 and r.cards > 0 and r.warn_cps_exceeded is not None and 0 <= r.boundary_f1 <= 1 for r in ok)
+
+
+def test_queries_match_their_oracles(spark):
+    import duckdb
+
+    from cueloom.plans import catalogue
+
+    con = duckdb.connect()
+    for t in ("conversations", "documents", "events"):
+        con.execute(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
+    plain = lambda v: "null" if v is None or v != v else f"{v:.6g}" if isinstance(v, float) else str(v.item() if hasattr(v, "item") else v)
+    for name, sql in catalogue.SQL.items():
+        mine, theirs = catalogue.Q[name](spark, "/root/testdata/sf0.001").toPandas(), con.execute(sql).df()
+        assert sorted(mine.columns) == sorted(theirs.columns), name
+        rows = lambda d: sorted(tuple(plain(v) for v in r) for r in d[sorted(mine.columns)].itertuples(index=False))
+        assert rows(mine) == rows(theirs), name
