@@ -173,3 +173,8 @@ def rewrite_first(c: Column, rules: list[tuple[str, str]]) -> Column:
         hit = F.regexp_replace(c, pattern, replacement)
         out = F.when(c.rlike(pattern), hit) if out is None else out.when(c.rlike(pattern), hit)
     return c if out is None else out.otherwise(c)
+
+
+def folder_name(project: Column, timeline: Column) -> Column:
+    """One folder for a timeline of a project."""
+    return F.concat_ws("__", slug(project), slug(timeline))

@@ -93,3 +93,16 @@ def choose_track(tracks: DataFrame, ours: DataFrame, least: float = 0.5) -> Data
     share = shared.join(F.broadcast(total), F.lit(True)).withColumn("share", F.col("shared") / F.col("total"))  # one row
     ranked = share.withColumn("r", F.row_number().over(W.orderBy(F.desc("share"), "track")))
     return ranked.filter((F.col("r") == 1) & (F.col("share") >= least)).select("track", "share")
+
+
+def harvest_corrections(items: DataFrame, ours: DataFrame, lexicon: DataFrame, p: LanguageProfile) -> DataFrame:
+    """items (track, text) of a corrected timeline, ours (text) -> status (learned, no_match, no_srt) and, for learned, the word: a row a new word, or one row that says why there is none."""
+    mine = learn_words(ours, p)
+    runs = F.regexp_extract_all(T.for_diff(F.col("text"), p), F.lit(f"[{p.letters}]+"), 0)
+    tracks = items.select("track", F.explode(runs).alias("word")).filter(F.length("word") > 1).distinct()
+    chosen = choose_track(tracks, mine)
+    new = harvest(tracks.join(chosen.select("track"), "track", "left_semi").select("word"), mine, lexicon).select(F.lit("learned").alias("status"), "word")
+    state = items.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(chosen.agg(F.count(F.lit(1)).alias("c"))), F.lit(True))  # one row each
+    why = F.when(F.col("n") == 0, "no_srt").when(F.col("c") == 0, "no_match")
+    none = state.select(why.alias("status"), F.lit(None).cast("string").alias("word")).filter("status is not null")
+    return new.unionByName(none)

@@ -96,11 +96,32 @@ def read_glossary(spark: SparkSession, path: str, p: LanguageProfile) -> tuple[D
     return mappings, terms
 
 
-def read_terms(spark: SparkSession, path: str) -> DataFrame:
-    """(ord, term): right sides and terms, each at its first place."""
+def _there(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def read_terms(spark: SparkSession, path: str, missing_ok: bool = False) -> DataFrame:
+    """(ord, term): right sides and terms, each at its first place; no terms where the file is missing and may be."""
+    if missing_ok and not _there(spark, path):
+        return spark.createDataFrame([], "ord int, term string")
     return glossary_lines(read_lines(spark, path)).filter("kind <> 'error'").groupBy(F.col("right").alias("term")).agg(F.min("ord").alias("ord")).select("ord", "term")
 
 
+def read_lexicon(spark: SparkSession, path: str, p: LanguageProfile) -> DataFrame:
+    """(word): the letter runs of a user's word list; none where it is missing."""
+    from ..operators.glossary import learn_words
+
+    if not _there(spark, path):
+        return spark.createDataFrame([], "word string")
+    return learn_words(spark.read.text(path).select(F.col("value").alias("text")), p)
+
+
+def vocabulary_words(pieces: DataFrame, p: LanguageProfile) -> DataFrame:
+    """pieces (piece) of a model's vocabulary -> (word): those that are whole words of the language, folded."""
+    return pieces.filter(F.col("piece").rlike(f"^[{p.letters}]+$") & (F.length("piece") > 1)).select(T.for_diff(F.col("piece"), p).alias("word")).distinct()
+
+
 # --- subtitles ------------------------------------------------------------------------------------------------------------
 
 HEADER = r"(\d+):(\d{2}):(\d{2})[,.](\d{3})\s*-->\s*(\d+):(\d{2}):(\d{2})[,.](\d{3})"

@@ -193,6 +193,26 @@ def test_harvest_and_track(spark):
     assert glossary.choose_track(tracks, w("x", "y", "z", "a", "q")).count() == 0
 
 
+def test_harvest_corrections(spark):
+    t = lambda *x: spark.createDataFrame([(i, y) for i, y in enumerate(x, 1)], "track int, text string")
+    ours, lex = spark.createDataFrame([("שלום עולם גדול",)], "text string"), spark.createDataFrame([("בית",)], "word string")
+    got = glossary.harvest_corrections(t("שלום", "שלום עולם בית חדש"), ours, lex, HEBREW).collect()
+    assert [(g.status, g.word) for g in got] == [("learned", "חדש")]
+    assert [(g.status, g.word) for g in glossary.harvest_corrections(t("אחר לגמרי"), ours, lex, HEBREW).collect()] == [("no_match", None)]
+    assert [g.status for g in glossary.harvest_corrections(t("x").limit(0), ours, lex, HEBREW).collect()] == ["no_srt"]
+
+
+def test_word_lists_that_may_be_missing(spark, tmp_path):
+    assert files.read_terms(spark, str(tmp_path / "none"), missing_ok=True).count() == 0 and files.read_lexicon(spark, str(tmp_path / "none"), HEBREW).count() == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        files.read_terms(spark, str(tmp_path / "none")).count()
+    (tmp_path / "lex.txt").write_text("שלום\nעולם, בית\n", encoding="utf-8")
+    assert files.read_lexicon(spark, str(tmp_path / "lex.txt"), HEBREW).count() == 3
+    pieces = spark.createDataFrame([("שלום",), ("##ים",), ("a",), ("א",)], "piece string")
+    assert [r.word for r in files.vocabulary_words(pieces, HEBREW).collect()] == ["שלומ"]
+    assert one(spark, T.folder_name(F.lit("A b"), F.lit("c/d"))) == "A_b__c_d"
+
+
 # --- cards ----------------------------------------------------------------------------------------------------------------
 
 SPEECH = "היום נדבר על בית כנסת גדול, ואחר כך נלך אל הים עם 20 אחוז הנחה."
