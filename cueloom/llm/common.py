@@ -209,17 +209,22 @@ def mix64(x: np.ndarray) -> np.ndarray:
 _POWERS = 1 << 12
 
 
-def word_keys(ws: Words, at_once: int = 1 << 20) -> np.ndarray:
-    """A 64-bit hash of each word: a polynomial over its bytes, then scrambled; a bounded number of bytes at a time."""
-    out = np.zeros(ws.n, np.uint64)
+def word_keys(ws: Words) -> np.ndarray:
+    return keys_of(ws.data, ws.at)
+
+
+def keys_of(data: np.ndarray, at: np.ndarray, at_once: int = 1 << 20) -> np.ndarray:
+    """A 64-bit hash of each word, none of them empty: a polynomial over its bytes, then scrambled; a bounded number of bytes at a time. at: where each begins in data, and the end."""
+    n = len(at) - 1
+    out = np.zeros(n, np.uint64)
     base = np.uint64(0x9E3779B97F4A7C15)
     table = np.cumprod(np.full(_POWERS, base, np.uint64))
     a = 0
-    while a < ws.n:
-        b = max(a + 1, int(np.searchsorted(ws.at, ws.at[a] + at_once)) - 1)
-        d = ws.data[ws.at[a] : ws.at[b]].astype(np.uint64) + np.uint64(1)
-        start = ws.at[a:b] - ws.at[a]
-        place = np.arange(len(d)) - np.repeat(start, np.diff(ws.at[a : b + 1]))
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(at, at[a] + at_once)) - 1)
+        d = data[at[a] : at[b]].astype(np.uint64) + np.uint64(1)
+        start = at[a:b] - at[a]
+        place = np.arange(len(d)) - np.repeat(start, np.diff(at[a : b + 1]))
         powers = table[np.minimum(place, _POWERS - 1)]
         far = place >= _POWERS
         if far.any():  # words longer than the table

@@ -38,19 +38,30 @@ BINS = (2, 4, 8, 32, 128)
 SPELLINGS = 12
 LN10 = float(np.log(10.0))
 
-_GERMAN = tuple(c.encode() for c in "äöüß")
-_SPANISH = tuple(c.encode() for c in "ñáíó")
-
-
-def spelling(words: list[bytes]) -> np.ndarray:
-    """What a word looks like: the accents in it (4 sorts) and what it ends with (3 sorts)."""
-    out = np.zeros(len(words), np.int64)
-    for i, w in enumerate(words):
-        accent = 0 if w.isascii() else 1 if any(c in w for c in _GERMAN) else 2 if any(c in w for c in _SPANISH) else 3
-        last = w[-1]
-        end = 0 if last >= 128 or 97 <= last <= 122 or 48 <= last <= 57 else 1 if last in b".,;:!?" else 2
-        out[i] = 3 * accent + end
-    return out
+#: Second bytes of the letters, after 0xC3 in UTF-8.
+_GERMAN = [c.encode()[1] for c in "äöüß"]
+_SPANISH = [c.encode()[1] for c in "ñáíó"]
+
+
+def spelling(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """What each word looks like: the accents in it (4 sorts) and what it ends with (3 sorts). Words stand end to end in data."""
+    if len(at) < 2:
+        return np.zeros(0, np.int64)
+    wide = data >= 128
+    after = np.zeros(len(data), bool)
+    after[1:] = data[:-1] == 0xC3
+    any_of = lambda mask: np.logical_or.reduceat(mask, at[:-1])
+    accent = np.where(~any_of(wide), 0, np.where(any_of(after & np.isin(data, _GERMAN)), 1, np.where(any_of(after & np.isin(data, _SPANISH)), 2, 3)))
+    last = data[at[1:] - 1]
+    plain = (last >= 128) | ((last >= 97) & (last <= 122)) | ((last >= 48) & (last <= 57))
+    end = np.where(plain, 0, np.where(np.isin(last, list(b".,;:!?")), 1, 2))
+    return 3 * accent + end
+
+
+def _looks(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and spelling of distinct words."""
+    data, at = common.text_bytes(distinct)
+    return common.keys_of(data, at).view(np.int64), spelling(data, at)
 
 
 def bin_of(count: np.ndarray) -> np.ndarray:
@@ -72,21 +83,13 @@ def word_counts(rows: DataFrame) -> DataFrame:
             codes, distinct = ws.codes()
             train = np.repeat(~t.column("held").to_numpy(zero_copy_only=False).astype(bool), ws.counts)
             c = np.bincount(codes[train], minlength=len(distinct))
-            words = distinct.to_pylist()
             some = np.flatnonzero(c)
-            h = _hashes([words[i] for i in some])
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(spelling([words[i] for i in some]).astype(np.int32)), pa.array(c[some])], names=["h", "spelling", "c"])
+            h, look = _looks(distinct)
+            yield pa.RecordBatch.from_arrays([pa.array(h[some]), pa.array(look[some].astype(np.int32)), pa.array(c[some])], names=["h", "spelling", "c"])
 
     return rows.filter("not held").select("held", "text").mapInArrow(run, "h long, spelling int, c long").groupBy("h").agg(F.max("spelling").alias("spelling"), F.sum("c").alias("c"))
 
 
-def _hashes(words: list[bytes]) -> np.ndarray:
-    import xxhash
-
-    digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(w) for w in words), np.uint64, len(words)).view(np.int64)
-
-
 @dataclass
 class Vocabulary:
     """Fixed-size knowledge of the counts. frequent: sorted hashes; word_class and word_column: of each; rare: logarithms of what a rare class shares out."""
@@ -192,8 +195,7 @@ def learn(rows: DataFrame, counts: DataFrame) -> tuple[Vocabulary, gru.Model]:
         ws = common.words_of(pa.array([r["text"]], pa.string()), common.separators("space"), lower=True)
         if size and size + ws.n > SAMPLE_TOKENS:
             continue
-        words = ws.strings().to_pylist()
-        kept.append((_hashes(words), spelling(words)))
+        kept.append((common.word_keys(ws).view(np.int64), spelling(ws.data, ws.at)))
         size += ws.n + 1
     distinct = np.unique(np.concatenate([k[0] for k in kept])) if kept else np.zeros(0, np.int64)
     asked = spark.createDataFrame(pa.table({"h": distinct})) if len(distinct) else None
@@ -236,12 +238,15 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(width, "block")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted: dict[int, np.ndarray] = {}  # a few blocks' distinct words
         for t in common.chunks(batches, "text", TEXT_CHUNK):
             of = t.column("block").to_numpy()
             for b in np.unique(of):
                 ws = common.words_of(t.column("text").filter(pa.array(of == b)), common.separators("space"), lower=True)
-                h = _hashes(ws.codes()[1].to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), b, np.int32)), pa.array(h)], names=["block", "h"])
+                h = np.unique(common.word_keys(ws)).view(np.int64)
+                wanted[int(b)] = np.union1d(wanted[int(b)], h) if int(b) in wanted else h
+        for b, h in wanted.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), b, np.int32)), pa.array(h)], names=["block", "h"])
 
     # All of dealt's columns go in, so that this and the cogroup below share one shuffle of the texts.
     wanted = dealt.mapInArrow(ask, "block int, h long")
@@ -258,13 +263,12 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         for t in common.chunks(iter(texts.select(["text"]).to_batches()), "text", TEXT_CHUNK // 2):
             ws = common.words_of(t.column("text"), common.separators("space"), lower=True)
             codes, distinct = ws.codes()
-            words = distinct.to_pylist()
-            h = _hashes(words)
+            h, look = _looks(distinct)
             c = np.zeros(len(h), np.int64)
             if len(ah):
                 at = np.minimum(np.searchsorted(ah, h), len(ah) - 1)
                 c = np.where(ah[at] == h, ac[at], 0)
-            x, cls, col, within = vocab.read(h, spelling(words), c)
+            x, cls, col, within = vocab.read(h, look, c)
             # The end follows each text's words.
             first = ws.first + np.arange(t.num_rows + 1)
             place = np.ones(ws.n + t.num_rows, bool)
