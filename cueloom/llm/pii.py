@@ -1,7 +1,8 @@
 """Personal data: candidate spans from wide generators, judged by boosted trees, with calibrated thresholds.
 
 The four base kinds (email, ip, card, phone) follow fixed patterns and are always kept. Beside them, generators propose spans
-in freer formats: emails spelt out, phones without a plus, numbers of card length, IPv6, national ids, account numbers. Each
+that those patterns miss: phones and cards that run into the next number (the base patterns take both as one, and drop it),
+emails spelt out, phones without a plus, other groupings, IPv6, national ids, account numbers. Each
 candidate gets features of its format and of the words around it; gradient-boosted trees, trained here on synthetic sentences
 with look-alikes (dates, versions, order numbers, prices, measures), give a score, isotonic calibration turns it into a
 probability, and those from ``threshold`` up are added unless they overlap a base span or a better candidate.
@@ -27,7 +28,7 @@ from . import boosting, common
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "id", "account")
-THRESHOLD = 0.9
+THRESHOLD = 0.7
 #: Examples of each sort in the synthetic training set; the model's size doesn't depend on the corpus.
 EXAMPLES = 220
 
@@ -83,10 +84,11 @@ _SPELT = re.compile(r"(?:\x20?[(\[{]\x20?(?:at|AT)\x20?[)\]}]\x20?|\x20(?:at|AT)
 _SPELT_LOCAL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._+-]{0,63}\Z")
 _IPV6 = re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}::?){2,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")
 _DIGIT = re.compile("[0-9]")
+_LAST_GROUPS = re.compile(r"[\x20./-]++(?=[0-9])")
 #: Wide on purpose; what they propose is judged afterwards.
 GENERATORS = (
     ("card", re.compile(r"(?<![0-9.-])[0-9]{4}[\x20.\-/][0-9]{4,6}[\x20.\-/][0-9]{4,5}(?:[\x20.\-/][0-9]{3,4})?(?![0-9])|(?<![0-9])[0-9]{12,19}(?![0-9])")),
-    ("phone", re.compile(r"(?<![0-9.+-])(?:00[0-9]{1,3}[\x20.-]?|[01][\x20.-])?\(?[0-9]{2,4}\)?[\x20./-]{1,2}[0-9]{2,4}[\x20.-][0-9]{2,4}(?:[\x20.-][0-9]{2,4}){0,2}(?![0-9-])|(?<![0-9])[0-9]{10}(?![0-9])")),
+    ("phone", re.compile(r"\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[\x20.-][0-9]{2,4}){2,4}(?![0-9])|\+[0-9]{9,15}(?![0-9])|(?<![0-9.+-])(?:00[0-9]{1,3}[\x20.-]?|[01][\x20.-])?\(?[0-9]{2,4}\)?[\x20./-]{1,2}[0-9]{2,4}[\x20.-][0-9]{2,4}(?:[\x20.-][0-9]{2,4}){0,2}(?![0-9-])|(?<![0-9])[0-9]{10}(?![0-9])")),
     ("id", re.compile(r"(?<![0-9-])[0-9]{3}[\x20-][0-9]{2}[\x20-][0-9]{4}(?![0-9-])|(?<![0-9A-Za-z])[A-Z]{1,2}[\x20]?[0-9]{6,8}[A-Z]?(?![0-9A-Za-z])")),
     ("account", re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[0-9A-Z]{4}){2,7}(?:\x20?[0-9A-Z]{1,3})?(?![0-9A-Za-z])")),
 )
@@ -126,14 +128,15 @@ def features(text: str, start: int, end: int, kind: str) -> list[float]:
         s.count("-"),
         "(" in s or "[" in s,
         s.startswith("00"),
+        s.startswith("+"),
         bool(digits) and 12 <= len(digits) <= 19 and luhn(digits),
         kind == "account" and _iban_ok(s),
         len(set(digits)),
         bool(_DATE.fullmatch(s) or _YEARS.search(s)),
         bool(CUES[kind].search(left)),
         bool(AGAINST.search(left)),
-        left[-1:].isalnum() or left[-1:] in "_=/#$€",
-        right[:1].isalnum() or right[:1] in "_=/%€$",
+        left[-1:].isalnum() or bool(left) and left[-1] in "_=/#$€",
+        right[:1].isalnum() or bool(right) and right[0] in "_=/%€$",
         bool(re.match(r"\x20?(?:%|kg|km|m\b|eur|usd|€|\$|px|mb|gb)", right, re.I)),
         s.count(":"),
         "dot" in low or "." in low,
@@ -157,8 +160,8 @@ def _with_check(d: str) -> str:
     return next(d + c for c in "0123456789" if luhn(d + c))
 
 
-def synthetic(seed: int = 20, examples: int = EXAMPLES) -> list[tuple[str, str, bool]]:
-    """(text, what, whether it is personal): what stands in the middle of an invented sentence."""
+def synthetic(seed: int = 20, examples: int = EXAMPLES) -> list[tuple[str, int, int, str]]:
+    """(text, start, end, kind): an item in the middle of an invented sentence; kind is empty where it is none of ours. Other items may stand close by."""
     r = random.Random(seed)
     tld = lambda: r.choice("com org net de fr es info".split())
     sep = lambda: r.choice([" ", "-", "."])
@@ -177,12 +180,14 @@ def synthetic(seed: int = 20, examples: int = EXAMPLES) -> list[tuple[str, str,
                 lambda: f"00{_digits(r, 2)} {_digits(r, 3)} {_digits(r, 3)} {_digits(r, 4)}",
                 lambda: f"0{_digits(r, 1)}{p}{p.join(_digits(r, 2) for _ in range(4))}",
                 lambda: f"1{p}{_digits(r, 3)}{p}{_digits(r, 3)}{p}{_digits(r, 4)}",
+                lambda: f"+{r.randint(1, 99)} ({_digits(r, 3)}) {_digits(r, 3)}-{_digits(r, 4)}",
+                lambda: f"+{r.randint(1, 99)}{p}{_digits(r, 3)}{p}{_digits(r, 3)}{p}{_digits(r, 4)}",
             ]
         )()
 
     def card() -> str:
         d = _with_check(r.choice("3456") + _digits(r, 14))
-        p = r.choice([".", "/"])
+        p = r.choice([".", "/", " ", "-", "", ""])
         return p.join(d[i : i + 4] for i in range(0, 16, 4))
 
     def iban() -> str:
@@ -192,13 +197,13 @@ def synthetic(seed: int = 20, examples: int = EXAMPLES) -> list[tuple[str, str,
         return " ".join(s[i : i + 4] for i in range(0, len(s), 4)) if r.random() < 0.5 else s
 
     yes = [
-        (mail, ["email", "contact", "write to", ""]),
-        (phone, ["call", "phone", "tel", "mobile", "telefon", "", ""]),
-        (card, ["card", "visa", "payment", ""]),
-        (lambda: ":".join(f"{r.randrange(65536):x}" for _ in range(8)), ["ip", "host", "server", ""]),
-        (lambda: f"{r.randint(100, 665)}-{r.randint(10, 99)}-{_digits(r, 4)}", ["ssn", "social security", "id", ""]),
-        (lambda: f"{r.choice('ABCXK')}{_digits(r, 8)}", ["passport", "passport no", "identity", "ausweis"]),
-        (iban, ["iban", "account", "bank", ""]),
+        ("email", mail, ["email", "contact", "write to", ""]),
+        ("phone", phone, ["call", "phone", "tel", "mobile", "telefon", "", ""]),
+        ("card", card, ["card", "visa", "payment", ""]),
+        ("ip", lambda: ":".join(f"{r.randrange(65536):x}" for _ in range(8)), ["ip", "host", "server", ""]),
+        ("id", lambda: f"{r.randint(100, 665)}-{r.randint(10, 99)}-{_digits(r, 4)}", ["ssn", "social security", "id", ""]),
+        ("id", lambda: f"{r.choice('ABCXK')}{_digits(r, 8)}", ["passport", "passport no", "identity", "ausweis"]),
+        ("account", iban, ["iban", "account", "bank", ""]),
     ]
     no = [
         (lambda: f"{_word(r)} at {_word(r)}.{r.choice(['Then', 'The', 'And', 'But'])}", ["", ""]),
@@ -216,19 +221,35 @@ def synthetic(seed: int = 20, examples: int = EXAMPLES) -> list[tuple[str, str,
         (lambda: f"{r.choice(['SN', 'PX', 'AB'])}{_digits(r, 2)}{_digits(r, 12)}", ["serial", "part", ""]),
         (lambda: f"{_digits(r, 4)} {_digits(r, 4)} {_digits(r, 4)}", ["total", "model", "score", ""]),
     ]
+    v4 = lambda: ".".join(str(r.randint(1, 255)) for _ in range(4))
+    sorts = [*yes, *(("", make, cues) for make, cues in no)]
     out = []
-    for personal, sorts in ((True, yes), (False, no)):
-        for make, cues in sorts:
-            for _ in range(examples):
-                what, cue = make(), r.choice(cues)
-                head = " ".join(_word(r) for _ in range(r.randint(2, 6))) + (f" {cue}" if cue else "")
-                if r.random() < 0.35:  # another item with its own cue shortly before
-                    other, cues_of = r.choice(yes + no)
-                    head = f"{r.choice(cues_of)} {other()}{r.choice([', ', '; ', ' '])}{head if r.random() < 0.5 else r.choice(['on', 'und', 'et', 'y', 'the']) + (f' {cue}' if cue else '')}"
-                out.append((f"{head}{r.choice([' ', ': ', ' '])}{what}{r.choice([' ', ', ', '. '])}{_word(r)} {_word(r)}", what, personal))
+    for kind, make, cues in sorts:
+        for _ in range(examples):
+            what, cue = make(), r.choice(cues)
+            head = " ".join(_word(r) for _ in range(r.randint(2, 6))) + (f" {cue}" if cue else "")
+            if r.random() < 0.35:  # another item with its own cue shortly before
+                _, other, cues_of = r.choice(sorts)
+                head = f"{r.choice(cues_of)} {other()}{r.choice([', ', '; ', ' '])}{head if r.random() < 0.5 else r.choice(['on', 'und', 'et', 'y', 'the']) + (f' {cue}' if cue else '')}"
+            head += r.choice([" ", ": ", " "])
+            tail = r.choice([" ", ", ", ". "]) + f"{_word(r)} {_word(r)}"
+            if kind and r.random() < 0.3:  # a number follows at once
+                tail = " " + r.choice([card, v4, phone, lambda: _digits(r, r.randint(1, 6))])() + tail
+            out.append((head + what + tail, len(head), len(head) + len(what), kind))
     return out
 
 
+def labelled(examples: list[tuple[str, int, int, str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Features of the candidates over the items, and whether each is the item, of its kind and neither more nor much less."""
+    x, y = [], []
+    for text, start, end, kind in examples:
+        for a, k, b in candidates(text):
+            if a < end and start < b:
+                x.append(features(text, a, b, k))
+                y.append(bool(kind) and k == kind and b <= end and min(b, end) - max(a, start) >= 0.9 * (end - start) and a >= start)
+    return np.array(x, float), np.array(y, float)
+
+
 def candidates(text: str) -> list[Span]:
     found: list[Span] = []
     for m in _SPELT.finditer(text):
@@ -237,20 +258,17 @@ def candidates(text: str) -> list[Span]:
     if ":" in text:
         found += [(m.start(), "ip", m.end()) for m in _IPV6.finditer(text)]
     if _DIGIT.search(text):
-        found += [(m.start(), kind, m.end()) for kind, pattern in GENERATORS for m in pattern.finditer(text)]
+        for kind, pattern in GENERATORS:
+            for m in pattern.finditer(text):
+                found.append((m.start(), kind, m.end()))
+                if kind in ("phone", "card"):  # the next number may have been taken along
+                    found += [(m.start(), kind, m.start() + g.start()) for g in _LAST_GROUPS.finditer(m.group()) if sum(c.isdigit() for c in m.group()[: g.start()]) >= 7]
     return found
 
 
 @lru_cache(maxsize=1)
 def trained() -> boosting.Boosted:
-    x, y = [], []
-    for text, what, personal in synthetic():
-        at = text.rindex(what)
-        for a, kind, b in candidates(text):
-            if a < at + len(what) and at < b:
-                x.append(features(text, a, b, kind))
-                y.append(personal and b - a >= 0.8 * len(what))
-    return boosting.fit_calibrated(np.array(x, float), np.array(y, float))
+    return boosting.fit_calibrated(*labelled(synthetic()), rounds=120, depth=4)
 
 
 def added_spans(text: str, base: list[Span], model: boosting.Boosted, threshold: float = THRESHOLD) -> list[Span]:
