@@ -17,6 +17,7 @@ import math
 import random
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -74,22 +75,47 @@ def _judge(tag: str, attrs: str) -> int:
     return verdict
 
 
+@dataclass(frozen=True)
+class _Open:
+    """An open element and what holds inside it, so that nothing has to look further down than its parent."""
+
+    tag: str
+    own: int
+    links: int
+    good: bool
+    #: "": in no bad part; "header": only in the header of an article, whose headings count; "nested": in a bad part of a good one; "bad": in any other.
+    bad: str
+    standing: int
+
+
+def _opened(stack: list[_Open], tag: str, own: int) -> _Open:
+    up = stack[-1] if stack else None
+    links, good, bad, heading = (up.links, up.good, up.bad, up.bad == "header" and up.standing == GOOD) if up else (0, False, "", False)
+    if own == BAD:
+        bad = ("header" if tag == "header" and not bad else "nested") if good and bad in ("", "header", "nested") else bad or "bad"
+        heading = False
+    good = good or own == GOOD and not bad
+    if bad == "header" and (heading or tag in HEADINGS):
+        standing = GOOD
+    else:
+        standing = {"": GOOD if good else NEUTRAL, "bad": BAD}.get(bad, NESTED)
+    return _Open(tag, own, links + (tag == "a"), good, bad, standing)
+
+
+def _top(stack: list[_Open], most: int = 200) -> range:
+    """Indexes from the innermost open element outwards, a bounded number: deeper ones stay open."""
+    return range(len(stack) - 1, max(-1, len(stack) - 1 - most), -1)
+
+
 def tokens(page: str) -> list[tuple[str, str, int]]:
     """(kind, what, standing): kind "t" for a tag, "w" for text, "l" for text in a link, "/" where a block ends."""
     out: list[tuple[str, str, int]] = []
-    stack: list[tuple[str, int]] = []
+    stack: list[_Open] = []
     standing, links, at, end, quoted = NEUTRAL, 0, 0, len(page), True
-    in_article_header = False
-
-    def set_standing() -> None:
-        nonlocal standing, links, in_article_header
-        links = sum(t == "a" for t, _ in stack)
-        bad = [i for i, (_, s) in enumerate(stack) if s == BAD]
-        good = [i for i, (_, s) in enumerate(stack) if s == GOOD]
-        #: The title of an article often stands in its own header.
-        in_article_header = len(bad) == 1 and stack[bad[0]][0] == "header" and bool(good) and good[0] < bad[0]
-        free = not bad or in_article_header and any(t in HEADINGS for t, _ in stack)
-        standing = (GOOD if good else NEUTRAL) if free else NESTED if good and good[0] < bad[0] else BAD
+
+    def settle() -> None:
+        nonlocal standing, links
+        links, standing = (stack[-1].links, stack[-1].standing) if stack else (0, NEUTRAL)
 
     while at < end:
         lt = page.find("<", at)
@@ -124,10 +150,10 @@ def tokens(page: str) -> list[tuple[str, str, int]]:
             out.append(("/", tag, standing))
         out.append(("t", tag, standing))
         if closing:
-            depth = next((i for i in range(len(stack) - 1, max(-1, len(stack) - 200), -1) if stack[i][0] == tag), -1)
-            if depth >= 0 and not (tag in INLINE and any(t not in INLINE for t, _ in stack[depth:])):
+            depth = next((i for i in _top(stack) if stack[i].tag == tag), -1)
+            if depth >= 0 and not (tag in INLINE and any(x.tag not in INLINE for x in stack[depth:])):
                 del stack[depth:]
-                set_standing()
+                settle()
             continue
         if tag in RAW and not attrs.endswith("/"):
             close = re.compile(f"</{re.escape(tag)}[\\s>]", re.I).search(page, at)
@@ -136,23 +162,28 @@ def tokens(page: str) -> list[tuple[str, str, int]]:
         if tag in VOID or attrs.endswith("/"):
             continue
         if tag in _ENDS_P:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
+            for i in _top(stack):
+                if stack[i].tag == "p":
                     del stack[i:]
                     break
-                if stack[i][0] not in INLINE:
+                if stack[i].tag not in INLINE:
                     break
-        if tag in GOOD_TAGS:
-            stack[:] = [x for x in stack if x[0] not in ("nav", "form", "p")]
+        if tag in GOOD_TAGS:  # a menu or form that was never closed
+            near = [stack[i] for i in _top(stack)][::-1]
+            if any(x.tag in ("nav", "form") for x in near):
+                del stack[len(stack) - len(near) :]
+                for x in near:
+                    if x.tag not in ("nav", "form", "p"):
+                        stack.append(_opened(stack, x.tag, x.own))
         if tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
+            for i in _top(stack):
+                if stack[i].tag == tag:
                     del stack[i:]
                     break
-                if stack[i][0] in ("ul", "ol", "dl", "table", "tbody", "select"):
+                if stack[i].tag in ("ul", "ol", "dl", "table", "tbody", "select"):
                     break
-        stack.append((tag, _judge(tag, attrs)))
-        set_standing()
+        stack.append(_opened(stack, tag, _judge(tag, attrs)))
+        settle()
     size = {at: sum(len(w.split()) for k, w, s in out if k in "wl" and s == at) for at in (GOOD, NEUTRAL)}
     if size[GOOD] and size[GOOD] >= size[NEUTRAL]:
         out = [(k, w, OUTSIDE if s == NEUTRAL else s) for k, w, s in out]

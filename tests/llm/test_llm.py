@@ -303,6 +303,19 @@ def test_pages_query(spark):
     assert all(r.n_chars == len(r.text) for r in got) and {r.page_id: r.text for r in got}[None] == ""
 
 
+@pytest.mark.parametrize("part", ["<div>", "<b>", '<div class="ad">', "<article><header>", "<b><ul></ul>", "<p title='"])
+def test_deep_markup_takes_linear_time(part):
+    import time
+
+    def took(n: int) -> float:
+        begun = time.process_time()
+        html_extract.extract(part * n + "text")
+        return time.process_time() - begun
+
+    took(100)
+    assert took(16000) < 12 * took(4000) + 0.3
+
+
 def test_best_region():
     r = random.Random(2)
     for _ in range(300):
