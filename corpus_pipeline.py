@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueloom.llm import common, decontam, lines, mixing, quality, simhash
+from cueloom.llm import common, decontam, jaccard, lines, mixing, quality
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -30,8 +30,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest doc_id."""
-    return simhash.drop_near_duplicates(common.keep_columns(docs, COLUMNS)).select(*COLUMNS)
+    """One document of each group of five-word Jaccard similarity 0.8 or more stays: the one with the smallest doc_id."""
+    return jaccard.drop_near_duplicates(common.keep_columns(docs, COLUMNS)).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

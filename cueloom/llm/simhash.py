@@ -351,17 +351,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # The component's name: the smallest id over its fingerprints.
     named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = _salted_lookup(named.select("fp", "root"), names)
-    return _salted_join(fps, of)
+    of = salted_lookup(named.select("fp", "root"), names)
+    return salted_join(fps, of)
 
 
-def _salted_lookup(named: DataFrame, names: DataFrame) -> DataFrame:
+def salted_lookup(named: DataFrame, names: DataFrame) -> DataFrame:
     """fp -> component_id; a big component's fingerprints are spread over salts."""
     salted = named.withColumn("salt", F.pmod(F.hash("fp"), F.lit(SALTS)))
     return salted.join(names.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["root", "salt"]).select("fp", "component_id")
 
 
-def _salted_join(fps: DataFrame, of: DataFrame) -> DataFrame:
+def salted_join(fps: DataFrame, of: DataFrame) -> DataFrame:
     """Documents of one fingerprint may be a third of all: they too are spread."""
     salted = fps.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS)))
     return salted.join(of.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["fp", "salt"]).select("doc_id", "fp", "component_id")
@@ -369,7 +369,11 @@ def _salted_join(fps: DataFrame, of: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """docs, all columns, with one document of each component: the one of the smallest id, of repeated rows one."""
-    found = near_duplicates(docs, id_col, text_col, **kw)
+    return keep_least(docs, near_duplicates(docs, id_col, text_col, **kw), id_col, text_col)
+
+
+def keep_least(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs whose id names a component in found (doc_id, component_id); of repeated rows one."""
     key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\x00none"))
     keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key("doc_id").alias("_key")).distinct()
     kept = docs.withColumn("_key", key(f"`{id_col}`")).join(keep, "_key", "left_semi")

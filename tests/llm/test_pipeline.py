@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from cueloom.llm import common, mixing, quality
+from cueloom.llm import common, jaccard, mixing, quality
 from tests.llm.test_llm import ALNUM_WORDS, SPACE_WORDS, ascii_lower, plain_fingerprint, plain_quality, roots
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long"
@@ -146,3 +146,36 @@ def test_streams_keep_every_row(rows, size, step):
 
 def test_ranges():
     assert common.ranges(np.array([5, 0, 9]), np.array([2, 0, 3])).tolist() == [5, 6, 9, 10, 11] and len(common.ranges(np.zeros(0), np.zeros(0, int))) == 0
+
+
+# --- near copies of the pipeline's stage ----------------------------------------------------------------------------------
+
+
+def plain_shingles(t: str | None) -> frozenset:
+    ws = SPACE_WORDS.findall(ascii_lower(t or ""))
+    return frozenset(tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))) if ws else frozenset()
+
+
+@pytest.mark.parametrize("often", [4, 1])
+def test_near_dedup_is_brute_force(spark, often, monkeypatch):
+    """Similarities on both sides of 0.8, in groups and chains; rare and frequent shingles."""
+    monkeypatch.setattr(jaccard, "SAMPLE", 1)
+    monkeypatch.setattr(jaccard, "OFTEN", often)
+    r = random.Random(8)
+    vocab = [f"w{i}" for i in range(300)]
+    texts: list[str | None] = [None, "", " ", "one two", "One  two", "one three"]
+    for _ in range(12):
+        ws = [r.choice(vocab) for _ in range(r.randint(5, 120))]
+        for _ in range(r.randint(1, 9)):
+            texts.append(" ".join(ws))
+            ws = list(ws)
+            for _ in range(r.randint(1, 3)):
+                ws[r.randrange(len(ws))] = r.choice(vocab)
+    sets = [plain_shingles(t) for t in texts]
+    # 9 * both >= 4 * (n + m) is a Jaccard similarity of 0.8 in whole numbers.
+    root = roots(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]))])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {g.doc_id: g.component_id for g in jaccard.near_duplicates(docs).collect()}
+    assert got == dict(enumerate(root)) and 12 < len(set(root)) < len(texts) - 12
+    far = [(i, j) for i in range(len(texts)) for j in range(i) if root[i] == root[j] and (plain_fingerprint(texts[i]) ^ plain_fingerprint(texts[j])).bit_count() > 4]
+    assert far, "the rule of op9 would have lost some"
