@@ -67,12 +67,30 @@ class Model:
         return out
 
 
+class Adam:
+    """Moments of the gradients, and steps with a bounded norm."""
+
+    def __init__(self, model: Model):
+        self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.p.items()}
+        self.t = 0
+
+    def apply(self, model: Model, grad: dict[str, np.ndarray], rate: float) -> None:
+        self.t += 1
+        norm = np.sqrt(sum(float((g**2).sum()) for g in grad.values()))
+        scale = min(1.0, 1.0 / (norm + 1e-9))
+        for k, g in grad.items():
+            m, v = self.moments[k]
+            g = g * F32(scale)
+            m += F32(0.1) * (g - m)
+            v += F32(0.01) * (g * g - v)
+            model.p[k] -= (rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.99**self.t)) + 1e-6)).astype(F32)
+
+
 def train(model: Model, docs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], epochs: int = 6, streams: int = 48, window: int = 20, rate: float = 0.01, seed: int = 3) -> None:
     """docs: (input, class, word) of the tokens of each text, the end included. Texts are dealt to streams, which are read side by side; the state is carried from window to window and cleared where a text begins."""
     r = np.random.default_rng(seed)
     start = len(model.p["X"]) - 1
-    moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.p.items()}
-    t = 0
+    adam = Adam(model)
     length = sum(len(d[0]) for d in docs)
     streams = max(1, min(streams, length // (2 * window) or 1))
     total = epochs * max(1, -(-(length // streams) // window))
@@ -84,17 +102,25 @@ def train(model: Model, docs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], e
         x, cls, word, new = (s[: n * streams].reshape(streams, n) for s in (*seq, fresh))
         h = np.zeros((streams, model.hidden), F32)
         for a in range(0, n, window):
-            t += 1
             h, grad = _window(model, h, x[:, a : a + window], cls[:, a : a + window], word[:, a : a + window], new[:, a : a + window])
-            norm = np.sqrt(sum(float((g**2).sum()) for g in grad.values()))
-            scale = min(1.0, 1.0 / (norm + 1e-9))
-            now = rate * (1 - 0.9 * t / total)
-            for k, g in grad.items():
-                m, v = moments[k]
-                g = g * F32(scale)
-                m += F32(0.1) * (g - m)
-                v += F32(0.01) * (g * g - v)
-                model.p[k] -= (now * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)).astype(F32)
+            adam.apply(model, grad, rate * (1 - 0.9 * (adam.t + 1) / total))
+
+
+def read_once(model: Model, adam: Adam, inputs: np.ndarray, cls: np.ndarray, word: np.ndarray, first: np.ndarray, rate: float, streams: int = 192, window: int = 20) -> None:
+    """One pass over every token of the texts in their order; first: where each begins (one more than texts). The streams are filled up from the beginning, so that none is left out."""
+    total = len(inputs)
+    if not total:
+        return
+    fresh = np.zeros(total, bool)
+    fresh[first[:-1]] = True
+    before = np.where(fresh, len(model.p["X"]) - 1, np.r_[0, inputs[:-1]])
+    streams = max(1, min(streams, total // (2 * window)))
+    n = -(-total // streams)
+    x, c, w, new = (np.resize(s, n * streams).reshape(streams, n) for s in (before, cls, word, fresh))
+    h = np.zeros((streams, model.hidden), F32)
+    for a in range(0, n, window):
+        h, grad = _window(model, h, x[:, a : a + window], c[:, a : a + window], w[:, a : a + window], new[:, a : a + window])
+        adam.apply(model, grad, rate)
 
 
 def _window(model: Model, h: np.ndarray, x: np.ndarray, cls: np.ndarray, word: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:

@@ -1,12 +1,15 @@
 """Language-model scores of whole documents: unigram base and a gated recurrent model with a class-factored softmax.
 
 Counts of all training tokens are one aggregation over word hashes. They give the base score, the frequent words, and the
-distribution within the classes of rare words, so what is learned from the corpus grows with it. The recurrent part is trained
-on a bounded sample of whole training documents, chosen by a hash (``SAMPLE_DOCS`` expected, ``SAMPLE_TOKENS`` at most).
+distribution within the classes of rare words, so what is learned from the corpus grows with it. The recurrent part starts from a
+bounded sample of whole training documents, chosen by a hash (``SAMPLE_DOCS`` expected, ``SAMPLE_TOKENS`` at most), and then reads
+every training document once: the documents are dealt to ``ROUNDS`` rounds, in a round each partition trains the model on its own
+rows, and the partitions' parameters are averaged by their tokens. Each round's average is written to the checkpoint folder.
 
 Scoring needs every token's count, and the vocabulary grows with the corpus, so it is not broadcast: documents are dealt to
-blocks of about ``BLOCK_TOKENS`` tokens, each block asks for the counts of its own distinct words by a join, and is scored
-together with the answer. In a block documents are read side by side, whole, from the longest, with the state carried across windows.
+blocks of about ``BLOCK_TOKENS`` tokens, each block asks for the counts of its own distinct words by a join, and with the answer
+its texts are written as the model's inputs, two bytes a token, for training and scoring. A chunk's documents are scored side by
+side, whole, from the longest, with the state carried across windows.
 
 P(token | before) = P(class | state) * P(token | class). The ``FREQUENT`` most frequent words have classes found by clustering how
 they spread over documents, with a softmax over their words. Other words fall into classes by spelling and by the power of two
@@ -19,6 +22,7 @@ training documents is scored with empty counts.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,6 +36,10 @@ from . import common, gru
 FOLDS, HELD_FOLD = 5, 1
 FREQUENT, WORD_CLASSES, HIDDEN = 1024, 24, 32
 SAMPLE_DOCS, SAMPLE_TOKENS = 500, 250_000
+#: Rounds over the training documents, the step size of each, and the tokens of a partition in a round (more where the corpus is large).
+ROUNDS, RATES, ROUND_TOKENS = 4, (0.004, 0.003, 0.002, 0.001), 600_000
+#: Pieces of the parameters that are averaged apart.
+PIECES = 16
 BLOCK_TOKENS = 2_500_000
 TEXT_CHUNK = 8 << 20
 BINS = (2, 4, 8, 32, 128)
@@ -112,6 +120,10 @@ class Vocabulary:
     def inputs(self) -> int:
         return len(self.frequent) + self.classes
 
+    def outputs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Class and word column of each input: a rare word is read as its class."""
+        return np.r_[self.word_class, np.arange(self.classes)].astype(np.int64), np.r_[self.word_column, np.full(self.classes, -1)].astype(np.int64)
+
     def read(self, h: np.ndarray, spell: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of distinct words: input, class, word column (-1: rare) and the log share within a rare class."""
         k = len(self.frequent)
@@ -227,13 +239,9 @@ def learn(rows: DataFrame, counts: DataFrame) -> tuple[Vocabulary, gru.Model]:
     return vocab, model
 
 
-def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), held_out(id_col).alias("held"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    counts = common.checkpointed(word_counts(rows))
-    vocab, model = learn(rows, counts)
-    width = common.shuffle_width(spark)
+def encoded(rows: DataFrame, counts: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """A row for each row: doc_id, held, size, known, base, share (sums over the tokens), and the inputs x, and own as a text in training sees them, without itself in the counts."""
+    width = common.shuffle_width(rows.sparkSession)
     blocks = max(width, -(-vocab.n * FOLDS // ((FOLDS - 1) * BLOCK_TOKENS)))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(width, "block")
 
@@ -260,7 +268,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         by = np.argsort(ah)
         ah, ac = ah[by], ac[by]
         parts = []
-        for t in common.chunks(iter(texts.select(["text"]).to_batches()), "text", TEXT_CHUNK // 2):
+        for t in common.chunks(iter(texts.to_batches()), "text", TEXT_CHUNK // 2):
             ws = common.words_of(t.column("text"), common.separators("space"), lower=True)
             codes, distinct = ws.codes()
             h, look = _looks(distinct)
@@ -268,7 +276,8 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             if len(ah):
                 at = np.minimum(np.searchsorted(ah, h), len(ah) - 1)
                 c = np.where(ah[at] == h, ac[at], 0)
-            x, cls, col, within = vocab.read(h, look, c)
+            x, _, _, within = vocab.read(h, look, c)
+            own = vocab.read(h, look, np.maximum(c - 1, 0))[0]
             # The end follows each text's words.
             first = ws.first + np.arange(t.num_rows + 1)
             place = np.ones(ws.n + t.num_rows, bool)
@@ -279,15 +288,87 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 out[place] = of[codes] if len(of) else 0
                 return out
 
+            def inputs(of: np.ndarray) -> pa.Array:
+                data = spread(of, len(vocab.frequent) + end, np.uint16)
+                return pa.Array.from_buffers(pa.binary(), t.num_rows, [None, pa.py_buffer((2 * first).astype(np.int32)), pa.py_buffer(data)])
+
             base = spread(np.log10((c + 0.5) / (n + 0.5 * (v + 1))), np.log10((vocab.ends + 0.5) / (n + 0.5 * (v + 1))), np.float64)
-            sums = [np.add.reduceat(s, first[:-1]) for s in (base, spread(c > 0, vocab.ends > 0, np.int64), spread(within, 0.0, np.float64))]
-            parts.append((np.diff(first), *sums, *(spread(a, b, np.int32) for a, b in ((x, len(vocab.frequent) + end), (cls, end), (col, -1)))))
-        size, base, known, share, x, cls, col = (np.concatenate(p) for p in zip(*parts))
-        ln = gru.score(model, x, cls, col, np.r_[0, np.cumsum(size)])
-        return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held"), "n_tokens": size, "n_known": known, "train_tokens": np.full(len(size), n), "base_score": base, "score": (ln + share) / LN10})
+            known, base, share = (np.add.reduceat(s, first[:-1]) for s in (spread(c > 0, vocab.ends > 0, np.int64), base, spread(within, 0.0, np.float64)))
+            parts.append(pa.table({"doc_id": t.column("doc_id"), "held": t.column("held"), "size": np.diff(first), "known": known, "base": base, "share": share, "x": inputs(x), "own": inputs(own)}))
+        return pa.concat_tables(parts)
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, f"doc_id {kind}, held boolean, size long, known long, base double, share double, x binary, own binary")
+
+
+def _inputs(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    raw, at = common.text_bytes(column)
+    return raw.view(np.uint16).astype(np.int64), at // 2
+
+
+def train_all(tokens: DataFrame, vocab: Vocabulary, model: gru.Model, folder: str) -> gru.Model:
+    """The model after every training text of tokens (held, own) was read once, in rounds of averaged parameters."""
+    spark = tokens.sparkSession
+    parts = max(1, min(-(-vocab.n // (ROUNDS * ROUND_TOKENS)), 4 * common.shuffle_width(spark)))
+    place = F.xxhash64("doc_id", "own")
+    dealt = tokens.filter("not held").select(F.pmod(place, F.lit(ROUNDS)).alias("round"), F.pmod(F.shiftright(place, 8), F.lit(parts)).cast("int").alias("part"), "own")
+    cls, col = vocab.outputs()
+    names = sorted(model.p)
+    for k in range(ROUNDS):
+
+        def fit(batches: Iterator[pa.RecordBatch], start: gru.Model = model, rate: float = RATES[k]) -> Iterator[pa.RecordBatch]:
+            own = gru.Model({name: w.copy() for name, w in start.p.items()}, start.members)
+            adam, seen, texts = gru.Adam(own), 0, 0
+            for t in common.chunks(batches, "own", 2 * ROUND_TOKENS):
+                x, first = _inputs(t.column("own"))
+                gru.read_once(own, adam, x, cls[x], col[x], first, rate)
+                seen += len(x)
+                texts += t.num_rows
+            if seen:
+                pieces = np.array_split(np.concatenate([own.p[name].ravel() for name in names]).astype(np.float64) * seen, PIECES)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(PIECES, dtype=np.int32)), pa.array([seen] * PIECES, pa.int64()), pa.array([texts] * PIECES, pa.int64()), pa.array([w.astype(np.float64) for w in pieces], pa.list_(pa.float64()))], names=["piece", "n", "texts", "w"])
+
+        def average(t: pa.Table) -> pa.Table:
+            n = sum(t["n"].to_pylist())
+            w = np.zeros(len(t["w"][0]))
+            for one in t["w"]:
+                w += one.values.to_numpy()
+            return pa.table({"piece": t["piece"][:1], "n": pa.array([n], pa.int64()), "texts": pa.array([sum(t["texts"].to_pylist())], pa.int64()), "w": pa.array([(w / n).tolist()], pa.list_(pa.float64()))})
+
+        kind = "piece int, n long, texts long, w array<double>"
+        trained = common.deal(dealt.filter(F.col("round") == k).select("part", "own"), parts, "part").select("own").mapInArrow(fit, kind)
+        trained.groupBy("piece").applyInArrow(average, kind).write.parquet(f"{folder}/round-{k}")
+        got = spark.read.parquet(f"{folder}/round-{k}").orderBy("piece").select("w").collect()
+        if not got:
+            continue
+        flat = np.concatenate([np.array(r["w"]) for r in got]).astype(gru.F32)
+        cuts = np.cumsum([model.p[name].size for name in names])[:-1]
+        model = gru.Model({name: w.reshape(model.p[name].shape).copy() for name, w in zip(names, np.split(flat, cuts))}, model.members)
+    return model
+
+
+def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), held_out(id_col).alias("held"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    counts = common.checkpointed(word_counts(rows))
+    vocab, model = learn(rows, counts)
+    folder = f"{common.ensure_checkpoint_dir(spark).rstrip('/')}/lm-{uuid.uuid4().hex}"
+    encoded(rows, counts, vocab).write.parquet(f"{folder}/tokens")
+    tokens = spark.read.parquet(f"{folder}/tokens")
+    model = train_all(tokens, vocab, model, folder)
+    cls, col = vocab.outputs()
+    n = vocab.n
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in common.chunks(batches, "x", TEXT_CHUNK // 2):
+            x, first = _inputs(t.column("x"))
+            ln = gru.score(model, x, cls[x], col[x], first)
+            own = [t.column(c).combine_chunks() for c in ("doc_id", "held", "size", "known")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(np.full(t.num_rows, n)), t.column("base").combine_chunks(), pa.array((ln + t.column("share").to_numpy()) / LN10)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return tokens.select("doc_id", "held", "size", "known", "base", "share", "x").mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

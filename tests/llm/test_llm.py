@@ -600,3 +600,27 @@ def test_probabilities_add_up(docs):
     empty = model._log_softmax(state, "A", "a")[0]
     unused = sum(math.exp(empty[k]) for k in range(vocab.classes) if k not in set(allc.tolist()))
     assert p <= 1.0001 and p + unused > 0.97
+
+
+def test_every_training_text_is_read(spark, docs, monkeypatch, tmp_path):
+    """Each training text is in just one round, and each of its tokens is stepped on, whatever the sample was."""
+    monkeypatch.setattr(lm, "SAMPLE_DOCS", 5)
+    monkeypatch.setattr(lm, "ROUND_TOKENS", 300)
+    rows = docs.select("doc_id", lm.held_out("doc_id").alias("held"), F.coalesce("text", F.lit("")).alias("text"))
+    counts = lm.word_counts(rows).cache()
+    vocab, model = lm.learn(rows, counts)
+    tokens = lm.encoded(rows, counts, vocab).cache()
+    got = lm.train_all(tokens, vocab, model, str(tmp_path))
+    rounds = [spark.read.parquet(f"{tmp_path}/round-{k}").filter("piece = 0").first() for k in range(lm.ROUNDS)]
+    assert sum(r["n"] for r in rounds if r) == vocab.n and sum(r["texts"] for r in rounds if r) == vocab.ends
+    assert all(np.isfinite(w).all() for w in got.p.values()) and any((got.p[k] != model.p[k]).any() for k in got.p)
+
+
+def test_one_pass_leaves_no_token_out(monkeypatch):
+    read = []
+    real = gru._window
+    monkeypatch.setattr(gru, "_window", lambda m, h, x, cls, word, new: (read.append(cls.ravel()), real(m, h, x, cls, word, new))[1])
+    m = gru.Model.new(207, np.ones(207), np.ones(1), [], 3, 1)
+    codes = np.arange(207)
+    gru.read_once(m, gru.Adam(m), codes, codes, np.full(207, -1), np.array([0, 100, 101, 207]), 0.01)
+    assert set(np.concatenate(read).tolist()) == set(range(207))
