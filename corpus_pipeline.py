@@ -24,8 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines shared by many sources are cut; every document stays."""
-    cut = lines.remove_boilerplate(common.keep_columns(docs, COLUMNS))
+    """Boilerplate lines shared by many sources are cut, but for copies of whole pages; every document stays."""
+    cut = lines.remove_boilerplate_but_copies(common.keep_columns(docs, COLUMNS))
     return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 

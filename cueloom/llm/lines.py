@@ -6,7 +6,8 @@ task sends one sketch a line, so a line on every page costs no more than any oth
 lines are then cut from the texts.
 
 A document more than half of whose characters are boilerplate is a copy of a page, not a page with boilerplate: it keeps its
-text, and near-duplicate removal decides on it. Blank lines are never boilerplate. A null text stays null with no lines; a null
+text, and near-duplicate removal decides on it. That is the query's rule, as its SQL has it; the pipeline asks whether the text is
+a near copy of another instead (``remove_boilerplate_but_copies``). Blank lines are never boilerplate. A null text stays null with no lines; a null
 site counts as one site of its own. Rows are matched by a hash of id and text, so repeated rows, null ids and ties are harmless:
 the hash only narrows the set of lines to look for, and a line's verdict holds in every document. The joins on the line hash
 are salted, for one line may be in a third of all documents.
@@ -14,10 +15,12 @@ are salted, for one line may be in a third of all documents.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, jaccard
 from .quality import SPACE, let
 
 MIN_SITES = 10
@@ -69,6 +72,33 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
     """docs with its columns, text without boilerplate lines, and n_lines and n_removed (lines that are not blank, and those cut)."""
+    done = _judged(docs, min_sites, id_col, text_col, site_col)
+    return _cut(done, docs.columns, text_col, 2 * F.col("p.left") >= F.col("p.all"))
+
+
+def remove_boilerplate_but_copies(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
+    """As remove_boilerplate, but a document more than half of whose characters are boilerplate is spared only if it is a copy: if nothing else is left of it, or if its text is a near copy of another such document's. A short page with a long notice loses the notice."""
+    judged = _judged(docs, min_sites, id_col, text_col, site_col)
+    half = 2 * F.col("p.left") < F.col("p.all")
+    open_ = half & (F.col("p.left") > 0)
+    first = _cut(judged, docs.columns, text_col, ~half, F.when(open_, F.col("p.text")).alias("_less"), F.when(open_, F.col("p.n") - F.col("p.m")).alias("_lines"))
+    folder = f"{common.ensure_checkpoint_dir(docs.sparkSession).rstrip('/')}/lines-{uuid.uuid4().hex}"
+    first.write.parquet(folder)
+    done = docs.sparkSession.read.parquet(folder)
+    names = [*docs.columns, "n_lines", "n_removed"]
+    asked = done.filter(F.col("_less").isNotNull()).withColumn("_key", F.xxhash64(F.col(f"`{text_col}`")))
+    found = jaccard.near_duplicates(asked.select("_key", F.col(f"`{text_col}`").alias("_text")), "_key", "_text")
+    groups = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component_id")
+    copies = found.join(groups, "component_id", "left_semi").select(F.col("doc_id").alias("_key"), F.lit(True).alias("_copy")).distinct()
+    told = asked.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(_all_salts(copies), ["_key", "salt"], "left")
+    cuts = F.col("_copy").isNull()
+    settled = told.withColumn(text_col, F.when(cuts, F.col("_less")).otherwise(F.col(f"`{text_col}`"))).withColumn("n_removed", F.when(cuts, F.col("_lines")).otherwise(F.col("n_removed")))
+    pick = lambda df: df.select(*[F.col(f"`{c}`") for c in names])
+    return pick(done.filter(F.col("_less").isNull())).unionByName(pick(settled))
+
+
+def _judged(docs: DataFrame, min_sites: int, id_col: str, text_col: str, site_col: str) -> DataFrame:
+    """_row, _text and p: lines that are not blank (n), those that stay (m), characters (all), those that stay (left) and the text that stays."""
     lines = _lines(docs, id_col, text_col, site_col)
     found = boilerplate(lines, min_sites).select("line_key")
     marked = _salted(lines.select("row_key", "line_key"), F.col("row_key")).join(_all_salts(found), ["line_key", "salt"])
@@ -87,11 +117,14 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str
         kept = F.when(F.size("cut") == 0, ls).otherwise(F.filter(ls, lambda x: _blank(x) | ~F.array_contains(F.col("cut"), _key(x))))
         return let(kept, lambda k: F.struct(F.size(said).cast("long").alias("n"), F.size(F.filter(k, lambda x: ~_blank(x))).cast("long").alias("m"), _chars(ls).alias("all"), _chars(k).alias("left"), F.array_join(k, "\n").alias("text")))
 
-    done = joined.select("_row", "_text", let(F.split(F.coalesce(text, F.lit("")), "\n"), parts).alias("p"))
-    cuts = 2 * F.col("p.left") >= F.col("p.all")
+    return joined.select("_row", "_text", let(F.split(F.coalesce(text, F.lit("")), "\n"), parts).alias("p"))
+
+
+def _cut(done: DataFrame, columns: list[str], text_col: str, cuts: Column, *more: Column) -> DataFrame:
+    text = F.col("_text")
     new = F.when(text.isNull(), F.lit(None).cast("string")).when(cuts, F.col("p.text")).otherwise(text)
-    own = [new.alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
-    return done.select(*own, F.col("p.n").alias("n_lines"), F.when(cuts, F.col("p.n") - F.col("p.m")).otherwise(F.lit(0).cast("long")).alias("n_removed"))
+    own = [new.alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in columns]
+    return done.select(*own, F.col("p.n").alias("n_lines"), F.when(cuts, F.col("p.n") - F.col("p.m")).otherwise(F.lit(0).cast("long")).alias("n_removed"), *more)
 
 
 def _chars(lines: Column) -> Column:

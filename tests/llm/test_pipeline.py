@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from cueloom.llm import common, jaccard, mixing, quality
+from cueloom.llm import common, jaccard, lines, mixing, quality
 from tests.llm.test_llm import ALNUM_WORDS, SPACE_WORDS, ascii_lower, plain_fingerprint, plain_quality, roots
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long"
@@ -179,3 +179,20 @@ def test_near_dedup_is_brute_force(spark, often, monkeypatch):
     assert got == dict(enumerate(root)) and 12 < len(set(root)) < len(texts) - 12
     far = [(i, j) for i in range(len(texts)) for j in range(i) if root[i] == root[j] and (plain_fingerprint(texts[i]) ^ plain_fingerprint(texts[j])).bit_count() > 4]
     assert far, "the rule of op9 would have lost some"
+
+
+def test_short_pages_lose_their_notice(spark):
+    """Of pages that are mostly boilerplate, near copies and pages of nothing else are spared, others are cut."""
+    r = random.Random(4)
+    page = lambda n: [" ".join(f"v{r.randrange(900)}" for _ in range(12)) for _ in range(n)]
+    notice, copied = page(6), page(12)
+    rows = [(i, "\n".join([*notice, " ".join(f"own{i}x{k}" for k in range(20))]), f"s{i}") for i in range(12)]
+    rows += [(20 + i, "\n".join([*copied, f"seen {i}"]), f"s{i}") for i in range(12)]
+    rows += [(40, "\n".join(notice), "s1"), (41, None, "s2"), (42, "\n".join([*notice[:1], *page(5)]), "s3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = {g.doc_id: g for g in lines.remove_boilerplate_but_copies(docs).collect()}
+    assert len(got) == len(rows)
+    for i, text, _ in rows:
+        cut = i < 12 or i == 42
+        assert got[i].text == ("\n".join(x for x in text.split("\n") if x not in notice) if cut else text), i
+        assert got[i].n_removed == (6 if i < 12 else 1 if i == 42 else 0)
