@@ -8,6 +8,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -175,8 +177,6 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> I
     for batch in batches:
         i = batch.schema.get_field_index(column)
         lengths = batch.column(i).cast(pa.large_binary())
-        import pyarrow.compute as pc
-
         cum = np.cumsum(pc.binary_length(lengths).fill_null(0).to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros(0)
         a = 0
         base = 0
@@ -206,32 +206,27 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_POWERS = 1 << 12
-
-
 def word_keys(ws: Words) -> np.ndarray:
-    return keys_of(ws.data, ws.at)
-
-
-def keys_of(data: np.ndarray, at: np.ndarray, at_once: int = 1 << 20) -> np.ndarray:
-    """A 64-bit hash of each word, none of them empty: a polynomial over its bytes, then scrambled; a bounded number of bytes at a time. at: where each begins in data, and the end."""
-    n = len(at) - 1
-    out = np.zeros(n, np.uint64)
-    base = np.uint64(0x9E3779B97F4A7C15)
-    table = np.cumprod(np.full(_POWERS, base, np.uint64))
-    a = 0
-    while a < n:
-        b = max(a + 1, int(np.searchsorted(at, at[a] + at_once)) - 1)
-        d = data[at[a] : at[b]].astype(np.uint64) + np.uint64(1)
-        start = at[a:b] - at[a]
-        place = np.arange(len(d)) - np.repeat(start, np.diff(at[a : b + 1]))
-        powers = table[np.minimum(place, _POWERS - 1)]
-        far = place >= _POWERS
-        if far.any():  # words longer than the table
-            powers[far] = np.cumprod(np.full(int(place.max()) + 1, base, np.uint64))[place[far]]
-        out[a:b] = np.add.reduceat(d * powers, start)
-        a = b
-    return mix64(out)
+    """A 64-bit hash of each word; distinct words are hashed once."""
+    codes, distinct = ws.codes()
+    return keys_of(*text_bytes(distinct))[codes] if ws.n else np.zeros(0, np.uint64)
+
+
+def keys_of(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """XXH64 of each word; at: where each begins in data, and the end."""
+    raw, edges = data.tobytes(), at.tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(raw[a:b]) for a, b in zip(edges[:-1], edges[1:])), np.uint64, len(edges) - 1)
+
+
+def wide_keys(ws: Words) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Code of each word, and of each code the two halves of its XXH3-128 (n x 2) and the word."""
+    codes, distinct = ws.codes()
+    data, at = text_bytes(distinct)
+    raw, edges = data.tobytes(), at.tolist()
+    digest = xxhash.xxh3_128_digest
+    halves = np.frombuffer(b"".join([digest(raw[a:b]) for a, b in zip(edges[:-1], edges[1:])]), np.uint64).reshape(-1, 2)
+    return codes, halves, distinct
 
 
 def deal(df: DataFrame, parts: int, by: str) -> DataFrame:

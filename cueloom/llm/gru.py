@@ -7,6 +7,7 @@ leave the choice within the class to the caller.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +19,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+def _softmax(s: np.ndarray) -> np.ndarray:
+    """In place, row by row."""
+    s -= s.max(axis=1, keepdims=True)
+    np.exp(s, out=s)
+    s /= s.sum(axis=1, keepdims=True)
+    return s
+
+
 @dataclass
 class Model:
     """inputs: tokens that can be read; the last one stands before a text. members[c]: columns of the word softmax of class c."""
@@ -48,7 +57,8 @@ class Model:
         return h + z * (c - h), z, r, c, gh[:, 2 * n :]
 
     def _log_softmax(self, h: np.ndarray, w: str, b: str, a: int = 0, z: int | None = None) -> np.ndarray:
-        s = h @ self.p[w][:, a:z] + self.p[b][a:z]
+        s = h @ self.p[w][:, a:z]
+        s += self.p[b][a:z]
         s -= s.max(axis=1, keepdims=True)
         s -= np.log(np.exp(s).sum(axis=1, keepdims=True))
         return s
@@ -56,16 +66,18 @@ class Model:
     def log_probs(self, h: np.ndarray, cls: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Natural logarithms of the probability of the class, and of the word within it where word >= 0."""
         out = self._log_softmax(h, "A", "a")[np.arange(len(h)), cls].astype(np.float64)
-        framed = np.flatnonzero(word >= 0)
-        by = framed[np.argsort(cls[framed], kind="stable")]
-        if len(by):
-            cuts = np.flatnonzero(np.r_[True, cls[by][1:] != cls[by][:-1], True])
-            for a, z in zip(cuts[:-1], cuts[1:]):
-                rows = by[a:z]
-                lo, hi = self.members[int(cls[rows[0]])]
-                out[rows] += self._log_softmax(h[rows], "B", "b", lo, hi)[np.arange(len(rows)), word[rows] - lo]
+        for rows, lo, hi in self.framed(cls, word):
+            out[rows] += self._log_softmax(h[rows], "B", "b", lo, hi)[np.arange(len(rows)), word[rows] - lo]
         return out
 
+    def framed(self, cls: np.ndarray, word: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
+        """For each class that has words: the tokens of it, and its columns of the word softmax."""
+        by = np.flatnonzero(word >= 0)
+        by = by[np.argsort(cls[by], kind="stable")]
+        cuts = np.flatnonzero(np.r_[True, cls[by][1:] != cls[by][:-1], True]) if len(by) else np.zeros(0, np.int64)
+        for a, z in zip(cuts[:-1], cuts[1:]):
+            yield by[a:z], *self.members[int(cls[by[a]])]
+
 
 class Adam:
     """Moments of the gradients, and steps with a bounded norm."""
@@ -123,52 +135,103 @@ def read_once(model: Model, adam: Adam, inputs: np.ndarray, cls: np.ndarray, wor
         adam.apply(model, grad, rate)
 
 
+def _by_row(rows: np.ndarray, values: np.ndarray, out: np.ndarray) -> None:
+    """Adds each row of values to the row of out that it belongs to; sorted sums, where adding one by one would be slow."""
+    order = np.argsort(rows, kind="stable")
+    at = rows[order]
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    out[at[first]] += np.add.reduceat(values[order], first, axis=0)
+
+
+def _forward(model: Model, h: np.ndarray, x: np.ndarray, ends: list[np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
+    """States of a window: before, after, gates and the inner part of the candidate, each steps x features x streams, so that a gate of all streams is one block of memory. x: steps x streams; ends: streams that begin anew at each step."""
+    p, n = model.p, model.hidden
+    steps, streams = x.shape
+    gates = np.ascontiguousarray((p["X"][x] + p["bg"]).transpose(0, 2, 1))
+    before, after, inner = (np.empty((steps, n, streams), h.dtype) for _ in range(3))
+    u = np.ascontiguousarray(p["U"].T)
+    h = h.T
+    for t in range(steps):
+        b, g = before[t], gates[t]
+        b[:] = h
+        if ends is not None and len(ends[t]):
+            b[:, ends[t]] = 0
+        gh = u @ b
+        zr, c = g[: 2 * n], g[2 * n :]
+        zr += gh[: 2 * n]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        inner[t] = gh[2 * n :]
+        c += zr[n:] * inner[t]
+        np.tanh(c, out=c)
+        h = np.subtract(c, b, out=after[t])
+        h *= zr[:n]
+        h += b
+    return before, after, gates, inner
+
+
+def _rows(a: np.ndarray) -> np.ndarray:
+    """steps x features x streams -> (steps * streams) x features."""
+    return np.ascontiguousarray(a.transpose(0, 2, 1)).reshape(-1, a.shape[1])
+
+
 def _window(model: Model, h: np.ndarray, x: np.ndarray, cls: np.ndarray, word: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """One window forwards and backwards; the mean loss's gradient, which stops at the window's edge."""
-    p, n, steps = model.p, model.hidden, x.shape[1]
-    kept = []
-    for t in range(steps):
-        h = np.where(new[:, t : t + 1], F32(0), h)
-        before = h
-        h, z, r, c, ghc = model.step(h, x[:, t])
-        kept.append((before, z, r, c, ghc, h))
-    hs = np.stack([k[5] for k in kept]).reshape(-1, n)
+    p, n, (streams, steps) = model.p, model.hidden, x.shape
+    ends = [np.flatnonzero(new[:, t]) for t in range(steps)]
+    before, after, gates, inner = _forward(model, h, x.T, ends)
+    hs = _rows(after)
     c_flat, w_flat = cls.T.ravel(), word.T.ravel()
     count = F32(len(c_flat))
     grad = {k: np.zeros_like(v) for k, v in p.items()}
-    d = np.exp(model._log_softmax(hs, "A", "a"))
+    d = _softmax(hs @ p["A"] + p["a"])
     d[np.arange(len(d)), c_flat] -= 1
     d /= count
     grad["A"], grad["a"] = hs.T @ d, d.sum(axis=0)
-    dh_all = d @ p["A"].T
-    for k in np.unique(c_flat[w_flat >= 0]):
-        rows = np.flatnonzero((c_flat == k) & (w_flat >= 0))
-        lo, hi = model.members[int(k)]
-        e = np.exp(model._log_softmax(hs[rows], "B", "b", lo, hi))
+    dh = d @ p["A"].T
+    for rows, lo, hi in model.framed(c_flat, w_flat):
+        own = hs[rows]
+        e = _softmax(own @ p["B"][:, lo:hi] + p["b"][lo:hi])
         e[np.arange(len(rows)), w_flat[rows] - lo] -= 1
         e /= count
-        grad["B"][:, lo:hi] += hs[rows].T @ e
+        grad["B"][:, lo:hi] += own.T @ e
         grad["b"][lo:hi] += e.sum(axis=0)
-        dh_all[rows] += e @ p["B"][:, lo:hi].T
-    dh_all = dh_all.reshape(steps, -1, n)
-    carry = np.zeros_like(h)
+        dh[rows] += e @ p["B"][:, lo:hi].T
+    out = np.ascontiguousarray(dh.reshape(steps, streams, n).transpose(0, 2, 1))
+    # Of the gates' inputs, and of what the state adds to them.
+    dg, du = (np.empty((steps, 3 * n, streams), h.dtype) for _ in range(2))
+    carry = np.zeros((n, streams), h.dtype)
     for t in range(steps - 1, -1, -1):
-        before, z, r, c, ghc, _ = kept[t]
-        dh = dh_all[t] + carry
-        dz = dh * (c - before) * z * (1 - z)
-        dc = dh * z * (1 - c * c)
-        dr = dc * ghc * r * (1 - r)
-        dg = np.concatenate([dz, dr, dc], axis=1)
-        du = np.concatenate([dz, dr, dc * r], axis=1)
-        np.add.at(grad["X"], x[:, t], dg)
-        grad["bg"] += dg.sum(axis=0)
-        grad["U"] += before.T @ du
-        carry = np.where(new[:, t : t + 1], F32(0), dh * (1 - z) + du @ p["U"].T)
-    return h, grad
+        z, r, c = gates[t, :n], gates[t, n : 2 * n], gates[t, 2 * n :]
+        dt = out[t]
+        dt += carry
+        keep = 1 - z
+        dc = np.multiply(dt, z, out=dg[t, 2 * n :])
+        dc *= 1 - c * c
+        dz = np.multiply(dt, keep, out=dg[t, :n])
+        dz *= z
+        dz *= c - before[t]
+        dr = np.multiply(dc, inner[t], out=dg[t, n : 2 * n])
+        dr *= r
+        np.multiply(dc, r, out=du[t, 2 * n :])
+        dr *= 1 - r
+        du[t, : 2 * n] = dg[t, : 2 * n]
+        carry = p["U"] @ du[t]
+        dt *= keep
+        carry += dt
+        if len(ends[t]):
+            carry[:, ends[t]] = 0
+    grad["U"] = np.matmul(before, du.transpose(0, 2, 1)).sum(axis=0)
+    flat = _rows(dg)
+    grad["bg"] = flat.sum(axis=0)
+    _by_row(x.T.ravel(), flat, grad["X"])
+    return after[-1].T, grad
 
 
 def score(model: Model, inputs: np.ndarray, cls: np.ndarray, word: np.ndarray, first: np.ndarray, window: int = 32, abreast: int = 1024) -> np.ndarray:
-    """The summed natural log-probability of each text; first: where each begins (one more than texts). Whole texts, read side by side from the longest; a text drops out at its end."""
+    """The summed natural log-probability of each text; first: where each begins (one more than texts). Whole texts, read side by side from the longest; a text drops out after the window in which it ends."""
     lengths = np.diff(first)
     out = np.zeros(len(lengths))
     order = np.argsort(-lengths, kind="stable")
@@ -178,15 +241,16 @@ def score(model: Model, inputs: np.ndarray, cls: np.ndarray, word: np.ndarray, f
         size = lengths[own]
         h = np.zeros((len(own), model.hidden), F32)
         for t0 in range(0, int(size[0]), window):
-            states, at, who = [], [], []
-            for t in range(t0, min(t0 + window, int(size[0]))):
-                n = int(np.searchsorted(-size, -t, side="left"))
-                here = first[own[:n]] + t
-                x = inputs[here - 1] if t else np.full(n, start)
-                h = model.step(h[:n], x)[0]
-                states.append(h)
-                at.append(here)
-                who.append(own[:n])
-            where = np.concatenate(at)
-            np.add.at(out, np.concatenate(who), model.log_probs(np.concatenate(states), cls[where], word[where]))
+            n = int(np.searchsorted(-size, -t0, side="left"))
+            steps = min(window, int(size[0]) - t0)
+            at = first[own[:n]] + t0 + np.arange(steps)[:, None]
+            valid = t0 + np.arange(steps)[:, None] < size[:n]
+            at = np.where(valid, at, first[own[:n]])
+            x = inputs[np.maximum(at - 1, 0)]
+            if not t0:
+                x[0] = start
+            _, after, _, _ = _forward(model, h[:n], x)
+            h = after[-1].T
+            where = at[valid]
+            np.add.at(out, np.broadcast_to(own[:n], at.shape)[valid], model.log_probs(_rows(after)[valid.ravel()], cls[where], word[where]))
     return out

@@ -1,20 +1,23 @@
 """Language-model scores of whole documents: unigram base and a gated recurrent model with a class-factored softmax.
 
-Counts of all training tokens are one aggregation over word hashes. They give the base score, the frequent words, and the
-distribution within the classes of rare words, so what is learned from the corpus grows with it. The recurrent part starts from a
-bounded sample of whole training documents, chosen by a hash (``SAMPLE_DOCS`` expected, ``SAMPLE_TOKENS`` at most), and then reads
-every training document once: the documents are dealt to ``ROUNDS`` rounds, in a round each partition trains the model on its own
-rows, and the partitions' parameters are averaged by their tokens. Each round's average is written to the checkpoint folder.
+One aggregation over all training documents counts the words (by a 64-bit hash), the pairs of endings of neighbouring words and the pairs of
+bytes within words. The counts give the base score, the frequent words, the distribution within the classes of rare words, and a
+byte model that spells words which no training document has; the pairs of endings give the classes of rare words.
 
 Scoring needs every token's count, and the vocabulary grows with the corpus, so it is not broadcast: documents are dealt to
 blocks of about ``BLOCK_TOKENS`` tokens, each block asks for the counts of its own distinct words by a join, and with the answer
-its texts are written as the model's inputs, two bytes a token, for training and scoring. A chunk's documents are scored side by
-side, whole, from the longest, with the state carried across windows.
+its texts are written as the model's inputs, two bytes a token. The classes of the frequent words come from what stands before them
+in all training texts.
 
-P(token | before) = P(class | state) * P(token | class). The ``FREQUENT`` most frequent words have classes found by clustering how
-they spread over documents, with a softmax over their words. Other words fall into classes by spelling and by the power of two
-of their count, and share the class by count; words without a count share the lowest class's mass for unseen words,
-N1 / (N1 + 2 N2) of it by the leave-one-out rule. The end of a text is a class of its own.
+The recurrent model starts from a bounded sample (``SAMPLE_DOCS`` texts by a hash, ``SAMPLE_TOKENS`` at most) and then reads every
+training document once: the documents are dealt to ``ROUNDS`` rounds, in a round each partition trains the model on its own
+rows, and the partitions' parameters are averaged by their tokens. Each round's average is written to the checkpoint folder. A
+chunk's documents are scored side by side, whole, from the longest, with the state carried across windows.
+
+P(token | before) = P(class | state) * P(token | class). The ``FREQUENT`` most frequent words have classes with a softmax over their
+words. Other words fall into classes by ending and count, and share the class by count; words without a count share a part of the
+lowest class, N1 / (N1 + 2 N2) of it by the leave-one-out rule, in proportion to their probability under the byte model, so that no
+word gets more than its spelling deserves. The end of a text is a class of its own.
 
 A null or empty text is one end token; a null id counts as the text "" (not held out). Every row gives a row. A table without
 training documents is scored with empty counts.
@@ -24,17 +27,18 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common, gru
 
 FOLDS, HELD_FOLD = 5, 1
-FREQUENT, WORD_CLASSES, HIDDEN = 1024, 24, 32
+FREQUENT, WORD_CLASSES, HIDDEN = 1024, 24, 24
 SAMPLE_DOCS, SAMPLE_TOKENS = 500, 250_000
 #: Rounds over the training documents, the step size of each, and the tokens of a partition in a round (more where the corpus is large).
 ROUNDS, RATES, ROUND_TOKENS = 4, (0.004, 0.003, 0.002, 0.001), 600_000
@@ -42,34 +46,40 @@ ROUNDS, RATES, ROUND_TOKENS = 4, (0.004, 0.003, 0.002, 0.001), 600_000
 PIECES = 16
 BLOCK_TOKENS = 2_500_000
 TEXT_CHUNK = 8 << 20
-BINS = (2, 4, 8, 32, 128)
-SPELLINGS = 12
+#: Rare words: bounds of their counts, codes of the last two bytes, and classes of such codes.
+BINS, ENDINGS, SPELLINGS = (2, 8, 64), 128, 8
+#: What stands before a frequent word, folded to so many codes.
+BEFORE = 128
+BYTES = 257
 LN10 = float(np.log(10.0))
-
-#: Second bytes of the letters, after 0xC3 in UTF-8.
-_GERMAN = [c.encode()[1] for c in "äöüß"]
-_SPANISH = [c.encode()[1] for c in "ñáíó"]
+WORD, PAIR, SPELT = 0, 1, 2
 
 
-def spelling(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """What each word looks like: the accents in it (4 sorts) and what it ends with (3 sorts). Words stand end to end in data."""
+def endings(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A code of the last two bytes of each word. Words stand end to end in data, none is empty."""
     if len(at) < 2:
         return np.zeros(0, np.int64)
-    wide = data >= 128
-    after = np.zeros(len(data), bool)
-    after[1:] = data[:-1] == 0xC3
-    any_of = lambda mask: np.logical_or.reduceat(mask, at[:-1])
-    accent = np.where(~any_of(wide), 0, np.where(any_of(after & np.isin(data, _GERMAN)), 1, np.where(any_of(after & np.isin(data, _SPANISH)), 2, 3)))
-    last = data[at[1:] - 1]
-    plain = (last >= 128) | ((last >= 97) & (last <= 122)) | ((last >= 48) & (last <= 57))
-    end = np.where(plain, 0, np.where(np.isin(last, list(b".,;:!?")), 1, 2))
-    return 3 * accent + end
-
-
-def _looks(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and spelling of distinct words."""
+    last = at[1:] - 1
+    two = data[last].astype(np.uint64) << np.uint64(8) | np.where(last > at[:-1], data[np.maximum(last - 1, 0)], 0).astype(np.uint64)
+    return (common.mix64(two) % np.uint64(ENDINGS)).astype(np.int64)
+
+
+def byte_pairs(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each word its bytes and an end, each with the byte before: codes of the pairs end to end, and where each word begins."""
+    n = len(at) - 1
+    own = np.ones(len(data) + n, bool)
+    first = at + np.arange(n + 1)
+    own[first[1:] - 1] = False
+    after = np.zeros(len(own), np.int64)
+    after[own] = data.astype(np.int64) + 1
+    before = np.r_[0, after[:-1]][: len(after)]
+    return before * BYTES + after, first
+
+
+def _looks(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and ending of distinct words, their bytes and where each begins."""
     data, at = common.text_bytes(distinct)
-    return common.keys_of(data, at).view(np.int64), spelling(data, at)
+    return common.keys_of(data, at).view(np.int64), endings(data, at), data, at
 
 
 def bin_of(count: np.ndarray) -> np.ndarray:
@@ -80,37 +90,52 @@ def held_out(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD_FOLD
 
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """(h, spelling, c) of all training tokens but the ends; rows: held, text."""
+def corpus_counts(rows: DataFrame) -> DataFrame:
+    """(kind, h, ending, c) over all training tokens but the ends: words by hash, pairs of endings of neighbours, pairs of bytes; rows: held, text."""
+
+    def table(kind: int, h: np.ndarray, ending: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind, np.int32)), pa.array(h), pa.array(ending.astype(np.int32)), pa.array(c.astype(np.int64))], names=["kind", "h", "ending", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, spelt = np.zeros(ENDINGS * ENDINGS, np.int64), np.zeros(BYTES * BYTES, np.int64)
         for t in common.chunks(batches, "text", TEXT_CHUNK):
             ws = common.words_of(t.column("text"), common.separators("space"), lower=True)
             if not ws.n:
                 continue
             codes, distinct = ws.codes()
-            train = np.repeat(~t.column("held").to_numpy(zero_copy_only=False).astype(bool), ws.counts)
-            c = np.bincount(codes[train], minlength=len(distinct))
-            some = np.flatnonzero(c)
-            h, look = _looks(distinct)
-            yield pa.RecordBatch.from_arrays([pa.array(h[some]), pa.array(look[some].astype(np.int32)), pa.array(c[some])], names=["h", "spelling", "c"])
-
-    return rows.filter("not held").select("held", "text").mapInArrow(run, "h long, spelling int, c long").groupBy("h").agg(F.max("spelling").alias("spelling"), F.sum("c").alias("c"))
+            h, ending, data, at = _looks(distinct)
+            c = np.bincount(codes, minlength=len(h))
+            yield table(WORD, h, ending, c)
+            each = ending[codes]
+            inside = np.ones(ws.n, bool)  # words with a word before them in their text
+            inside[ws.first[:-1][ws.counts > 0]] = False
+            pairs += np.bincount((np.r_[0, each[:-1]] * ENDINGS + each)[inside], minlength=len(pairs))
+            code, first = byte_pairs(data, at)
+            spelt += np.bincount(code, np.repeat(c, np.diff(first)), len(spelt)).astype(np.int64)
+        for kind, n in ((PAIR, pairs), (SPELT, spelt)):
+            some = np.flatnonzero(n)
+            yield table(kind, some, np.zeros(len(some)), n[some])
+
+    return rows.filter("not held").select("text").mapInArrow(run, "kind int, h long, ending int, c long").groupBy("kind", "h").agg(F.max("ending").alias("ending"), F.sum("c").alias("c"))
 
 
 @dataclass
 class Vocabulary:
-    """Fixed-size knowledge of the counts. frequent: sorted hashes; word_class and word_column: of each; rare: logarithms of what a rare class shares out."""
+    """Fixed-size knowledge of the counts. frequent: sorted hashes, count: of each; spelling: class of each ending; share: logarithms of what a rare class shares out; spelt: log-probability of each pair of bytes."""
 
     n: int
     v: int
     ends: int
     frequent: np.ndarray
-    word_class: np.ndarray
-    word_column: np.ndarray
-    members: list[tuple[int, int]]
+    count: np.ndarray
+    spelling: np.ndarray
+    mass: np.ndarray
     share: np.ndarray
     unseen: np.ndarray
+    spelt: np.ndarray
+    word_class: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    word_column: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    members: list[tuple[int, int]] = field(default_factory=list)
 
     @property
     def classes(self) -> int:
@@ -120,31 +145,39 @@ class Vocabulary:
     def inputs(self) -> int:
         return len(self.frequent) + self.classes
 
+    @property
+    def end(self) -> int:
+        return self.inputs - 1
+
     def outputs(self) -> tuple[np.ndarray, np.ndarray]:
         """Class and word column of each input: a rare word is read as its class."""
         return np.r_[self.word_class, np.arange(self.classes)].astype(np.int64), np.r_[self.word_column, np.full(self.classes, -1)].astype(np.int64)
 
-    def read(self, h: np.ndarray, spell: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of distinct words: input, class, word column (-1: rare) and the log share within a rare class."""
+    def read(self, h: np.ndarray, ending: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of distinct words: the input, and the log share within a rare class; for words without a count the share of all such words."""
         k = len(self.frequent)
-        at = np.searchsorted(self.frequent, h)
-        known = np.zeros(len(h), bool)
-        if k:
-            known = self.frequent[np.minimum(at, k - 1)] == h
-        at = np.minimum(at, max(k - 1, 0))
-        bins = bin_of(c)
+        spell, bins = self.spelling[ending], bin_of(c)
         rare = spell * (len(BINS) + 1) + bins
-        cls, column, x = WORD_CLASSES + rare, np.full(len(h), -1), k + WORD_CLASSES + rare
+        x = k + WORD_CLASSES + rare
         within = np.log(c + 0.5) - np.log(self.share[rare])
         low = bins == 0
         within[low] = np.where(c[low] > 0, np.log1p(-self.unseen[spell[low]]) - np.log(self.share[rare[low]]), np.log(self.unseen[spell[low]]))
         if k:
-            cls, column, x = np.where(known, self.word_class[at], cls), np.where(known, self.word_column[at], column), np.where(known, at, x)
-        return x, cls, column, np.where(known, 0.0, within)
+            at = np.minimum(np.searchsorted(self.frequent, h), k - 1)
+            known = self.frequent[at] == h
+            x, within = np.where(known, at, x), np.where(known, 0.0, within)
+        return x, within
+
+    def spelling_of(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The log-probability of each word, byte by byte, under the byte model."""
+        if len(at) < 2:
+            return np.zeros(0)
+        code, first = byte_pairs(data, at)
+        return np.add.reduceat(self.spelt[code], first[:-1])
 
 
 def _clusters(spread: np.ndarray, counts: np.ndarray, k: int, seed: int = 9) -> np.ndarray:
-    """Words whose rows of spread (words x documents) point the same way; groups are kept of like size by taking words in order of a split axis."""
+    """Rows of spread that point the same way; groups are kept of like size by taking rows in order of a split axis."""
     x = np.log1p(spread)
     x -= x.mean(axis=1, keepdims=True)
     x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-9
@@ -168,75 +201,89 @@ def _clusters(spread: np.ndarray, counts: np.ndarray, k: int, seed: int = 9) ->
     return out
 
 
-def learn(rows: DataFrame, counts: DataFrame) -> tuple[Vocabulary, gru.Model]:
-    """rows: doc_id, held, text. The driver sees FREQUENT words, a bounded number of class sums and the bounded sample."""
-    spark = rows.sparkSession
-    top = counts.orderBy(F.desc("c"), "h").limit(FREQUENT).collect()
+def vocabulary(rows: DataFrame, counts: DataFrame) -> Vocabulary:
+    """rows: held; counts: of corpus_counts. The driver sees FREQUENT words, and sums whose number the parameters bound."""
+    words = counts.filter(F.col("kind") == WORD)
+    top = words.orderBy(F.desc("c"), "h").limit(FREQUENT).collect()
     top.sort(key=lambda r: r["h"])
     frequent, top_c = np.array([r["h"] for r in top], np.int64), np.array([r["c"] for r in top], np.int64)
     cut = sum((F.when(F.col("c") >= b, 1).otherwise(0) for b in BINS), F.lit(0))
-    sums = counts.groupBy("spelling", cut.alias("bin")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).collect()
+    sums = words.groupBy("ending", cut.alias("bin")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).collect()
+    found = {WORD: np.zeros(0), PAIR: np.zeros(ENDINGS * ENDINGS), SPELT: np.zeros(BYTES * BYTES)}
+    for r in counts.filter(F.col("kind") != WORD).select("kind", "h", "c").collect():
+        found[r["kind"]][r["h"]] = r["c"]
+    pairs = found[PAIR].reshape(ENDINGS, ENDINGS)
+    spelling = _clusters(np.hstack([pairs, pairs.T]), pairs.sum(axis=0), SPELLINGS)
+    spelt = found[SPELT].reshape(BYTES, BYTES) + 0.1
+    spelt = np.log(spelt / spelt.sum(axis=1, keepdims=True)).ravel()
+
     ends = rows.filter("not held").count()
     n, v = sum(r["c"] for r in sums) + ends, sum(r["n"] for r in sums) + (ends > 0)
-    rare = SPELLINGS * (len(BINS) + 1)
-    mass, types, ones, twos = np.zeros(rare), np.zeros(rare), np.zeros(SPELLINGS), np.zeros(SPELLINGS)
+    bins = len(BINS) + 1
+    mass, types = np.zeros(SPELLINGS * bins), np.zeros(SPELLINGS * bins)
+    ones, twos = np.zeros(SPELLINGS), np.zeros(SPELLINGS)
     for r in sums:
-        i = r["spelling"] * (len(BINS) + 1) + r["bin"]
-        mass[i], types[i] = r["c"], r["n"]
-        ones[r["spelling"]] += r["n1"]
-        twos[r["spelling"]] += r["n2"]
+        s = spelling[r["ending"]]
+        mass[s * bins + r["bin"]] += r["c"]
+        types[s * bins + r["bin"]] += r["n"]
+        ones[s] += r["n1"]
+        twos[s] += r["n2"]
     for r in top:  # frequent words have classes of their own
-        i = r["spelling"] * (len(BINS) + 1) + int(bin_of(np.array([r["c"]]))[0])
+        s = spelling[r["ending"]]
+        i = s * bins + int(bin_of(np.array([r["c"]]))[0])
         mass[i] -= r["c"]
         types[i] -= 1
-        ones[r["spelling"]] -= r["c"] == 1
-        twos[r["spelling"]] -= r["c"] == 2
+        ones[s] -= r["c"] == 1
+        twos[s] -= r["c"] == 2
     share = mass + 0.5 * types
-    low = np.arange(SPELLINGS) * (len(BINS) + 1)
+    low = np.arange(SPELLINGS) * bins
     share[low] = types[low]
-    share = np.maximum(share, 0.5)
     unseen = (ones + 0.5) / (ones + 2 * twos + 1.0)
+    return Vocabulary(n, v, ends, frequent, top_c, spelling, np.maximum(mass, 0), np.maximum(share, 0.5), unseen, spelt)
 
-    # A share of the documents by a hash, SAMPLE_DOCS expected; no task sends more than its own part of them.
-    part = min(1.0, SAMPLE_DOCS / max(1, ends))
-    sample = rows.filter("not held").withColumn("place", F.xxhash64("doc_id", "text")).filter(F.pmod("place", F.lit(1 << 20)) < int(part * (1 << 20)) + 1).select("place", "text").collect()
-    sample.sort(key=lambda r: (r["place"], r["text"]))
-    kept: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
-    for r in sample:
-        ws = common.words_of(pa.array([r["text"]], pa.string()), common.separators("space"), lower=True)
-        if size and size + ws.n > SAMPLE_TOKENS:
-            continue
-        kept.append((common.word_keys(ws).view(np.int64), spelling(ws.data, ws.at)))
-        size += ws.n + 1
-    distinct = np.unique(np.concatenate([k[0] for k in kept])) if kept else np.zeros(0, np.int64)
-    asked = spark.createDataFrame(pa.table({"h": distinct})) if len(distinct) else None
-    got = {r["h"]: r["c"] for r in counts.join(asked, "h").select("h", "c").collect()} if asked is not None else {}
-
-    spread = np.zeros((len(frequent), max(1, len(kept))))
-    for d, (h, _) in enumerate(kept):
-        at = np.searchsorted(frequent, h)
-        ok = (at < len(frequent)) & (frequent[np.minimum(at, len(frequent) - 1)] == h) if len(frequent) else np.zeros(len(h), bool)
-        np.add.at(spread[:, d], at[ok], 1)
-    word_class = _clusters(spread, top_c, WORD_CLASSES) if len(frequent) else np.zeros(0, np.int64)
-    by = np.argsort(word_class, kind="stable")
-    column = np.empty(len(by), np.int64)
-    column[by] = np.arange(len(by))
-    sizes = np.bincount(word_class, minlength=WORD_CLASSES)
-    members = [(int(b - s), int(b)) for b, s in zip(np.cumsum(sizes), sizes)]
-    vocab = Vocabulary(n, v, ends, frequent, word_class, column, members, share, unseen)
-
-    class_counts = np.concatenate([np.bincount(word_class, top_c, WORD_CLASSES), np.maximum(mass, 0), [ends]])
-    model = gru.Model.new(vocab.inputs, class_counts, top_c[by], members, HIDDEN, 1)
-    docs = []
-    end = np.array([vocab.classes - 1])
-    for h, s in kept:
-        c = np.array([got.get(x, 1) for x in h.tolist()], np.int64)
-        x, cls, col, _ = vocab.read(h, s, np.maximum(c - 1, 0))  # as if this token had not been counted
-        docs.append((np.append(x, len(frequent) + end), np.append(cls, end), np.append(col, -1)))
+
+def classify(tokens: DataFrame, vocab: Vocabulary) -> None:
+    """Gives the frequent words classes, by what stands before them in all training texts of tokens (held, own)."""
+    k = len(vocab.frequent)
+    fold = (common.mix64(np.arange(vocab.inputs + 1)) % np.uint64(BEFORE)).astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(k * BEFORE, np.int64)
+        for t in common.chunks(batches, "own", TEXT_CHUNK):
+            x, first = _inputs(t.column("own"))
+            before = np.r_[0, x[:-1]]
+            before[first[:-1]] = vocab.inputs
+            word = x < k
+            total += np.bincount(x[word] * BEFORE + fold[before[word]], minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["cell", "n"])
+
+    spread = np.zeros(k * BEFORE)
+    if k:
+        for r in tokens.filter("not held").select("own").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+            spread[r["cell"]] = r["n"]
+    vocab.word_class = _clusters(spread.reshape(k, BEFORE), vocab.count, WORD_CLASSES) if k else np.zeros(0, np.int64)
+    by = np.argsort(vocab.word_class, kind="stable")
+    vocab.word_column = np.empty(len(by), np.int64)
+    vocab.word_column[by] = np.arange(len(by))
+    sizes = np.bincount(vocab.word_class, minlength=WORD_CLASSES)
+    vocab.members = [(int(b - s), int(b)) for b, s in zip(np.cumsum(sizes), sizes)]
+
+
+def first_model(tokens: DataFrame, vocab: Vocabulary) -> gru.Model:
+    """The model to start from, trained on the first texts by a hash, SAMPLE_DOCS and SAMPLE_TOKENS at most; a longer text is left to the rounds."""
+    class_counts = np.concatenate([np.bincount(vocab.word_class, vocab.count, WORD_CLASSES), vocab.mass, [vocab.ends]])
+    model = gru.Model.new(vocab.inputs, class_counts, vocab.count[np.argsort(vocab.word_class, kind="stable")], vocab.members, HIDDEN, 1)
+    part = min(1.0, 3 * SAMPLE_DOCS / max(1, vocab.ends))
+    place = F.xxhash64("doc_id", "own")
+    some = tokens.filter("not held").filter(F.col("size") <= SAMPLE_TOKENS // 4).withColumn("place", place).filter(F.col("place") < F.lit(int((part - 0.5) * 2**63) * 2 if part < 1 else 2**63 - 1))
+    some = some.orderBy("place", "own").limit(SAMPLE_DOCS)  # bounded: a few hundred rows, the tokens by the running sum
+    kept = some.withColumn("sum", F.sum("size").over(W.orderBy("place", "own"))).filter(F.col("sum") <= SAMPLE_TOKENS).select("place", "own").collect()
+    cls, col = vocab.outputs()
+    docs = [(x, cls[x], col[x]) for x in (np.frombuffer(r["own"], np.uint16).astype(np.int64) for r in sorted(kept, key=lambda r: (r["place"], bytes(r["own"]))))]
     if docs:
         gru.train(model, docs)
-    return vocab, model
+    return model
 
 
 def encoded(rows: DataFrame, counts: DataFrame, vocab: Vocabulary) -> DataFrame:
@@ -258,10 +305,8 @@ def encoded(rows: DataFrame, counts: DataFrame, vocab: Vocabulary) -> DataFrame:
 
     # All of dealt's columns go in, so that this and the cogroup below share one shuffle of the texts.
     wanted = dealt.mapInArrow(ask, "block int, h long")
-    answers = wanted.join(counts.select("h", "c").hint("merge"), "h").select("block", "h", "c")
-    n, v = vocab.n, vocab.v
-
-    end = vocab.classes - 1
+    answers = wanted.join(counts.filter(F.col("kind") == WORD).select("h", "c").hint("merge"), "h").select("block", "h", "c")
+    n, v, end = vocab.n, vocab.v, vocab.end
 
     def run(texts: pa.Table, answer: pa.Table) -> pa.Table:
         ah, ac = answer.column("h").to_numpy(), answer.column("c").to_numpy()
@@ -271,13 +316,14 @@ def encoded(rows: DataFrame, counts: DataFrame, vocab: Vocabulary) -> DataFrame:
         for t in common.chunks(iter(texts.to_batches()), "text", TEXT_CHUNK // 2):
             ws = common.words_of(t.column("text"), common.separators("space"), lower=True)
             codes, distinct = ws.codes()
-            h, look = _looks(distinct)
+            h, ending, data, starts = _looks(distinct)
             c = np.zeros(len(h), np.int64)
             if len(ah):
                 at = np.minimum(np.searchsorted(ah, h), len(ah) - 1)
                 c = np.where(ah[at] == h, ac[at], 0)
-            x, _, _, within = vocab.read(h, look, c)
-            own = vocab.read(h, look, np.maximum(c - 1, 0))[0]
+            x, within = vocab.read(h, ending, c)
+            within = within + np.where(c > 0, 0.0, vocab.spelling_of(data, starts))
+            own = vocab.read(h, ending, np.maximum(c - 1, 0))[0]
             # The end follows each text's words.
             first = ws.first + np.arange(t.num_rows + 1)
             place = np.ones(ws.n + t.num_rows, bool)
@@ -289,7 +335,7 @@ def encoded(rows: DataFrame, counts: DataFrame, vocab: Vocabulary) -> DataFrame:
                 return out
 
             def inputs(of: np.ndarray) -> pa.Array:
-                data = spread(of, len(vocab.frequent) + end, np.uint16)
+                data = spread(of, end, np.uint16)
                 return pa.Array.from_buffers(pa.binary(), t.num_rows, [None, pa.py_buffer((2 * first).astype(np.int32)), pa.py_buffer(data)])
 
             base = spread(np.log10((c + 0.5) / (n + 0.5 * (v + 1))), np.log10((vocab.ends + 0.5) / (n + 0.5 * (v + 1))), np.float64)
@@ -310,6 +356,7 @@ def train_all(tokens: DataFrame, vocab: Vocabulary, model: gru.Model, folder: st
     """The model after every training text of tokens (held, own) was read once, in rounds of averaged parameters."""
     spark = tokens.sparkSession
     parts = max(1, min(-(-vocab.n // (ROUNDS * ROUND_TOKENS)), 4 * common.shuffle_width(spark)))
+    lanes = int(parts**0.5) + 1
     place = F.xxhash64("doc_id", "own")
     dealt = tokens.filter("not held").select(F.pmod(place, F.lit(ROUNDS)).alias("round"), F.pmod(F.shiftright(place, 8), F.lit(parts)).cast("int").alias("part"), "own")
     cls, col = vocab.outputs()
@@ -326,22 +373,23 @@ def train_all(tokens: DataFrame, vocab: Vocabulary, model: gru.Model, folder: st
                 texts += t.num_rows
             if seen:
                 pieces = np.array_split(np.concatenate([own.p[name].ravel() for name in names]).astype(np.float64) * seen, PIECES)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(PIECES, dtype=np.int32)), pa.array([seen] * PIECES, pa.int64()), pa.array([texts] * PIECES, pa.int64()), pa.array([w.astype(np.float64) for w in pieces], pa.list_(pa.float64()))], names=["piece", "n", "texts", "w"])
+                lane = seen % lanes
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(PIECES, dtype=np.int32)), pa.array([lane] * PIECES, pa.int32()), pa.array([seen] * PIECES, pa.int64()), pa.array([texts] * PIECES, pa.int64()), pa.array([w.astype(np.float64) for w in pieces], pa.list_(pa.float64()))], names=["piece", "lane", "n", "texts", "w"])
 
-        def average(t: pa.Table) -> pa.Table:
-            n = sum(t["n"].to_pylist())
+        def total(t: pa.Table) -> pa.Table:
             w = np.zeros(len(t["w"][0]))
             for one in t["w"]:
                 w += one.values.to_numpy()
-            return pa.table({"piece": t["piece"][:1], "n": pa.array([n], pa.int64()), "texts": pa.array([sum(t["texts"].to_pylist())], pa.int64()), "w": pa.array([(w / n).tolist()], pa.list_(pa.float64()))})
+            return pa.table({"piece": t["piece"][:1], "lane": t["lane"][:1], "n": pa.array([sum(t["n"].to_pylist())], pa.int64()), "texts": pa.array([sum(t["texts"].to_pylist())], pa.int64()), "w": pa.array([w.tolist()], pa.list_(pa.float64()))})
 
-        kind = "piece int, n long, texts long, w array<double>"
+        kind = "piece int, lane int, n long, texts long, w array<double>"
         trained = common.deal(dealt.filter(F.col("round") == k).select("part", "own"), parts, "part").select("own").mapInArrow(fit, kind)
-        trained.groupBy("piece").applyInArrow(average, kind).write.parquet(f"{folder}/round-{k}")
-        got = spark.read.parquet(f"{folder}/round-{k}").orderBy("piece").select("w").collect()
+        # First by lanes, so that no task gets more than about the root of all partitions' parameters.
+        trained.groupBy("piece", "lane").applyInArrow(total, kind).groupBy("piece").applyInArrow(total, kind).write.parquet(f"{folder}/round-{k}")
+        got = spark.read.parquet(f"{folder}/round-{k}").orderBy("piece").select("n", "w").collect()
         if not got:
             continue
-        flat = np.concatenate([np.array(r["w"]) for r in got]).astype(gru.F32)
+        flat = np.concatenate([np.array(r["w"]) / r["n"] for r in got]).astype(gru.F32)
         cuts = np.cumsum([model.p[name].size for name in names])[:-1]
         model = gru.Model({name: w.reshape(model.p[name].shape).copy() for name, w in zip(names, np.split(flat, cuts))}, model.members)
     return model
@@ -351,12 +399,13 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """A row for each row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), held_out(id_col).alias("held"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    counts = common.checkpointed(word_counts(rows))
-    vocab, model = learn(rows, counts)
+    counts = common.checkpointed(corpus_counts(rows))
+    vocab = vocabulary(rows, counts)
     folder = f"{common.ensure_checkpoint_dir(spark).rstrip('/')}/lm-{uuid.uuid4().hex}"
     encoded(rows, counts, vocab).write.parquet(f"{folder}/tokens")
     tokens = spark.read.parquet(f"{folder}/tokens")
-    model = train_all(tokens, vocab, model, folder)
+    classify(tokens, vocab)
+    model = train_all(tokens, vocab, first_model(tokens, vocab), folder)
     cls, col = vocab.outputs()
     n = vocab.n
 

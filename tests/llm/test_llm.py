@@ -587,15 +587,22 @@ def test_language_model(docs, none):
 
 def test_probabilities_add_up(docs):
     rows = docs.select("doc_id", lm.held_out("doc_id").alias("held"), F.coalesce("text", F.lit("")).alias("text"))
-    counts = lm.word_counts(rows).cache()
-    vocab, model = lm.learn(rows, counts)
-    known = counts.collect()
-    h, s, c = (np.array([r[k] for r in known], np.int64) for k in ("h", "spelling", "c"))
-    _, cls, col, within = vocab.read(h, s, c)
-    unknown = np.arange(lm.SPELLINGS)
-    _, ucls, ucol, uwithin = vocab.read(-unknown - 1, unknown, np.zeros(lm.SPELLINGS, np.int64))
+    counts = lm.corpus_counts(rows).cache()
+    vocab = lm.vocabulary(rows, counts)
+    tokens = lm.encoded(rows, counts, vocab).cache()
+    lm.classify(tokens, vocab)
+    model = lm.first_model(tokens, vocab)
+    known = counts.filter(F.col("kind") == lm.WORD).collect()
+    h, s, c = (np.array([r[k] for r in known], np.int64) for k in ("h", "ending", "c"))
+    x, within = vocab.read(h, s, c)
+    # All words without a count share a part of the lowest class of each spelling; the byte model deals that part out.
+    ending = np.array([np.flatnonzero(vocab.spelling == k)[0] for k in range(lm.SPELLINGS) if (vocab.spelling == k).any()])
+    ux, uwithin = vocab.read(-np.arange(len(ending)) - 1, ending, np.zeros(len(ending), np.int64))
+    every = np.r_[x, ux, vocab.end]
+    classes, columns = vocab.outputs()
+    allc, allw, share = classes[every], columns[every], np.r_[within, uwithin, 0.0]
     state = np.random.default_rng(1).normal(size=(1, lm.HIDDEN)).astype(np.float32)
-    allc, allw, share = np.r_[cls, ucls, vocab.classes - 1], np.r_[col, ucol, -1], np.r_[within, uwithin, 0.0]
+    assert np.allclose(np.exp(vocab.spelt).reshape(lm.BYTES, lm.BYTES).sum(axis=1), 1)
     p = np.exp(model.log_probs(np.repeat(state, len(allc), 0), allc, allw) + share).sum()
     empty = model._log_softmax(state, "A", "a")[0]
     unused = sum(math.exp(empty[k]) for k in range(vocab.classes) if k not in set(allc.tolist()))
@@ -607,15 +614,53 @@ def test_every_training_text_is_read(spark, docs, monkeypatch, tmp_path):
     monkeypatch.setattr(lm, "SAMPLE_DOCS", 5)
     monkeypatch.setattr(lm, "ROUND_TOKENS", 300)
     rows = docs.select("doc_id", lm.held_out("doc_id").alias("held"), F.coalesce("text", F.lit("")).alias("text"))
-    counts = lm.word_counts(rows).cache()
-    vocab, model = lm.learn(rows, counts)
+    counts = lm.corpus_counts(rows).cache()
+    vocab = lm.vocabulary(rows, counts)
     tokens = lm.encoded(rows, counts, vocab).cache()
+    lm.classify(tokens, vocab)
+    model = lm.first_model(tokens, vocab)
     got = lm.train_all(tokens, vocab, model, str(tmp_path))
     rounds = [spark.read.parquet(f"{tmp_path}/round-{k}").filter("piece = 0").first() for k in range(lm.ROUNDS)]
     assert sum(r["n"] for r in rounds if r) == vocab.n and sum(r["texts"] for r in rounds if r) == vocab.ends
     assert all(np.isfinite(w).all() for w in got.p.values()) and any((got.p[k] != model.p[k]).any() for k in got.p)
 
 
+def test_counts_of_endings_and_bytes(docs):
+    """The side tables against plain counting."""
+    rows = docs.select("doc_id", lm.held_out("doc_id").alias("held"), F.coalesce("text", F.lit("")).alias("text"))
+    pairs, spelt = Counter(), Counter()
+    code = lambda w: int(lm.endings(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0])
+    for r in corpus():
+        if zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 5 == 1:
+            continue
+        ws = [w.encode() for w in SPACE_WORDS.findall(ascii_lower(r[1] or ""))]
+        pairs.update(code(a) * lm.ENDINGS + code(b) for a, b in zip(ws, ws[1:]))
+        for w in ws:
+            spelt.update(a * lm.BYTES + b for a, b in zip([0, *(x + 1 for x in w)], [*(x + 1 for x in w), 0]))
+    got = lm.corpus_counts(rows).collect()
+    assert {r.h: r.c for r in got if r.kind == lm.PAIR} == dict(pairs)
+    assert {r.h: r.c for r in got if r.kind == lm.SPELT} == dict(spelt)
+
+
+def test_gibberish_scores_below_prose(spark):
+    """Held-out random letters fall below held-out prose per token, prose that is held out gains nothing over prose that is not, and known words gain over the base by themselves."""
+    r = random.Random(4)
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    ids = [i for i in range(10**6, 10**6 + 400) if zlib.crc32(str(i).encode()) % 5 == 1][:40]
+    noise = spark.createDataFrame([(i, " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 10))) for _ in range(80))) for i in ids], real.schema)
+    got = lm.scored(real.unionByName(noise)).collect()
+
+    def rate(rows, column="score"):
+        return sum(g[column] for g in rows) / sum(g.n_tokens for g in rows)
+
+    prose = [g for g in got if g.doc_id < 10**6]
+    held = [g for g in prose if g.held_out]
+    assert rate([g for g in got if g.doc_id >= 10**6]) < rate(prose) - 2
+    assert rate(held) <= rate([g for g in prose if not g.held_out]) + 0.05
+    known = [g for g in held if g.n_known == g.n_tokens]
+    assert known and rate(known) > rate(known, "base_score") + 0.2
+
+
 def test_one_pass_leaves_no_token_out(monkeypatch):
     read = []
     real = gru._window
