@@ -10,7 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -23,6 +24,19 @@ def keep_columns(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def row_key(id_col: str, text_col: str) -> list[Column]:
+    """k1 and k2: 128 bits of id and text. Rows that share them are repeated rows; null ids and ids on several texts are told apart."""
+    i, t = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    return [F.xxhash64(i, t).alias("k1"), F.xxhash64(F.lit(1), t, i).alias("k2")]
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs, all columns, whose row_key is in kept (k1, k2); of repeated rows one. Repeated rows are thinned before the shuffle."""
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *row_key(id_col, text_col))
+    rank = F.row_number().over(W.partitionBy("k1", "k2").orderBy(F.xxhash64("_row")))
+    return keyed.withColumn("_rank", rank).filter("_rank = 1").join(kept, ["k1", "k2"], "left_semi").select("_row.*")
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

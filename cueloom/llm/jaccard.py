@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components
-from .simhash import keep_least, salted_join, salted_lookup
+from .simhash import least_row, salted_join, salted_lookup
 
 SHINGLE = 5
 #: The least similarity, as a fraction of whole numbers.
@@ -86,14 +86,16 @@ def _texts(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def classified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id and cls of every row."""
+    """doc_id, cls and the row's key, of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in common.chunks(batches, text_col, TEXT_CHUNK):
             cls = classes_of(*sets_of(t.column(text_col)))
-            yield pa.RecordBatch.from_arrays([t.column(id_col).combine_chunks(), pa.array(cls)], names=["doc_id", "cls"])
+            own = [t.column(c).combine_chunks() for c in (id_col, "k1", "k2")]
+            yield pa.RecordBatch.from_arrays([own[0], pa.array(cls), *own[1:]], names=["doc_id", "cls", "k1", "k2"])
 
-    return common.keep_columns(docs, [id_col, text_col]).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, cls long")
+    rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), *common.row_key(id_col, text_col))
+    return rows.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, cls long, k1 long, k2 long")
 
 
 def frequent_shingles(docs: DataFrame, text_col: str) -> np.ndarray:
@@ -199,15 +201,20 @@ def similar(docs: DataFrame, text_col: str) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row a document: doc_id and component_id, the smallest id of its component."""
-    of = common.checkpointed(classified(docs, id_col, text_col))
-    classes = of.groupBy("cls").agg(F.min("doc_id").alias("least"))
-    named = classes.join(similar(docs, text_col).withColumnRenamed("node", "cls"), "cls", "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    of, named, names = _grouped(docs, id_col, text_col)
     # A big component's classes and a big class's rows are spread, as in op9.
-    lookup = salted_lookup(named.select(F.col("cls").alias("fp"), "root"), names)
+    lookup = salted_lookup(named.select(F.col("cls").alias("fp"), "root"), names.select("root", F.col("least.doc_id").alias("component_id")))
     return salted_join(of.withColumnRenamed("cls", "fp"), lookup).select("doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all columns, with one document of each component: the one of the smallest id, of repeated rows one."""
-    return keep_least(docs, near_duplicates(docs, id_col, text_col), id_col, text_col)
+    """docs, all columns, with one document of each component: the one of the smallest id, null ids last; of repeated rows one."""
+    _, _, names = _grouped(docs, id_col, text_col)
+    return common.keep_rows(docs, names.select("least.k1", "least.k2"), id_col, text_col)
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    of = common.checkpointed(classified(docs, id_col, text_col))
+    classes = of.groupBy("cls").agg(F.min(least_row()).alias("least"))
+    named = classes.join(similar(docs, text_col).withColumnRenamed("node", "cls"), "cls", "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
+    return of, named, named.groupBy("root").agg(F.min("least").alias("least"))

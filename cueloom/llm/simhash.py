@@ -27,8 +27,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -75,14 +74,16 @@ def fingerprints_of(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
 
 
 def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long, for every row."""
+    """doc_id, fp, the fingerprint as a signed long, and the row's key, for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in common.chunks(batches, text_col, TEXT_CHUNK):
             fp = fingerprints_of(t.column(text_col), shingle)
-            yield pa.RecordBatch.from_arrays([t.column(id_col).combine_chunks(), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            own = [t.column(c).combine_chunks() for c in (id_col, "k1", "k2")]
+            yield pa.RecordBatch.from_arrays([own[0], pa.array(fp.view(np.int64)), *own[1:]], names=["doc_id", "fp", "k1", "k2"])
 
-    return common.keep_columns(docs, [id_col, text_col]).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp long")
+    rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), *common.row_key(id_col, text_col))
+    return rows.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp long, k1 long, k2 long")
 
 
 # --- the plan -------------------------------------------------------------------------------------------------------------
@@ -344,15 +345,28 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
     """A row a document: doc_id, fp and component_id."""
+    fps, named, names = _grouped(docs, id_col, text_col, shingle, distance, block)
+    return salted_join(fps, salted_lookup(named, names.select("root", F.col("least.doc_id").alias("component_id"))))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
+    """docs, all columns, with one document of each component: the one of the smallest id, null ids last; of repeated rows one."""
+    _, _, names = _grouped(docs, id_col, text_col, shingle, distance, block)
+    return common.keep_rows(docs, names.select("least.k1", "least.k2"), id_col, text_col)
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, distance: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     fps = common.checkpointed(fingerprinted(docs, id_col, text_col, shingle))
-    classes = common.checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    classes = common.checkpointed(fps.groupBy("fp").agg(F.min(least_row()).alias("least")))
     plan = plan_probing(classes, distance)
     roots = components(links(classes, plan, distance, block))
-    # The component's name: the smallest id over its fingerprints.
     named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = salted_lookup(named.select("fp", "root"), names)
-    return salted_join(fps, of)
+    return fps, named.select("fp", "root"), named.groupBy("root").agg(F.min("least").alias("least"))
+
+
+def least_row() -> Column:
+    """What the smallest of a group is taken of: the row of the smallest id, null ids last."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
 
 
 def salted_lookup(named: DataFrame, names: DataFrame) -> DataFrame:
@@ -363,24 +377,10 @@ def salted_lookup(named: DataFrame, names: DataFrame) -> DataFrame:
 
 def salted_join(fps: DataFrame, of: DataFrame) -> DataFrame:
     """Documents of one fingerprint may be a third of all: they too are spread."""
-    salted = fps.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS)))
+    salted = fps.withColumn("salt", F.pmod(F.hash("k1"), F.lit(SALTS)))
     return salted.join(of.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["fp", "salt"]).select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """docs, all columns, with one document of each component: the one of the smallest id, of repeated rows one."""
-    return keep_least(docs, near_duplicates(docs, id_col, text_col, **kw), id_col, text_col)
-
-
-def keep_least(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs whose id names a component in found (doc_id, component_id); of repeated rows one."""
-    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\x00none"))
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key("doc_id").alias("_key")).distinct()
-    kept = docs.withColumn("_key", key(f"`{id_col}`")).join(keep, "_key", "left_semi")
-    # The join has dealt the rows by _key already; the window needs no further shuffle.
-    return kept.withColumn("_rank", F.row_number().over(W.partitionBy("_key").orderBy(F.xxhash64(F.col(f"`{text_col}`"))))).filter("_rank = 1").drop("_key", "_rank")
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(common.table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

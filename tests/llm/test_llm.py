@@ -16,7 +16,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from cueloom.llm import boosting, chat, components, decontam, fmindex, gru, html_extract, lines, lm, mixing, pii, quality, simhash, substr
+from cueloom.llm import boosting, chat, components, decontam, fmindex, gru, html_extract, jaccard, lines, lm, mixing, pii, quality, simhash, substr
 
 SPACE_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM_WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -502,6 +502,21 @@ def test_near_duplicates(docs, none):
     assert left.columns == docs.columns and left.count() == len(set(root))
 
 
+def test_unrelated_rows_without_an_id_of_their_own_stay(spark):
+    """Null ids and one id on different texts: every text stays; a repeated row and a copy go."""
+    r = random.Random(15)
+    say = lambda: " ".join(r.choice("abcdefghij") * r.randint(1, 5) + str(r.randint(0, 99)) for _ in range(60))
+    a, b, c, d, e, f = (say() for _ in range(6))
+    rows = [(None, a, 1), (None, b, 2), (None, c, 3), (7, d, 4), (7, e, 5), (8, f, 6)]
+    more = [(7, d, 4), (7, d, 9), (9, a, 1), (None, f, 1), (10, None, 1), (None, "", 1)]
+    for drop in (simhash.drop_near_duplicates, jaccard.drop_near_duplicates):
+        assert bag(map(tuple, drop(spark.createDataFrame(rows, "doc_id long, text string, _row long")).collect())) == bag(rows)
+        got = drop(spark.createDataFrame(rows + more, "doc_id long, text string, _row long")).collect()
+        assert bag((x.doc_id, x.text) for x in got) == bag([(9, a), (None, b), (None, c), (7, d), (7, e), (8, f), (10, None)])
+        named = drop(spark.createDataFrame([(str(i), t, n) for i, t, n in rows], "doc_id string, text string, _row long"))
+        assert named.count() == 6
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(1, 70)] + [(100, i) for i in range(101, 140)] + [(139, 150), (7, 7)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
