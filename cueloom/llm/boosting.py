@@ -46,14 +46,19 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 3, rate: float = 0.2, ridge: float = 1.0) -> Boosted:
-    """Second-order boosting of the logistic loss over all split points that the data hold."""
+    """Second-order boosting of the logistic loss over all split points that the data hold. Feature values are coded once; a node's sums for all split points of all features are one count."""
     model = Boosted(float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))))
     cuts = [np.unique(x[:, j])[:-1] for j in range(x.shape[1])]
+    sizes = np.array([len(c) + 1 for c in cuts])
+    offset = np.cumsum(sizes) - sizes
+    code = np.stack([np.searchsorted(c, x[:, j]) for j, c in enumerate(cuts)], axis=1) + offset
+    feature_of, cut_of = np.repeat(np.arange(len(cuts)), sizes), np.concatenate([np.append(c, np.inf) for c in cuts])
+    splits = np.isfinite(cut_of)
     score = np.full(len(y), model.base)
+    size = 2 ** (depth + 1) - 1
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-score))
         g, h = y - p, p * (1 - p)
-        size = 2 ** (depth + 1) - 1
         feature, threshold, value = np.full(size, -1), np.zeros(size), np.zeros(size)
         node = np.zeros(len(y), np.int64)
         for k in range(size):
@@ -62,31 +67,68 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 3, rate: fl
                 continue
             gs, hs = g[own].sum(), h[own].sum()
             value[k] = rate * gs / (hs + ridge)
-            if 2 * k + 2 >= size:
+            if 2 * k + 2 >= size or not splits.any():
                 continue
-            best = (1e-6, -1, 0.0)
-            for j, cut in enumerate(cuts):
-                if not len(cut):
-                    continue
-                at = np.searchsorted(cut, x[own, j])
-                gl, hl = (np.cumsum(np.bincount(at, w, len(cut) + 1))[:-1] for w in (g[own], h[own]))
-                gain = gl**2 / (hl + ridge) + (gs - gl) ** 2 / (hs - hl + ridge) - gs**2 / (hs + ridge)
-                i = int(np.argmax(gain))
-                if gain[i] > best[0]:
-                    best = (float(gain[i]), j, float(cut[i]))
-            if best[1] >= 0:
-                feature[k], threshold[k] = best[1], best[2]
-                node[own] = 2 * k + 1 + (x[own, best[1]] > best[2])
+            flat = code[own].ravel()
+            gl, hl = (_within(np.bincount(flat, np.repeat(w[own], len(cuts)), len(cut_of)), offset, sizes) for w in (g, h))
+            gain = np.where(splits, gl**2 / (hl + ridge) + (gs - gl) ** 2 / (hs - hl + ridge) - gs**2 / (hs + ridge), -np.inf)
+            best = int(np.argmax(gain))
+            if gain[best] > 1e-6:
+                feature[k], threshold[k] = feature_of[best], cut_of[best]
+                node[own] = 2 * k + 1 + (x[own, feature[k]] > threshold[k])
         model.trees.append((feature, threshold, value))
         score += value[node]
     return model
 
 
-def fit_calibrated(x: np.ndarray, y: np.ndarray, seed: int = 7, **kw) -> Boosted:
-    """Two thirds train the trees, the rest calibrate them."""
+def _within(sums: np.ndarray, offset: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Running sums that begin anew at each feature."""
+    total = np.cumsum(sums)
+    return total - np.repeat(np.r_[0.0, total][offset], sizes)
+
+
+@dataclass
+class Judge:
+    """Trees for all groups; a calibration and a threshold for each group."""
+
+    model: Boosted
+    steps: list[tuple[np.ndarray, np.ndarray]]
+    thresholds: np.ndarray
+
+    def probability(self, x: np.ndarray, group: np.ndarray) -> np.ndarray:
+        raw, out = self.model.raw(x), np.zeros(len(x))
+        for k in np.unique(group):
+            at, p = self.steps[k]
+            own = group == k
+            out[own] = p[np.clip(np.searchsorted(at, raw[own], side="right") - 1, 0, len(p) - 1)]
+        return out
+
+    def accepts(self, x: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The calibrated probability of each row, and whether it reaches its group's threshold."""
+        p = self.probability(x, group)
+        return p, p >= self.thresholds[group]
+
+
+def fit_judge(x: np.ndarray, y: np.ndarray, group: np.ndarray, groups: int, precision: float, seed: int = 7, **kw) -> Judge:
+    """Half of the rows train the trees; a quarter calibrates each group by itself; on the last quarter each group gets the lowest threshold from 0.5 up whose accepted rows are right in at least ``precision`` of cases, or the one of the best F1 where none is."""
     order = np.random.default_rng(seed).permutation(len(y))
-    cut = 2 * len(y) // 3
-    model = fit(x[order[:cut]], y[order[:cut]], **kw)
-    held = order[cut:]
-    model.steps = isotonic(model.raw(x[held]), y[held])
-    return model
+    train, held, last = np.split(order, [len(y) // 2, 3 * len(y) // 4])
+    model = fit(x[train], y[train], **kw)
+    raw = model.raw(x)
+    steps, thresholds = [], np.full(groups, 2.0)  # a group without examples accepts nothing
+    for k in range(groups):
+        own = held[group[held] == k]
+        steps.append(isotonic(raw[own], y[own]) if len(own) else (np.zeros(1), np.zeros(1)))
+    judge = Judge(model, steps, thresholds)
+    p = judge.probability(x[last], group[last])
+    for k in range(groups):
+        own = group[last] == k
+        tried = []
+        for t in np.unique(p[own]):
+            hit = own & (p >= t)
+            right = y[last][hit].sum()
+            tried.append((right / hit.sum(), 2 * right / (hit.sum() + max(1, y[last][own].sum())), t))
+        enough = [t for found, _, t in tried if t >= 0.5 and found >= precision]
+        if tried:
+            thresholds[k] = min(enough) if enough else max(tried, key=lambda x: x[1])[2]
+    return judge
