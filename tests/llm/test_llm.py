@@ -356,7 +356,37 @@ PAGES = {
     "<div><div><div>": [],
     "<nav>only menu words</nav>": [],
     '<main><p>Some body text stands here.</p><section id="comments"><p>Nice post</p></section></main>': ["Some body text stands here."],
+    "<nav>" + "<div>" * 250 + "<a>Home</a></nav><article><p>The text behind the menu stands here.</p></article>": ["The text behind the menu stands here."],
+    "<article><p>Read what others wrote about all this.</p><ul><li><a href=a>First source</a></li><li><a href=b>Second source</a></li></ul><p>So much for the sources of it.</p></article>": ["Read what others wrote about all this.", "First source", "Second source", "So much for the sources of it."],
+    "<article><p>The sum is <math><mi>a</mi><mo>+</mo><mn>1</mn></math> as one can see here.</p></article>": ["The sum is a+1 as one can see here."],
 }
+STORY = "<h1>Of rain</h1>" + "".join(f"<p>In the {w} week it rained on every day but one, and nobody went out to look.</p>" for w in ("first", "second", "third"))
+WRAPPERS = [
+    '<div class="container has-sidebar">{}</div>', '<main class="no-sidebar">{}</main>', '<article class="post category-advertising">{}</article>', '<div id="story-comments-open">{}</div>',
+    '<form id="aspnetForm">{}</form>', '<section class="with-cookie-notice">{}</section>', '<div class="layout-header-top"><div class="tag-promo">{}</div></div>',
+]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_wrappers_do_not_condemn_an_article(wrapper):
+    around = '<html><body><nav><ul><li><a href=a>Home</a></li><li><a href=b>News</a></li></ul></nav>{}<div class="comments"><p>I liked the rain of it a lot.</p></div><footer>All rights reserved by someone</footer></body></html>'
+    got = html_extract.extract(around.format(wrapper.format(STORY)))
+    assert got == ["Of rain", *(f"In the {w} week it rained on every day but one, and nobody went out to look." for w in ("first", "second", "third"))]
+    assert html_extract.extract(wrapper.format(STORY)) == got
+
+
+def test_region_of_whole_pages_is_the_best():
+    """The scan over whole pages against every region."""
+    r = random.Random(41)
+    m = html_extract.model()
+    for _ in range(12):
+        page = html_extract.parsed(html_extract.labelled_page(r)[0])
+        s = html_extract._scores(page, html_extract._placed(page, m.suspects), m.weights)
+        a, b = html_extract.best_region(s)
+        at = np.r_[0, np.cumsum(s)]
+        every = at[None, :] - at[:, None]
+        assert math.isclose(sum(s[a:b]), max(0.0, np.triu(every).max()), abs_tol=1e-9)
+    assert all(v > 0 for k, v in m.weights.items() if k.startswith("word") and "outside" not in k) and all(v < 0 for k, v in m.weights.items() if "tag" in k)
 
 
 @pytest.mark.parametrize("page", PAGES)
