@@ -3,25 +3,29 @@
 A word is removed when a window of ``window`` words over it also starts in a document with a smaller id. Equal windows make a deep
 node of the suffix tree of all texts, so the tree is built in parts that fit in memory:
 
-1. Each task takes its documents in chunks. Where a chunk holds a window several times, the window's smallest document is the
+1. The windows of all texts are counted by the hash of the prefix that they will be dealt by, in a fixed number of cells. From the
+   counts every cell gets as many buckets as it needs for each to fit in memory, small cells share one.
+2. Each task takes its documents in chunks. Where a chunk holds a window several times, the window's smallest document is the
    only one still open; the others are decided at once, and the window travels once, however common it is.
-2. Open windows go to buckets by the smallest hash of the word pairs in them. Neighbouring windows mostly share it, so a bucket
-   gets runs of words rather than one copy of the words for each suffix; this only chooses who builds which tree.
-3. In a bucket, suffixes whose window hash occurs once cannot have a deep node and are left out. The others are split by prefixes
+3. Open windows go to buckets by a prefix of varying length: the smallest hash of the word pairs in them; in a cell with several buckets, the
+   smallest hash of their runs of four words; where those too are crowded, the hash of the whole window. Neighbouring windows
+   mostly share such a prefix, so a bucket gets runs of words rather than one copy of the words for each suffix; this only chooses who
+   builds which tree.
+4. In a bucket, suffixes whose window hash occurs once cannot have a deep node and are left out. The others are split by prefixes
    of as many words as it takes to get groups of at most ``GROUP`` suffixes (small prefixes share a group). Each group becomes a
    subtree, from its sorted suffixes and their common prefix lengths: internal nodes at least ``window`` words deep are the
    repeats, and their leaves beyond the smallest document are marked.
-4. Marks return to the documents by a join on a hash of id and text; equal windows inside a document share their marks.
+5. Marks return to the documents by a join on a hash of id and text; equal windows inside a document share their marks.
 
-Words are [^\\x20\\x09-\\x0D]+, unchanged. A null or empty text has no words. Ids are whole numbers; a null id counts as larger than any
-other, and no row as smaller than one of the same id, so repeated rows keep their words. Trees compare words by a 64-bit hash of
-each word; steps 1 and 4 compare windows by a 64-bit hash of the window.
+Words are [^\\x20\\x09-\\x0D]+, unchanged. A null or empty text has no words. Ids are of any type that can be ordered, and are compared in
+its order; a null id counts as larger than any other, and no row as smaller than one of the same id, so repeated rows keep their
+words. Words are told apart by 128 bits of XXH3; windows that a chunk takes for equal are compared word by word.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +36,14 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW = 13
-SEED_WORDS = 2
-#: A pair of fewer bytes is taken for a bucket only where a window has no longer one: short words are common.
+#: Words of the prefixes that windows are dealt by, the shorter first.
+SEED_WORDS = (2, 4)
+#: A prefix of fewer bytes is taken only where a window has no longer one: short words are common.
 SEED_BYTES = 9
+#: Prefixes are counted in so many cells; a bucket is to get so many windows, and a task so many buckets.
+CELLS, BUCKET_WINDOWS, TASK_BUCKETS, MOST_TASKS = 1 << 14, 500_000, 2, 200_000
+#: A longer prefix is crowded where its cell has so many times the mean.
+CROWDED = 4
 GROUP = 1 << 16
 TEXT_CHUNK = 8 << 20
 NO_ID = np.iinfo(np.int64).max
@@ -52,20 +61,95 @@ def window_hashes(word_hash: np.ndarray, window: int) -> np.ndarray:
     return h
 
 
-def seeds(h: np.ndarray, lengths: np.ndarray, window: int) -> np.ndarray:
-    """For each window start the smallest hash of its word pairs."""
-    n = len(h) - SEED_WORDS + 1
+def seeds(h: np.ndarray, lengths: np.ndarray, window: int, words: int) -> np.ndarray:
+    """For each window start the smallest hash of its runs of so many words."""
+    words = min(words, window)
+    n = len(h) - words + 1
     t, size = np.zeros(n, np.uint64), np.zeros(n, np.int64)
-    for j in range(SEED_WORDS):
+    for j in range(words):
         t = common.mix64(t * MULTIPLIER + h[j : j + n])
         size += lengths[j : j + n]
     t = (t >> np.uint64(1)) | np.where(size < SEED_BYTES, BIG, np.uint64(0))
-    width, have = window - SEED_WORDS + 1, 1
+    width, have = window - words + 1, 1
     while have < width:
         step = min(have, width - have)
         t = np.minimum(t[: len(t) - step], t[step:])
         have += step
-    return t
+    return common.mix64(t)
+
+
+@dataclass(frozen=True)
+class Dealing:
+    """Which bucket a window goes to: first and parts: the first bucket of each cell of the shorter prefix and how many it has; crowded: cells of the longer prefix."""
+
+    first: np.ndarray
+    parts: np.ndarray
+    crowded: np.ndarray
+
+    @property
+    def buckets(self) -> int:
+        return int((self.first + self.parts).max())
+
+    @classmethod
+    def of(cls, short: np.ndarray, long: np.ndarray, most: int) -> Dealing:
+        """From the windows in each cell. Cells in a row share a bucket as long as it holds them; a cell of more has its own."""
+        first, parts = np.zeros(len(short), np.int64), np.ones(len(short), np.int64)
+        at, held = 0, 0
+        for cell, n in enumerate(short.tolist()):
+            if held and held + n > most:
+                at, held = at + 1, 0
+            first[cell] = at
+            if n > most:
+                parts[cell] = -(-n // most)
+                at += int(parts[cell])
+            else:
+                held += n
+        return cls(first, parts, long > CROWDED * max(1.0, long.mean()))
+
+    def bucket(self, short: np.ndarray, long: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        cells = np.uint64(len(self.first))
+        cell = (short % cells).astype(np.int64)
+        inner = np.where(self.crowded[(long % cells).astype(np.int64)], common.mix64(whole + np.uint64(1)), common.mix64(long))
+        return self.first[cell] + (inner % self.parts[cell].astype(np.uint64)).astype(np.int64)
+
+
+def settled(halves: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each word (n x 2 halves of its hash) that only equal words share."""
+    key, other = halves[:, 0].copy(), halves[:, 1]
+    by = np.lexsort((other, key))
+    clash = (key[by][1:] == key[by][:-1]) & (other[by][1:] != other[by][:-1])
+    if clash.any():
+        both = np.isin(key, key[by][1:][clash])
+        key[both] = common.mix64(key[both] ^ common.mix64(other[both]))
+    return key
+
+
+def _keys(ws: common.Words) -> np.ndarray:
+    codes, halves, _ = common.wide_keys(ws)
+    return settled(halves)[codes] if ws.n else np.zeros(0, np.uint64)
+
+
+def counted(docs: DataFrame, window: int, most: int, cells: int = CELLS) -> Dealing:
+    """Step 1, over all windows of docs (text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((len(SEED_WORDS), cells), np.int64)
+        for t in common.chunks(batches, "text", TEXT_CHUNK):
+            ws = common.words_of(t.column("text"), common.separators("space"))
+            if ws.n < window:
+                continue
+            codes, halves, _ = common.wide_keys(ws)
+            h, lengths = halves[codes, 0], np.diff(ws.at)
+            starts = common.ranges(ws.first[:-1], np.maximum(ws.counts - window + 1, 0))
+            for k, words in enumerate(SEED_WORDS):
+                n[k] += np.bincount((seeds(h, lengths, window, words)[starts] % np.uint64(cells)).astype(np.int64), minlength=cells)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n.ravel()[some])], names=["cell", "n"])
+
+    total = np.zeros(len(SEED_WORDS) * cells, np.int64)
+    for r in docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # 2 * cells rows
+        total[r["cell"]] = r["n"]
+    return Dealing.of(total[:cells], total[cells:], most)
 
 
 def _runs(starts: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,10 +167,16 @@ def _squeeze(raw: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=5).compress(raw)
 
 
-def _unsqueezed_hashes(blob: bytes) -> np.ndarray:
-    """Hashes of the words of one chunk; the text itself is not kept."""
-    text = pa.array([zstandard.ZstdDecompressor().decompress(blob, max_output_size=1 << 31)], pa.large_binary())
-    return common.word_keys(common.words_of(text, common.separators("space")))
+def _unsqueezed(blobs: list[bytes]) -> np.ndarray:
+    """Keys of the words of all chunks; the texts themselves are not kept."""
+    codes, halves, at = [], [], 0
+    for blob in blobs:
+        text = pa.array([zstandard.ZstdDecompressor().decompress(blob, max_output_size=1 << 31)], pa.large_binary())
+        c, own, _ = common.wide_keys(common.words_of(text, common.separators("space")))
+        codes.append(c + np.int64(at))
+        halves.append(own)
+        at += len(own)
+    return settled(np.concatenate(halves))[np.concatenate(codes)]
 
 
 def _pack(*columns: np.ndarray) -> bytes:
@@ -104,18 +194,28 @@ def _unpack(blob: bytes, columns: int) -> np.ndarray:
 _BUCKETED = pa.schema([("bucket", pa.int64()), ("segments", pa.binary()), ("words", pa.binary()), ("decided", pa.binary())])
 
 
-def bucketed(docs: DataFrame, buckets: int, window: int) -> DataFrame:
-    """Steps 1 and 2 of docs (doc_id, text, row_key): one row for each chunk and bucket."""
+def _equal_before(w: np.ndarray, at: np.ndarray, h: np.ndarray, window: int) -> np.ndarray:
+    """Of sorted window hashes whose windows start at `at`: whether each window is equal to the one before, word by word."""
+    same = np.r_[False, w[1:] == w[:-1]] if len(w) else np.zeros(0, bool)
+    own = np.flatnonzero(same)
+    for j in range(window):
+        same[own] &= h[at[own] + j] == h[at[own - 1] + j]
+    return same
+
+
+def bucketed(docs: DataFrame, dealing: Dealing, window: int) -> DataFrame:
+    """Steps 2 and 3 of docs (place, text, row_key): one row for each chunk and bucket. place: a whole number in the order of the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in common.chunks(batches, "text", TEXT_CHUNK):
-            ids = t.column("doc_id").combine_chunks()
+            ids = t.column("place").combine_chunks()
             order = np.where(ids.is_null().to_numpy(zero_copy_only=False), NO_ID, ids.fill_null(0).to_numpy(zero_copy_only=False))
             keys = t.column("row_key").to_numpy()
             ws = common.words_of(t.column("text"), common.separators("space"))
             if ws.n < window:
                 continue
-            h = common.word_keys(ws)
+            codes, halves, _ = common.wide_keys(ws)
+            h = settled(halves)[codes]
             starts = common.ranges(ws.first[:-1], np.maximum(ws.counts - window + 1, 0))
             if not len(starts):
                 continue
@@ -123,7 +223,7 @@ def bucketed(docs: DataFrame, buckets: int, window: int) -> DataFrame:
             w = window_hashes(h, window)[starts]
             by = np.lexsort((order[row], w))  # stable: equal ones stay by row
             sw, so, sr = w[by], order[row[by]], row[by]
-            new = np.r_[True, sw[1:] != sw[:-1]]
+            new = ~_equal_before(sw, starts[by], h, window)
             least = so[np.flatnonzero(new)[np.cumsum(new) - 1]]
             late = so > least
             again = ~new & ~late & np.r_[False, sr[1:] == sr[:-1]]  # the same window once more in a row
@@ -131,10 +231,12 @@ def bucketed(docs: DataFrame, buckets: int, window: int) -> DataFrame:
             decided[by[late]] = True
             open_ = np.ones(len(starts), bool)
             open_[by[late | again]] = False
-            del by, sw, so, sr, new, least, late, again, w
-            seed = seeds(h, np.diff(ws.at), window)[starts[open_]]
-            bucket = (common.mix64(seed) % np.uint64(buckets)).astype(np.int64)
             o_start, o_row = starts[open_], row[open_]
+            # By the plain halves, as they were counted; other chunks must send an equal window to the same bucket.
+            plain, lengths = halves[codes, 0], np.diff(ws.at)
+            whole = window_hashes(plain, window)[o_start]
+            bucket = dealing.bucket(*(seeds(plain, lengths, window, n)[o_start] for n in SEED_WORDS), whole)
+            del by, sw, so, sr, new, least, late, again, w, whole, plain
             first, size = _runs(o_start, o_row, bucket)
             # The words with one space after each: a run of words is a slice of it.
             at = ws.at + np.arange(ws.n + 1)
@@ -155,11 +257,11 @@ def bucketed(docs: DataFrame, buckets: int, window: int) -> DataFrame:
                 out["words"].append(_squeeze(b"".join([raw[p:q] for p, q in zip(begin[x:y], end[x:y])])))
                 out["decided"].append(gone if k == bearer else None)
             if gone is not None and len(cuts) < 2:
-                for n, v in zip(_BUCKETED.names, (int(keys[0]) % buckets, None, None, gone)):
+                for n, v in zip(_BUCKETED.names, (int(keys[0]) % dealing.buckets, None, None, gone)):
                     out[n].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=_BUCKETED)
 
-    return docs.select("doc_id", "text", "row_key").mapInArrow(run, "bucket long, segments binary, words binary, decided binary")
+    return docs.select("place", "text", "row_key").mapInArrow(run, "bucket long, segments binary, words binary, decided binary")
 
 
 # --- the trees of a bucket ------------------------------------------------------------------------------------------------
@@ -231,8 +333,8 @@ def _marks(key: np.ndarray, start: np.ndarray, size: np.ndarray) -> Iterator[pa.
     yield pa.RecordBatch.from_arrays([pa.array(key[first]), *lists], schema=_MARKS)
 
 
-def marks(rows: DataFrame, window: int, group: int = GROUP) -> DataFrame:
-    """Step 3: (row_key, at, n): n marked window starts from word at on."""
+def marks(rows: DataFrame, buckets: int, window: int, group: int = GROUP) -> DataFrame:
+    """Step 4: (row_key, at, n): n marked window starts from word at on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in common.grouped_stream(batches, "bucket"):
@@ -242,7 +344,7 @@ def marks(rows: DataFrame, window: int, group: int = GROUP) -> DataFrame:
             if not segs:
                 continue
             key, owner, start, size = np.concatenate(segs, axis=1)
-            h = np.concatenate([_unsqueezed_hashes(x) for x in t.column("words").drop_null().to_pylist()])
+            h = _unsqueezed(t.column("words").drop_null().to_pylist())
             begin = np.cumsum(size + window - 1) - (size + window - 1)
             starts = common.ranges(begin, size)
             seg = np.repeat(np.arange(len(size), dtype=np.int32), size)
@@ -259,8 +361,8 @@ def marks(rows: DataFrame, window: int, group: int = GROUP) -> DataFrame:
             first, n = _runs(place, seg[late])
             yield from _marks(key[seg[late]][first], place[first], n)
 
-    width = common.shuffle_width(rows.sparkSession)
-    return common.deal(rows, width, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "row_key long, at array<int>, n array<int>")
+    parts = max(common.shuffle_width(rows.sparkSession), min(MOST_TASKS, -(-buckets // TASK_BUCKETS)))
+    return common.deal(rows, parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "row_key long, at array<int>, n array<int>")
 
 
 def _kept_words(texts: pa.Array, at: list, n: list, window: int) -> tuple[common.Words, np.ndarray]:
@@ -269,7 +371,7 @@ def _kept_words(texts: pa.Array, at: list, n: list, window: int) -> tuple[common
     gone = np.zeros(ws.n + 1, np.int32)
     marked = [i for i, x in enumerate(at) if x is not None and len(x)]
     if marked:
-        h = common.word_keys(ws)
+        h = _keys(ws)
         for i in marked:
             a, b = int(ws.first[i]), int(ws.first[i + 1])
             w = window_hashes(h[a:b], window)
@@ -280,11 +382,26 @@ def _kept_words(texts: pa.Array, at: list, n: list, window: int) -> tuple[common
     return ws, np.cumsum(gone[:-1]) == 0
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, buckets: int | None = None, group: int = GROUP) -> DataFrame:
+WHOLE = {"tinyint", "smallint", "int", "bigint"}
+
+
+def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text, row_key, and place: the id itself where it is a whole number, otherwise a number in the order of the ids."""
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    rows = rows.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    if rows.schema["doc_id"].dataType.simpleString() in WHOLE:
+        return rows.withColumn("place", F.col("doc_id").cast("long"))
+    sorted_ = rows.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct().orderBy("doc_id")
+    places = common.checkpointed(sorted_.withColumn("place", F.monotonically_increasing_id()))
+    return common.checkpointed(rows.join(places, "doc_id", "left"))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, most: int = BUCKET_WINDOWS, group: int = GROUP) -> DataFrame:
     """A row for each row: doc_id, n_words, n_removed and kept, the words that stay joined by one space."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")).alias("row_key"))
-    found = marks(bucketed(rows, buckets or max(64, 2 * common.shuffle_width(spark)), window), window, group)
+    rows = _placed(docs, id_col, text_col)
+    dealing = counted(rows, window, most)
+    found = marks(bucketed(rows, dealing, window), dealing.buckets, window, group)
     own = found.groupBy("row_key").agg(F.flatten(F.collect_list("at")).alias("at"), F.flatten(F.collect_list("n")).alias("n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,7 +417,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     parts = common.TEXT_PARTS * common.shuffle_width(spark)
     met = rows.repartition(parts, "row_key").join(own.repartition(parts, "row_key").hint("merge"), "row_key", "left")
-    return met.select("doc_id", "text", "at", "n").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return met.select("doc_id", "text", "at", "n").mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept string")
 
 
 def digest(found: DataFrame) -> DataFrame:

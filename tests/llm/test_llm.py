@@ -17,7 +17,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from cueloom.llm import boosting, chat, components, decontam, fmindex, gru, html_extract, jaccard, lines, lm, mixing, pii, quality, simhash, substr
+from cueloom.llm import boosting, chat, common, components, decontam, fmindex, gru, html_extract, jaccard, lines, lm, mixing, pii, quality, simhash, substr
 
 SPACE_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM_WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -516,11 +516,54 @@ def plain_dedup(rows: list[tuple[int | None, str | None]], window: int) -> list[
 def test_substring_dedup(docs, none, chunk, group, monkeypatch):
     monkeypatch.setattr(substr, "TEXT_CHUNK", chunk)
     rows = [(r[0], r[1]) for r in corpus()]
-    got = substr.deduplicate(docs, group=group, buckets=5).select("doc_id", "n_words", "n_removed", "kept").collect()
-    assert bag(map(tuple, got)) == bag(plain_dedup(rows, 13))
+    for most in (40, 10**6):
+        got = substr.deduplicate(docs, group=group, most=most).select("doc_id", "n_words", "n_removed", "kept").collect()
+        assert bag(map(tuple, got)) == bag(plain_dedup(rows, 13))
     assert substr.deduplicate(none).count() == 0
 
 
+def test_substring_dedup_by_ids_of_other_types(docs):
+    """String ids are compared as strings, so 10 comes before 9."""
+    rows = [(None if r[0] is None else str(r[0]), r[1]) for r in corpus()]
+    rank = {x: i for i, x in enumerate(sorted({i for i, _ in rows if i is not None}))}
+    want = plain_dedup([(rank.get(i), t) for i, t in rows], 13)
+    got = substr.deduplicate(docs.withColumn("doc_id", F.col("doc_id").cast("string"))).collect()
+    assert bag((None if g.doc_id is None else rank[g.doc_id], g.n_words, g.n_removed, g.kept) for g in got) == bag(want)
+
+
+def test_long_regular_words_are_told_apart(spark):
+    """Thue-Morse words and their complements, which polynomial hashes confuse: no word goes."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    first = " ".join(f"x{i}" for i in range(12))
+    rows = [(1, f"{first} {word}"), (2, f"{first} {word.translate(str.maketrans('ab', 'ba'))}"), (3, f"{first} {word}")]
+    got = {r.doc_id: r.n_removed for r in substr.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 13}
+
+
+def test_words_of_equal_first_halves_are_told_apart():
+    halves = np.array([[5, 1], [5, 2], [7, 1], [5, 1]], np.uint64)
+    key = substr.settled(halves)
+    assert key[0] == key[3] != key[1] and key[2] == 7 and len(set(key.tolist())) == 3
+    h = np.array([1, 2, 3, 1, 2, 4, 1, 2, 3], np.uint64)
+    assert substr._equal_before(np.zeros(3, np.uint64), np.array([0, 3, 6]), h, 3).tolist() == [False, False, False]
+    assert substr._equal_before(np.zeros(3, np.uint64), np.array([0, 6, 3]), h, 3).tolist() == [False, True, False]
+
+
+def test_windows_are_dealt_in_bounded_buckets():
+    """Every bucket gets about what it may hold, whatever prefix is common; equal windows meet."""
+    r = np.random.default_rng(12)
+    n = 60_000
+    short, long, whole = (common.mix64(x) for x in (r.integers(0, 3000, n), r.integers(0, 20_000, n), r.integers(0, 2**60, n)))
+    short[: n // 3], long[: n // 6] = short[0], long[0]
+    cells = 256
+    count = [np.bincount((x % np.uint64(cells)).astype(int), minlength=cells) for x in (short, long)]
+    dealing = substr.Dealing.of(*count, 1000)
+    bucket = dealing.bucket(short, long, whole)
+    sizes = np.bincount(bucket)
+    assert bucket.min() >= 0 and bucket.max() < dealing.buckets <= 2 * n / 1000 + 2 and sizes.max() < 2500
+    assert (dealing.bucket(short[::-1], long[::-1], whole[::-1])[::-1] == bucket).all()
+
+
 def test_subtrees_and_prefixes():
     r = np.random.default_rng(5)
     codes = r.integers(0, 3, 400)
