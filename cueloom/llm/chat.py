@@ -13,11 +13,13 @@ and renders its turns by itself. A row is written for each turn read; its ``rend
 text, so that a conversation is the concatenation of its rows in order.
 
 Order is by turn, then role, text and place in the input; nulls come first. A null conv_id is one conversation, a null or unknown role is relabelled,
-a null text is empty. Repeated rows are turns of their own and so are merged.
+a null text is empty. Repeated rows are turns of their own and so are merged. Marks of the markup inside a text are escaped
+(``escaped``, undone by ``unescaped``), so that no text can open or close a turn.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,6 +39,8 @@ END = 2
 INF = float("inf")
 OPEN, CLOSE = "<|{}|>\n", "\n<|end|>\n"
 MERGED = "\n"
+_MARK, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
+_TURN = re.compile(r"<\|(system|user|assistant)\|>\n(.*?)\n<\|end\|>\n", re.S)
 
 #: role written, merged, empty turns before it
 Move = tuple[int, bool, tuple[int, ...]]
@@ -107,6 +111,20 @@ def repair(roles: list[int], entry: int = START, leave: int | None = None) -> tu
     return out[::-1], _ways(end)[END] if leave is None else (), float(total[end] if leave is None else cost[end])
 
 
+def escaped(text: str) -> str:
+    """One more backslash inside each "<|", however many it has already."""
+    return _MARK.sub(r"<\\\1|", text)
+
+
+def unescaped(text: str) -> str:
+    return _ESCAPED.sub(r"<\1|", text)
+
+
+def parse(rendered: str) -> list[tuple[str, str]]:
+    """The roles and texts of a rendered conversation; merged turns are one text."""
+    return [(role, unescaped(text)) for role, text in _TURN.findall(rendered)]
+
+
 def _empty(roles: tuple[int, ...], state: int) -> tuple[str, int]:
     text = ""
     for q in roles:
@@ -119,6 +137,7 @@ def render(texts: list[str], moves: list[tuple[int, int, Move]], after: tuple[in
     """A string for each turn; after: the empty turns at the end, None where the conversation goes on."""
     out = []
     for text, (state, _, (role, merged, way)) in zip(texts, moves):
+        text = escaped(text)
         if merged:
             out.append(MERGED + text)
             continue

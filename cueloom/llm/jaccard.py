@@ -14,7 +14,6 @@ Empty and null texts are one class. A null doc_id is never a component's name. R
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -169,7 +168,7 @@ def similar(docs: DataFrame, text_col: str) -> DataFrame:
     """(node, root) of the classes that have a similar one."""
     sent = entries(docs, text_col, frequent_shingles(docs, text_col)).repartition(common.shuffle_width(docs.sparkSession), "key").dropDuplicates(["key", "cls"])
     met = common.checkpointed(sent.withColumn("members", F.count(F.lit(1)).over(W.partitionBy("key"))).filter("members > 1").drop("members"))
-    folder = f"{common.ensure_checkpoint_dir(docs.sparkSession).rstrip('/')}/near-{uuid.uuid4().hex}"
+    folder = common.new_folder(docs.sparkSession, "near")
     links = roots = None
     least = F.lit(1) + F.floor(F.least("n", "n2") / SHARED)
     for k in range(PIVOT_ROUNDS + 1):
@@ -196,6 +195,7 @@ def similar(docs: DataFrame, text_col: str) -> DataFrame:
         new = common.checkpointed(verified(pairs, sets))
         links = new if links is None else links.unionByName(new)
         roots = components(links)
+    common.drop_folder(docs.sparkSession, folder)  # the links are checkpointed
     return roots
 
 

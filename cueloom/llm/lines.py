@@ -5,18 +5,17 @@ task sends one sketch a line, so a line on every page costs no more than any oth
 ``min_sites`` are boilerplate, those clearly under it are not, and the lines between get an exact distinct count. Boilerplate
 lines are then cut from the texts.
 
-A document more than half of whose characters are boilerplate is a copy of a page, not a page with boilerplate: it keeps its
-text, and near-duplicate removal decides on it. That is the query's rule, as its SQL has it; the pipeline asks whether the text is
-a near copy of another instead (``remove_boilerplate_but_copies``). Blank lines are never boilerplate. A null text stays null with no lines; a null
+The query cuts every boilerplate line, whatever else a document holds; a document of nothing else becomes empty. Copies of whole pages
+on many sites also have their lines on many sites: with ``spare_copies`` (the pipeline's way) a document more than half of whose
+characters are boilerplate keeps its text if nothing else would be left of it or if it is a near copy of another such document, and
+near-duplicate removal decides on it. Blank lines are never boilerplate. A null text stays null with no lines; a null
 site counts as one site of its own. Rows are matched by a hash of id and text, so repeated rows, null ids and ties are harmless:
-the hash only narrows the set of lines to look for, and a line's verdict holds in every document. The joins on the line hash
-are salted, for one line may be in a third of all documents.
+a line is cut only where its own hash stands at its place. The lines are written once to the checkpoint folder. The joins on the
+line hash are salted, for one line may be in a third of all documents.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,13 +39,14 @@ def _blank(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
+    """row_key, site, line_key and pos of each line that is not blank."""
     text = F.col(f"`{text_col}`")
-    keys = F.array_distinct(F.transform(F.filter(F.split(text, "\n"), lambda x: ~_blank(x)), _key))
-    return docs.select(
+    each = docs.select(
         F.xxhash64(F.col(f"`{id_col}`"), text).alias("row_key"),
         F.coalesce(F.col(f"`{site_col}`").cast("string"), F.lit(NO_SITE)).alias("site"),
-        F.explode(keys).alias("line_key"),
+        F.posexplode(F.transform(F.split(text, "\n"), lambda x: F.when(~_blank(x), _key(x)))).alias("pos", "line_key"),
     )
+    return common.checkpointed(each.filter(F.col("line_key").isNotNull()))
 
 
 def _salted(df: DataFrame, by: Column) -> DataFrame:
@@ -70,19 +70,15 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return sure.unionByName(exact)
 
 
-def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
+def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", spare_copies: bool = False) -> DataFrame:
     """docs with its columns, text without boilerplate lines, and n_lines and n_removed (lines that are not blank, and those cut)."""
-    done = _judged(docs, min_sites, id_col, text_col, site_col)
-    return _cut(done, docs.columns, text_col, 2 * F.col("p.left") >= F.col("p.all"))
-
-
-def remove_boilerplate_but_copies(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
-    """As remove_boilerplate, but a document more than half of whose characters are boilerplate is spared only if it is a copy: if nothing else is left of it, or if its text is a near copy of another such document's. A short page with a long notice loses the notice."""
     judged = _judged(docs, min_sites, id_col, text_col, site_col)
+    if not spare_copies:
+        return _cut(judged, docs.columns, text_col, F.lit(True))
     half = 2 * F.col("p.left") < F.col("p.all")
     open_ = half & (F.col("p.left") > 0)
     first = _cut(judged, docs.columns, text_col, ~half, F.when(open_, F.col("p.text")).alias("_less"), F.when(open_, F.col("p.n") - F.col("p.m")).alias("_lines"))
-    folder = f"{common.ensure_checkpoint_dir(docs.sparkSession).rstrip('/')}/lines-{uuid.uuid4().hex}"
+    folder = common.new_folder(docs.sparkSession, "lines")
     first.write.parquet(folder)
     done = docs.sparkSession.read.parquet(folder)
     names = [*docs.columns, "n_lines", "n_removed"]
@@ -101,23 +97,22 @@ def _judged(docs: DataFrame, min_sites: int, id_col: str, text_col: str, site_co
     """_row, _text and p: lines that are not blank (n), those that stay (m), characters (all), those that stay (left) and the text that stays."""
     lines = _lines(docs, id_col, text_col, site_col)
     found = boilerplate(lines, min_sites).select("line_key")
-    marked = _salted(lines.select("row_key", "line_key"), F.col("row_key")).join(_all_salts(found), ["line_key", "salt"])
-    cut = marked.groupBy("row_key").agg(F.collect_set("line_key").alias("cut"))
-    text = F.col("_text")
+    marked = _salted(lines.select("row_key", "line_key", "pos"), F.col("row_key")).join(_all_salts(found), ["line_key", "salt"])
+    cut = marked.groupBy("row_key").agg(F.collect_set(F.struct("pos", "line_key")).alias("cut"))
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text_col}`").alias("_text"), F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("row_key")
     )
-    none = F.array().cast("array<bigint>")
     parts = common.TEXT_PARTS * common.shuffle_width(docs.sparkSession)
     met = rows.repartition(parts, "row_key").join(cut.repartition(parts, "row_key").hint("merge"), "row_key", "left")
-    joined = met.select("_row", "_text", F.coalesce("cut", none).alias("cut"))
 
-    def parts(ls: Column) -> Column:
-        said = F.filter(ls, lambda x: ~_blank(x))
-        kept = F.when(F.size("cut") == 0, ls).otherwise(F.filter(ls, lambda x: _blank(x) | ~F.array_contains(F.col("cut"), _key(x))))
-        return let(kept, lambda k: F.struct(F.size(said).cast("long").alias("n"), F.size(F.filter(k, lambda x: ~_blank(x))).cast("long").alias("m"), _chars(ls).alias("all"), _chars(k).alias("left"), F.array_join(k, "\n").alias("text")))
+    def told(ls: Column) -> Column:
+        said = F.size(F.filter(ls, lambda x: ~_blank(x))).cast("long")
+        gone = F.transform(F.filter("cut", lambda c: _key(F.get(ls, c["pos"])) == c["line_key"]), lambda c: c["pos"])
+        # Sets of places, so that a long page with many lines cut takes linear time.
+        kept = F.when(F.size("cut") > 0, F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), gone), lambda i: F.get(ls, i))).otherwise(ls)
+        return let(kept, lambda k: F.struct(said.alias("n"), F.size(F.filter(k, lambda x: ~_blank(x))).cast("long").alias("m"), _chars(ls).alias("all"), _chars(k).alias("left"), F.array_join(k, "\n").alias("text")))
 
-    return joined.select("_row", "_text", let(F.split(F.coalesce(text, F.lit("")), "\n"), parts).alias("p"))
+    return met.select("_row", "_text", let(F.split(F.coalesce(F.col("_text"), F.lit("")), "\n"), told).alias("p"))
 
 
 def _cut(done: DataFrame, columns: list[str], text_col: str, cuts: Column, *more: Column) -> DataFrame:
@@ -144,10 +139,9 @@ line6 AS (SELECT rid, site, i, l[i] AS line, {TRIM.format("l[i]")} AS bare FROM
     SELECT rid, coalesce(source, chr(1)) AS site, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM docs6)),
 boiler6 AS (SELECT bare FROM line6 WHERE bare <> '' GROUP BY bare HAVING count(DISTINCT site) >= {MIN_SITES}),
 mark6 AS (SELECT line6.*, line6.bare <> '' AND boiler6.bare IS NOT NULL AS bad FROM line6 LEFT JOIN boiler6 ON line6.bare = boiler6.bare),
-part6 AS (SELECT rid, string_agg(line, chr(10) ORDER BY i) FILTER (NOT bad) AS kept, sum(length(bare)) AS all_chars, coalesce(sum(length(bare)) FILTER (NOT bad), 0) AS left_chars,
-    count(*) FILTER (bare <> '') AS n_lines, count(*) FILTER (bad) AS n_bad FROM mark6 GROUP BY rid),
-cut6 AS (SELECT docs6.* EXCLUDE (rid), CASE WHEN docs6.text IS NULL THEN NULL WHEN 2 * left_chars >= all_chars THEN coalesce(kept, '') ELSE docs6.text END AS new_text,
-    coalesce(n_lines, 0) AS n_lines, CASE WHEN 2 * left_chars >= all_chars THEN n_bad ELSE 0 END AS n_removed FROM docs6 LEFT JOIN part6 ON docs6.rid = part6.rid)"""
+part6 AS (SELECT rid, string_agg(line, chr(10) ORDER BY i) FILTER (NOT bad) AS kept, count(*) FILTER (bare <> '') AS n_lines, count(*) FILTER (bad) AS n_bad FROM mark6 GROUP BY rid),
+cut6 AS (SELECT docs6.* EXCLUDE (rid), CASE WHEN docs6.text IS NULL THEN NULL ELSE coalesce(kept, '') END AS new_text, coalesce(n_lines, 0) AS n_lines, coalesce(n_bad, 0) AS n_removed
+    FROM docs6 LEFT JOIN part6 ON docs6.rid = part6.rid)"""
 SQL = f"WITH {LINES_SQL.format(source='documents')} SELECT doc_id, new_text AS text, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed FROM cut6"
 
 QUERIES = {"op6_line_dedup": query}

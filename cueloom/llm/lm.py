@@ -25,7 +25,6 @@ training documents is scored with empty counts.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -386,7 +385,7 @@ def train_all(tokens: DataFrame, vocab: Vocabulary, model: gru.Model, folder: st
         trained = common.deal(dealt.filter(F.col("round") == k).select("part", "own"), parts, "part").select("own").mapInArrow(fit, kind)
         # First by lanes, so that no task gets more than about the root of all partitions' parameters.
         trained.groupBy("piece", "lane").applyInArrow(total, kind).groupBy("piece").applyInArrow(total, kind).write.parquet(f"{folder}/round-{k}")
-        got = spark.read.parquet(f"{folder}/round-{k}").orderBy("piece").select("n", "w").collect()
+        got = spark.read.parquet(f"{folder}/round-{k}").orderBy("piece").select("n", "w").collect()  # PIECES rows
         if not got:
             continue
         flat = np.concatenate([np.array(r["w"]) / r["n"] for r in got]).astype(gru.F32)
@@ -401,7 +400,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), held_out(id_col).alias("held"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     counts = common.checkpointed(corpus_counts(rows))
     vocab = vocabulary(rows, counts)
-    folder = f"{common.ensure_checkpoint_dir(spark).rstrip('/')}/lm-{uuid.uuid4().hex}"
+    folder = common.new_folder(spark, "lm")
     encoded(rows, counts, vocab).write.parquet(f"{folder}/tokens")
     tokens = spark.read.parquet(f"{folder}/tokens")
     classify(tokens, vocab)
