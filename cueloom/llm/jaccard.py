@@ -1,15 +1,21 @@
-"""Near duplicates by the Jaccard similarity of word shingles, exact: every pair at or over the threshold is linked, and no other.
+"""Near duplicates by the Jaccard similarity of word shingles: SimHash first, then whatever it cannot reach, so that every pair at or over the threshold is linked and no other.
 
 A text is the set of 64-bit hashes of its five-word shingles (a shorter text is one shingle). Texts of equal sets form a class,
-and only classes are searched. Under any one order of all shingles, two sets of similarity 0.8 share one of the first
-n - ceil(0.8 n) + 1 shingles of each (prefix filter), and l of the first n - ceil(0.8 n) + l, so only those are sent. The order is by hash, but shingles that a sample of
-texts shows to be frequent come last, which keeps groups of one shingle small; the order changes the cost, not the result.
-
-The members of a shingle are compared by their whole sets, in rounds: first with one pivot of the shingle, whereby a big group
-of near copies becomes one component at a linear cost, then all pairs that share enough and whose components still differ. Pairs that are in one
-component already need no comparison, so the components are those of all pairs.
-
-Empty and null texts are one class. A null doc_id is never a component's name. Repeated rows are linked.
+and only classes are searched. Links are found in turns, and a later turn looks only at classes that are not in one component yet:
+
+1. SimHash: the classes' fingerprints (of the same shingles) are searched by the generalised pigeonhole, as in op9. Classes of near
+   fingerprints are compared by their whole sets. This settles copies with few changes, which differ in few bits.
+2. A pair of similarity 0.8 may differ in a dozen bits, out of the pigeonhole's reach. But under any one order of all shingles two such sets
+   share l of the first n - ceil(0.8 n) + l shingles of each (prefix filter), so each class sends these, in the order of the hash, with
+   l = 1 + n // ``SHARED``. Shingles that one class alone sends are dropped, and then classes that are left with too few.
+3. Each class is compared with one other of each shingle, the one whose shingles are most common: in a big group of near copies that is
+   the text from which the others were made. So a big group becomes one component at a linear cost.
+4. What is left: classes that share a shingle of up to ``HOT`` members are paired if they share l of them. Those that share a more common one
+   are dealt to pairs of bounded blocks, by the group that such shingles connect and by size, the group's main component
+   only against the others; they are compared there, and a task sends on a spanning forest.
+
+Every link is verified by whole sets. Empty and null texts are one class. A null doc_id is never a component's name. Repeated rows are
+linked.
 """
 
 from __future__ import annotations
@@ -18,23 +24,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, simhash
 from .components import components
-from .simhash import least_row, salted_join, salted_lookup
 
 SHINGLE = 5
 #: The least similarity, as a fraction of whole numbers.
 OVER, UNDER = 4, 5
 TEXT_CHUNK = 8 << 20
-#: One text in so many is looked at for frequent shingles; so many occurrences there are frequent; so many shingles are listed at most.
-SAMPLE, OFTEN, LISTED = 16, 4, 1 << 17
-PIVOT_ROUNDS = 2
 #: A set of n sends n // SHARED shingles more than it must, so that two similar sets share 1 + n // SHARED of those sent.
-SHARED = 20
+SHARED = 10
+#: Members of a shingle up to which they are paired as rows.
+HOT = 48
+#: Shingles and classes of one block of a hot group.
+BLOCK_SHINGLES, BLOCK_ROWS = 400_000, 1024
+#: Similar sets lie in one band of sizes or in neighbouring ones; a little wider than need be, for rounding.
+BAND = 1.01 * UNDER / OVER
 
 
 def sets_of(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -65,19 +73,11 @@ def classes_of(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return common.mix64(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(np.uint64)).view(np.int64)
 
 
-def prefixes_of(h: np.ndarray, at: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The text and shingle of each row to send. frequent: shingles that come last, the most frequent at the end."""
-    order = h >> np.uint64(1)
-    if len(frequent):
-        by = np.argsort(frequent)
-        place = np.minimum(np.searchsorted(frequent[by], h), len(frequent) - 1)
-        hit = frequent[by][place] == h
-        order[hit] = np.uint64(1 << 63) + by[place[hit]].astype(np.uint64)
+def prefixes_of(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The text and shingle of each row to send."""
     n = np.diff(at)
-    doc = np.repeat(np.arange(len(n)), n)
-    order = order[np.lexsort((order, doc))]
     sent = np.where(n > 0, np.minimum(n, n - -(-OVER * n // UNDER) + 1 + n // SHARED), 0)
-    return np.repeat(np.arange(len(n)), sent), order[common.ranges(at[:-1], sent)].view(np.int64)
+    return np.repeat(np.arange(len(n)), sent), h[common.ranges(at[:-1], sent)].view(np.int64)
 
 
 def _texts(docs: DataFrame, text_col: str) -> DataFrame:
@@ -85,27 +85,17 @@ def _texts(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def classified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, cls and the row's key, of every row."""
+    """doc_id, cls, fp (the SimHash of the shingles) and the row's key, of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in common.chunks(batches, text_col, TEXT_CHUNK):
-            cls = classes_of(*sets_of(t.column(text_col)))
+            h, at = sets_of(t.column(text_col))
+            fp = simhash.majority(h, np.diff(at))
             own = [t.column(c).combine_chunks() for c in (id_col, "k1", "k2")]
-            yield pa.RecordBatch.from_arrays([own[0], pa.array(cls), *own[1:]], names=["doc_id", "cls", "k1", "k2"])
+            yield pa.RecordBatch.from_arrays([own[0], pa.array(classes_of(h, at)), pa.array(fp.view(np.int64)), *own[1:]], names=["doc_id", "cls", "fp", "k1", "k2"])
 
     rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), *common.row_key(id_col, text_col))
-    return rows.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, cls long, k1 long, k2 long")
-
-
-def frequent_shingles(docs: DataFrame, text_col: str) -> np.ndarray:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in common.chunks(batches, "text", TEXT_CHUNK):
-            yield pa.RecordBatch.from_arrays([pa.array(sets_of(t.column("text"))[0].view(np.int64))], names=["h"])
-
-    some = _texts(docs, text_col).filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).distinct()
-    counts = some.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= OFTEN)
-    rows = counts.orderBy(F.desc("n"), "h").limit(LISTED).toArrow()
-    return rows["h"].to_numpy()[::-1].astype(np.int64).view(np.uint64).copy()
+    return rows.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, cls long, fp long, k1 long, k2 long")
 
 
 def _each_class_once(h: np.ndarray, at: np.ndarray, cls: np.ndarray, seen: set[int]) -> np.ndarray:
@@ -120,7 +110,7 @@ def _each_class_once(h: np.ndarray, at: np.ndarray, cls: np.ndarray, seen: set[i
     return np.array(own, np.int64)
 
 
-def entries(docs: DataFrame, text_col: str, frequent: np.ndarray) -> DataFrame:
+def entries(docs: DataFrame, text_col: str) -> DataFrame:
     """(key, cls, n): the shingles that each class sends, and how many it has in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,10 +120,10 @@ def entries(docs: DataFrame, text_col: str, frequent: np.ndarray) -> DataFrame:
             cls = classes_of(h, at)
             own = _each_class_once(h, at, cls, seen)
             n = np.diff(at)[own]
-            doc, key = prefixes_of(h[common.ranges(at[own], n)], np.r_[0, np.cumsum(n)].astype(np.int64), frequent)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(cls[own][doc]), pa.array(n[doc])], names=["key", "cls", "n"])
+            doc, key = prefixes_of(h[common.ranges(at[own], n)], np.r_[0, np.cumsum(n)].astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(cls[own][doc]), pa.array(n[doc].astype(np.int32))], names=["key", "cls", "n"])
 
-    return _texts(docs, text_col).mapInArrow(run, "key long, cls long, n long")
+    return _texts(docs, text_col).mapInArrow(run, "key long, cls long, n int")
 
 
 def whole_sets(docs: DataFrame, text_col: str) -> DataFrame:
@@ -152,59 +142,187 @@ def whole_sets(docs: DataFrame, text_col: str) -> DataFrame:
     return _texts(docs, text_col).mapInArrow(run, "cls long, shingles array<long>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar."""
-    one = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x"))
-    two = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(one, "a").join(two, "b").filter((OVER + UNDER) * both >= OVER * (F.size("x") + F.size("y"))).select("a", "b")
+def similar(x: Column, y: Column) -> Column:
+    both = F.size(F.array_intersect(x, y))
+    return (OVER + UNDER) * both >= OVER * (F.size(x) + F.size(y))
 
 
-def _near(n: str, m: str) -> F.Column:
+def _near(n: str, m: str) -> Column:
+    """Whether sets of these sizes can be similar."""
     return UNDER * F.least(n, m) >= OVER * F.greatest(n, m)
 
 
-def similar(docs: DataFrame, text_col: str) -> DataFrame:
-    """(node, root) of the classes that have a similar one."""
-    sent = entries(docs, text_col, frequent_shingles(docs, text_col)).repartition(common.shuffle_width(docs.sparkSession), "key").dropDuplicates(["key", "cls"])
-    met = common.checkpointed(sent.withColumn("members", F.count(F.lit(1)).over(W.partitionBy("key"))).filter("members > 1").drop("members"))
-    folder = common.new_folder(docs.sparkSession, "near")
-    links = roots = None
-    least = F.lit(1) + F.floor(F.least("n", "n2") / SHARED)
-    for k in range(PIVOT_ROUNDS + 1):
-        now = met.withColumn("root", F.col("cls")) if roots is None else met.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        # Only shingles whose members are in several components are looked at again.
-        of = W.partitionBy("key")
-        now = now.withColumn("least", F.min("root").over(of)).withColumn("most", F.max("root").over(of)).filter("least <> most")
-        if k < PIVOT_ROUNDS:
-            chosen = F.min(F.struct(F.xxhash64("cls", F.lit(k)), F.col("cls"), F.col("n"), F.col("root"))).over(of)
-            found = now.withColumn("p", chosen).select("cls", "n", "root", F.col("p.cls").alias("cls2"), F.col("p.n").alias("n2"), F.col("p.root").alias("root2"))
-        else:
-            other = now.select("key", *[F.col(c).alias(f"{c}2") for c in ("cls", "n", "root")])
-            found = now.join(other, "key").filter("cls < cls2")
-        met_in = found.filter(F.col("root") != F.col("root2")).filter(_near("n", "n2")).groupBy("cls", "cls2", "n", "n2").agg(F.count(F.lit(1)).alias("shared"))
-        if k < PIVOT_ROUNDS:  # each class with the one pivot that it shares most with
-            pairs = met_in.filter(4 * F.col("shared") >= least).groupBy("cls").agg(F.max(F.struct("shared", "cls2")).alias("p")).select("cls", F.col("p.cls2").alias("cls2"))
-        else:
-            pairs = met_in.filter(F.col("shared") >= least)
-        # As a table, so that its size is known to the joins.
-        pairs.select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b")).distinct().write.parquet(f"{folder}/{k}")
-        pairs = docs.sparkSession.read.parquet(f"{folder}/{k}")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-        sets = whole_sets(docs, text_col).join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
-        new = common.checkpointed(verified(pairs, sets))
-        links = new if links is None else links.unionByName(new)
-        roots = components(links)
-    common.drop_folder(docs.sparkSession, folder)  # the links are checkpointed
-    return roots
+class _Search:
+    """Links and components so far. Each turn's pairs are written as a table, so that their number is known to the joins."""
+
+    def __init__(self, docs: DataFrame, text_col: str):
+        self.docs, self.text_col, self.spark = docs, text_col, docs.sparkSession
+        self.folder, self.tables = common.new_folder(self.spark, "near"), 0
+        self.links: DataFrame | None = None
+        self.roots: DataFrame | None = None
+
+    def rooted(self, df: DataFrame) -> DataFrame:
+        """df (cls, ...) with the root of each class; a class without links is its own."""
+        return df.join(self.roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+
+    def table(self, df: DataFrame) -> DataFrame:
+        self.tables += 1
+        df.write.parquet(f"{self.folder}/{self.tables}")
+        return self.spark.read.parquet(f"{self.folder}/{self.tables}")
+
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """The whole sets of the classes in wanted (cls)."""
+        return whole_sets(self.docs, self.text_col).join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
+
+    def settle(self, *found: DataFrame) -> None:
+        for new in found:
+            self.links = new if self.links is None else self.links.unionByName(new)
+        self.roots = components(self.links)
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose whole sets are similar."""
+        pairs = self.table(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
+        one, two = (sets.select(F.col("cls").alias(c), F.col("shingles").alias(s)) for c, s in (("a", "x"), ("b", "y")))
+        return common.checkpointed(pairs.join(one, "a").join(two, "b").filter(similar(F.col("x"), F.col("y"))).select("a", "b"))
+
+
+def roots_of_similar(docs: DataFrame, text_col: str, classes: DataFrame) -> DataFrame:
+    """(node, root) of the classes that have a similar one; classes: cls and fp."""
+    search = _Search(docs, text_col)
+    search.settle(search.verified(_by_fingerprint(classes)))
+    met = _met(docs, text_col)
+    search.settle(search.verified(_with_pivots(search.rooted(met))))
+    left = common.checkpointed(_unsettled(search.rooted(met)).withColumn("members", F.count(F.lit(1)).over(W.partitionBy("key"))))
+    search.settle(search.verified(_pairs(left.filter(F.col("members") <= HOT))), _in_blocks(search, left.filter(F.col("members") > HOT)))
+    common.drop_folder(search.spark, search.folder)  # links and roots are checkpointed
+    return search.roots
+
+
+def _by_fingerprint(classes: DataFrame) -> DataFrame:
+    """Candidate pairs: classes of one fingerprint with the smallest of them, and the smallest of linked fingerprints."""
+    least = common.checkpointed(classes.groupBy("fp").agg(F.min("cls").alias("least")))
+    linked = simhash.links(least.select("fp"), simhash.plan_probing(least))
+    name = lambda c, as_: least.select(F.col("fp").alias(c), F.col("least").alias(as_))
+    across = linked.join(name("a", "one"), "a").join(name("b", "two"), "b").select(F.col("one").alias("a"), F.col("two").alias("b"))
+    salted = classes.withColumn("salt", F.pmod(F.hash("cls"), F.lit(simhash.SALTS)))
+    every = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(simhash.SALTS - 1))))
+    same = salted.join(every, ["fp", "salt"]).select(F.col("cls").alias("a"), F.col("least").alias("b")).filter("a <> b")
+    return across.unionByName(same)
+
+
+def _met(docs: DataFrame, text_col: str) -> DataFrame:
+    """(key, cls, n, common) of the shingles sent by several classes, for classes with enough of them; common: how many classes send the shingles of this class, on average."""
+    key = W.partitionBy("key")
+    width = common.TEXT_PARTS * common.shuffle_width(docs.sparkSession)
+    sent = entries(docs, text_col).repartition(width, "key").dropDuplicates(["key", "cls"])
+    met = common.checkpointed(sent.withColumn("members", F.count(F.lit(1)).over(key)).filter("members > 1"))
+    # A similar class has at least 0.8 n shingles, and both send l of those that they share.
+    least = F.lit(1) + F.floor(F.ceil(F.lit(OVER) * F.col("n") / UNDER) / SHARED)
+    enough = met.groupBy("cls", "n").agg(F.count(F.lit(1)).alias("own"), F.avg("members").alias("common")).filter(F.col("own") >= least).select("cls", "common")
+    again = met.drop("members").join(enough, "cls").withColumn("members", F.count(F.lit(1)).over(key))
+    return common.checkpointed(again.filter("members > 1").drop("members"))
+
+
+def _unsettled(now: DataFrame) -> DataFrame:
+    """Rows of the shingles whose members are in several components."""
+    of = W.partitionBy("key")
+    return now.withColumn("low", F.min("root").over(of)).withColumn("high", F.max("root").over(of)).filter("low <> high").drop("low", "high")
+
+
+def _with_pivots(now: DataFrame) -> DataFrame:
+    """Each class with the most common class of its shingles, of several the one that it shares most with."""
+    chosen = F.max(F.struct("common", F.xxhash64("cls").alias("place"), "cls", "n", "root")).over(W.partitionBy("key"))
+    found = _unsettled(now).withColumn("p", chosen).filter((F.col("root") != F.col("p.root")) & _near("n", "p.n"))
+    shared = found.groupBy("cls", F.col("p.cls").alias("cls2"), "n", F.col("p.n").alias("n2")).agg(F.count(F.lit(1)).alias("shared"))
+    best = shared.filter(_share_enough(4)).groupBy("cls").agg(F.max(F.struct("shared", "cls2")).alias("p"))
+    return best.select(F.col("cls").alias("a"), F.col("p.cls2").alias("b"))
+
+
+def _share_enough(times: int = 1) -> Column:
+    """Whether a pair shares l of the shingles sent; times: one in so many of them is enough, as only shingles with the same pivot count."""
+    return times * F.col("shared") >= F.lit(1) + F.floor(F.least("n", "n2") / SHARED)
+
+
+def _pairs(left: DataFrame) -> DataFrame:
+    """Pairs of classes of different components that share enough shingles of few members."""
+    one, two = left.select("key", "cls", "n", "root"), left.select("key", *[F.col(c).alias(f"{c}2") for c in ("cls", "n", "root")])
+    met = one.join(two, "key").filter("cls < cls2 and root <> root2").filter(_near("n", "n2"))
+    shared = met.groupBy("cls", "cls2", "n", "n2").agg(F.count(F.lit(1)).alias("shared"))
+    return shared.filter(_share_enough()).select(F.col("cls").alias("a"), F.col("cls2").alias("b"))
+
+
+def _in_blocks(search: _Search, left: DataFrame) -> DataFrame:
+    """Links among classes that share a shingle of many members."""
+    star = left.withColumn("low", F.min("cls").over(W.partitionBy("key"))).select(F.col("cls").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct()
+    group = components(star).select(F.col("node").alias("cls"), F.col("root").alias("grp"))
+    own = search.table(group.join(left.groupBy("cls").agg(F.first("n").alias("n"), F.first("root").alias("root")), "cls"))
+    main = own.groupBy("grp", "root").count().groupBy("grp").agg(F.max(F.struct("count", "root")).alias("m")).select("grp", F.col("m.root").alias("most"))
+    band = F.floor(F.log("n") / float(np.log(BAND))).cast("int")
+    own = own.join(main, "grp").select("grp", "cls", "root", "n", band.alias("band"), (F.col("root") == F.col("most")).alias("main"))
+    where = ["grp", "main", "band"]
+    blocks = own.groupBy(*where).agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS)).cast("int").alias("blocks"))
+    placed = own.join(blocks, where).withColumn("block", F.pmod(F.xxhash64("cls", F.lit(5)), F.col("blocks")).cast("int")).select("cls", "root", *where, "block")
+    every = blocks.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    first = every.filter("not main").select("grp", F.col("band").alias("band1"), F.col("block").alias("block1"), F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("step")).withColumn("band", F.col("band1") + F.col("step"))
+    cells = first.join(every, ["grp", "band"]).filter("main or step > 0 or (step = 0 and block1 <= block)").withColumn("cell", F.xxhash64("grp", "band1", "block1", *where[1:], "block"))
+    left_of = placed.filter("not main").withColumnsRenamed({"band": "band1", "block": "block1"}).drop("main").join(cells.select("grp", "band1", "block1", "cell"), ["grp", "band1", "block1"])
+    right_of = placed.join(cells.select(*where, "block", "cell"), [*where, "block"])
+    rows = left_of.select("cls", "root", "cell", F.lit(False).alias("right")).unionByName(right_of.select("cls", "root", "cell", F.lit(True).alias("right")))
+    full = rows.join(search.sets(own.select("cls")), "cls")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in common.grouped_stream(batches, "cell"):
+            a, b = compared(t["cls"].to_numpy(), t["root"].to_numpy(), t["right"].to_numpy(), t["shingles"].combine_chunks())
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    width = common.TEXT_PARTS * common.shuffle_width(search.spark)
+    return common.checkpointed(full.repartition(width, "cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long"))
+
+
+def compared(cls: np.ndarray, root: np.ndarray, right: np.ndarray, sets: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a cell, rows on the left against rows on the right, as a forest. The counts of shared shingles are products of rows of noughts and ones, some columns at a time."""
+    none = np.zeros(0, np.int64)
+    offsets = sets.offsets.to_numpy()
+    size = np.diff(offsets).astype(np.int64)
+    values = sets.values.to_numpy()[offsets[0] : offsets[-1]]
+    row = np.repeat(np.arange(len(cls)), size)
+    sides = np.flatnonzero(~right), np.flatnonzero(right)
+    found = [np.unique(values[right[row] == side]) for side in (False, True)]
+    both_sides = np.intersect1d(*found, assume_unique=True)
+    if not len(both_sides):
+        return none, none
+    code = np.minimum(np.searchsorted(both_sides, values), len(both_sides) - 1)
+    hit = both_sides[code] == values
+    code, row = code[hit], row[hit]
+    by = np.argsort(code, kind="stable")
+    code, row = code[by], row[by]
+    place = np.zeros(len(cls), np.int64)
+    for own in sides:
+        place[own] = np.arange(len(own))
+    shared = np.zeros((len(sides[0]), len(sides[1])), np.float32)
+    step = max(256, (1 << 23) // len(cls))
+    for a in range(0, len(both_sides), step):
+        lo, hi = np.searchsorted(code, [a, a + step])
+        parts = []
+        for side, own in zip((False, True), sides):
+            m = np.zeros((len(own), step), np.float32)
+            mine = np.flatnonzero(right[row[lo:hi]] == side) + lo
+            m[place[row[mine]], code[mine] - a] = 1
+            parts.append(m)
+        shared += parts[0] @ parts[1].T
+    x, y = sides
+    i, j = np.nonzero(((OVER + UNDER) * shared >= OVER * (size[x][:, None] + size[y][None, :])) & (root[x][:, None] != root[y][None, :]))
+    return simhash.forest(cls[x[i]], cls[y[j]])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row a document: doc_id and component_id, the smallest id of its component."""
     of, named, names = _grouped(docs, id_col, text_col)
     # A big component's classes and a big class's rows are spread, as in op9.
-    lookup = salted_lookup(named.select(F.col("cls").alias("fp"), "root"), names.select("root", F.col("least.doc_id").alias("component_id")))
-    return salted_join(of.withColumnRenamed("cls", "fp"), lookup).select("doc_id", "component_id")
+    lookup = simhash.salted_lookup(named.select(F.col("cls").alias("fp"), "root"), names.select("root", F.col("least.doc_id").alias("component_id")))
+    return simhash.salted_join(of.drop("fp").withColumnRenamed("cls", "fp"), lookup).select("doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,6 +333,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     of = common.checkpointed(classified(docs, id_col, text_col))
-    classes = of.groupBy("cls").agg(F.min(least_row()).alias("least"))
-    named = classes.join(similar(docs, text_col).withColumnRenamed("node", "cls"), "cls", "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
+    classes = common.checkpointed(of.groupBy("cls").agg(F.min(simhash.least_row()).alias("least"), F.first("fp").alias("fp")))
+    roots = roots_of_similar(docs, text_col, classes.select("cls", "fp"))
+    named = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     return of, named, named.groupBy("root").agg(F.min("least").alias("least"))

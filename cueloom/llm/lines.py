@@ -6,9 +6,9 @@ task sends one sketch a line, so a line on every page costs no more than any oth
 lines are then cut from the texts.
 
 The query cuts every boilerplate line, whatever else a document holds; a document of nothing else becomes empty. Copies of whole pages
-on many sites also have their lines on many sites: with ``spare_copies`` (the pipeline's way) a document more than half of whose
-characters are boilerplate keeps its text if nothing else would be left of it or if it is a near copy of another such document, and
-near-duplicate removal decides on it. Blank lines are never boilerplate. A null text stays null with no lines; a null
+on many sites also have their lines on many sites. With ``spare``, a share of a document's characters, a document of which
+boilerplate makes up so much keeps its text, and near-duplicate removal decides on it: the pipeline spares at 0.8, the
+similarity at which that stage takes texts for copies. Blank lines are never boilerplate. A null text stays null with no lines; a null
 site counts as one site of its own. Rows are matched by a hash of id and text, so repeated rows, null ids and ties are harmless:
 a line is cut only where its own hash stands at its place. The lines are written once to the checkpoint folder. The joins on the
 line hash are salted, for one line may be in a third of all documents.
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, jaccard
+from . import common
 from .quality import SPACE, let
 
 MIN_SITES = 10
@@ -70,27 +70,11 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return sure.unionByName(exact)
 
 
-def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", spare_copies: bool = False) -> DataFrame:
+def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", spare: float | None = None) -> DataFrame:
     """docs with its columns, text without boilerplate lines, and n_lines and n_removed (lines that are not blank, and those cut)."""
     judged = _judged(docs, min_sites, id_col, text_col, site_col)
-    if not spare_copies:
-        return _cut(judged, docs.columns, text_col, F.lit(True))
-    half = 2 * F.col("p.left") < F.col("p.all")
-    open_ = half & (F.col("p.left") > 0)
-    first = _cut(judged, docs.columns, text_col, ~half, F.when(open_, F.col("p.text")).alias("_less"), F.when(open_, F.col("p.n") - F.col("p.m")).alias("_lines"))
-    folder = common.new_folder(docs.sparkSession, "lines")
-    first.write.parquet(folder)
-    done = docs.sparkSession.read.parquet(folder)
-    names = [*docs.columns, "n_lines", "n_removed"]
-    asked = done.filter(F.col("_less").isNotNull()).withColumn("_key", F.xxhash64(F.col(f"`{text_col}`")))
-    found = jaccard.near_duplicates(asked.select("_key", F.col(f"`{text_col}`").alias("_text")), "_key", "_text")
-    groups = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component_id")
-    copies = found.join(groups, "component_id", "left_semi").select(F.col("doc_id").alias("_key"), F.lit(True).alias("_copy")).distinct()
-    told = asked.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(_all_salts(copies), ["_key", "salt"], "left")
-    cuts = F.col("_copy").isNull()
-    settled = told.withColumn(text_col, F.when(cuts, F.col("_less")).otherwise(F.col(f"`{text_col}`"))).withColumn("n_removed", F.when(cuts, F.col("_lines")).otherwise(F.col("n_removed")))
-    pick = lambda df: df.select(*[F.col(f"`{c}`") for c in names])
-    return pick(done.filter(F.col("_less").isNull())).unionByName(pick(settled))
+    cuts = F.lit(True) if spare is None else F.col("p.all") - F.col("p.left") < F.lit(spare) * F.col("p.all")
+    return _cut(judged, docs.columns, text_col, cuts)
 
 
 def _judged(docs: DataFrame, min_sites: int, id_col: str, text_col: str, site_col: str) -> DataFrame:
@@ -115,11 +99,11 @@ def _judged(docs: DataFrame, min_sites: int, id_col: str, text_col: str, site_co
     return met.select("_row", "_text", let(F.split(F.coalesce(F.col("_text"), F.lit("")), "\n"), told).alias("p"))
 
 
-def _cut(done: DataFrame, columns: list[str], text_col: str, cuts: Column, *more: Column) -> DataFrame:
+def _cut(done: DataFrame, columns: list[str], text_col: str, cuts: Column) -> DataFrame:
     text = F.col("_text")
     new = F.when(text.isNull(), F.lit(None).cast("string")).when(cuts, F.col("p.text")).otherwise(text)
     own = [new.alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in columns]
-    return done.select(*own, F.col("p.n").alias("n_lines"), F.when(cuts, F.col("p.n") - F.col("p.m")).otherwise(F.lit(0).cast("long")).alias("n_removed"), *more)
+    return done.select(*own, F.col("p.n").alias("n_lines"), F.when(cuts, F.col("p.n") - F.col("p.m")).otherwise(F.lit(0).cast("long")).alias("n_removed"))
 
 
 def _chars(lines: Column) -> Column:

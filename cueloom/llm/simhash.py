@@ -42,10 +42,8 @@ TEXT_CHUNK = 8 << 20
 def fingerprints_of(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     """One unsigned 64-bit fingerprint a text."""
     ws = common.words_of(texts, common.separators("space"), lower=True)
-    n_docs = len(ws.first) - 1
-    out = np.zeros(n_docs, np.uint64)
     if not ws.n:
-        return out
+        return np.zeros(len(ws.counts), np.uint64)
     # The words of all texts with one space after each: a shingle is a slice of it.
     lengths = np.diff(ws.at)
     at = ws.at[:-1] + np.arange(ws.n)
@@ -58,18 +56,22 @@ def fingerprints_of(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     end = at[last] + lengths[last]
     digest = xxhash.xxh64_intdigest
     h = np.fromiter((digest(raw[a:b], SEED) for a, b in zip(at[first].tolist(), end.tolist())), np.uint64, len(first))
-    heads = np.cumsum(shingles) - shingles
-    some = np.flatnonzero(shingles)
-    step = max(1, 1 << 16)
-    a = 0
-    while a < len(some):  # a bounded number of shingles at a time
-        b = max(a + 1, int(np.searchsorted(heads[some], heads[some[a]] + step)))
-        docs = some[a:b]
-        lo, hi = heads[docs[0]], heads[docs[-1]] + shingles[docs[-1]]
-        bits = np.unpackbits(h[lo:hi].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, heads[docs] - lo, axis=0, dtype=np.int64)
-        out[docs] = np.packbits(2 * ones > shingles[docs][:, None], axis=1, bitorder="little").view(np.uint64).ravel()
-        a = b
+    return majority(h, shingles)
+
+
+def majority(h: np.ndarray, sizes: np.ndarray, at_once: int = 1 << 16) -> np.ndarray:
+    """For each text the bits set in over half of its hashes; h: the hashes end to end, sizes: how many each text has (none: zero)."""
+    out = np.zeros(len(sizes), np.uint64)
+    some = np.flatnonzero(sizes)
+    if not len(some):
+        return out
+    heads = (np.cumsum(sizes) - sizes)[some]
+    ones = np.zeros((len(some), BITS), np.int64)
+    for lo in range(0, len(h), at_once):  # a bounded number of hashes at a time, however long a text is
+        bits = np.unpackbits(np.ascontiguousarray(h[lo : lo + at_once]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        a, b = np.searchsorted(heads, lo, side="right") - 1, np.searchsorted(heads, lo + len(bits))
+        ones[a:b] += np.add.reduceat(bits, np.maximum(heads[a:b] - lo, 0), axis=0, dtype=np.int64)
+    out[some] = np.packbits(2 * ones > sizes[some][:, None], axis=1, bitorder="little").view(np.uint64).ravel()
     return out
 
 

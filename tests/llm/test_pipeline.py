@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from cueloom.llm import common, jaccard, lines, mixing, quality
+from cueloom.llm import common, jaccard, lines, mixing, quality, simhash
 from tests.llm.test_llm import ALNUM_WORDS, SPACE_WORDS, ascii_lower, plain_fingerprint, plain_quality, roots
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long"
@@ -59,9 +59,9 @@ def test_pipeline_is_its_plain_version(spark, folder):
     for r in rows:
         ls = r[1].split("\n")
         left = [x for x in ls if not x.strip() or len(sites[x.strip(" \t\n\x0b\f\r")]) < 10]
-        cut.append((r[0], "\n".join(left) if 2 * sum(map(len, left)) >= sum(map(len, ls)) else r[1], r[3]))
-    fps = [plain_fingerprint(t) for _, t, _ in cut]
-    root = roots(len(cut), [(i, j) for i in range(len(cut)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4])
+        cut.append((r[0], "\n".join(left) if 5 * (sum(map(len, ls)) - sum(map(len, left))) < 4 * sum(map(len, ls)) else r[1], r[3]))
+    sets = [plain_shingles(t) for _, t, _ in cut]
+    root = roots(len(cut), [(i, j) for i in range(len(cut)) for j in range(i) if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]))])
     single = [c for i, c in enumerate(cut) if root[i] == i]
     item = ALNUM_WORDS.findall(ascii_lower(documents()[7][1]))[10:40]
     phrases = {tuple(item[a : a + 13]) for a in range(18)}
@@ -156,11 +156,15 @@ def plain_shingles(t: str | None) -> frozenset:
     return frozenset(tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))) if ws else frozenset()
 
 
-@pytest.mark.parametrize("often", [4, 1])
-def test_near_dedup_is_brute_force(spark, often, monkeypatch):
-    """Similarities on both sides of 0.8, in groups and chains; rare and frequent shingles."""
-    monkeypatch.setattr(jaccard, "SAMPLE", 1)
-    monkeypatch.setattr(jaccard, "OFTEN", often)
+@pytest.mark.parametrize("hot,shingles,rows", [(48, 400_000, 1024), (2, 300, 3), (2, 400_000, 1024)])
+@pytest.mark.parametrize("early", [True, False])
+def test_near_dedup_is_brute_force(spark, hot, shingles, rows, early, monkeypatch):
+    """Similarities on both sides of 0.8, in groups and chains; by pairs and by blocks, also where the earlier turns find nothing."""
+    for name, value in (("HOT", hot), ("BLOCK_SHINGLES", shingles), ("BLOCK_ROWS", rows)):
+        monkeypatch.setattr(jaccard, name, value)
+    if not early:
+        for name in ("_by_fingerprint", "_with_pivots"):
+            monkeypatch.setattr(jaccard, name, lambda df: df.sparkSession.createDataFrame([], "a long, b long"))
     r = random.Random(8)
     vocab = [f"w{i}" for i in range(300)]
     texts: list[str | None] = [None, "", " ", "one two", "One  two", "one three"]
@@ -181,18 +185,44 @@ def test_near_dedup_is_brute_force(spark, often, monkeypatch):
     assert far, "the rule of op9 would have lost some"
 
 
-def test_short_pages_lose_their_notice(spark):
-    """Of pages that are mostly boilerplate, near copies and pages of nothing else are spared, others are cut."""
+def test_blocks_find_what_pairs_find():
+    """One cell against plain set arithmetic."""
+    r = random.Random(2)
+    for _ in range(30):
+        base = [r.randrange(500) for _ in range(30)]
+        sets = [sorted(set([x if r.random() < 0.9 else r.randrange(500) for x in base])) for _ in range(r.randint(2, 12))]
+        right = np.array([r.random() < 0.5 for _ in sets])
+        root = np.array([r.randrange(4) for _ in sets])
+        cls = np.arange(100, 100 + len(sets))
+        a, b = jaccard.compared(cls, root, right, pa.array(sets, pa.list_(pa.int64())))
+        want = [(i, j) for i in range(len(sets)) for j in range(len(sets)) if not right[i] and right[j] and root[i] != root[j] and 9 * len(set(sets[i]) & set(sets[j])) >= 4 * (len(sets[i]) + len(sets[j]))]
+        assert roots(len(sets), [(x - 100, y - 100) for x, y in zip(a.tolist(), b.tolist())]) == roots(len(sets), want)
+
+
+def test_spared_pages(spark):
+    """Pages of which boilerplate makes up a share keep their text; below it, the lines go."""
     r = random.Random(4)
     page = lambda n: [" ".join(f"v{r.randrange(900)}" for _ in range(12)) for _ in range(n)]
     notice, copied = page(6), page(12)
     rows = [(i, "\n".join([*notice, " ".join(f"own{i}x{k}" for k in range(20))]), f"s{i}") for i in range(12)]
     rows += [(20 + i, "\n".join([*copied, f"seen {i}"]), f"s{i}") for i in range(12)]
-    rows += [(40, "\n".join(notice), "s1"), (41, None, "s2"), (42, "\n".join([*notice[:1], *page(5)]), "s3")]
+    rows += [(40, "\n".join(notice), "s1"), (41, None, "s2"), (42, "\n".join([*notice[:1], *page(5)]), "s3"), (43, "", "s4")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
-    got = {g.doc_id: g for g in lines.remove_boilerplate_but_copies(docs).collect()}
+    got = {g.doc_id: g for g in lines.remove_boilerplate(docs, spare=0.8).collect()}
     assert len(got) == len(rows)
     for i, text, _ in rows:
         cut = i < 12 or i == 42
         assert got[i].text == ("\n".join(x for x in text.split("\n") if x not in notice) if cut else text), i
         assert got[i].n_removed == (6 if i < 12 else 1 if i == 42 else 0)
+    every = {g.doc_id: g for g in lines.remove_boilerplate(docs).collect()}
+    assert every[40].text == "" and every[20].text == "seen 0" and every[41].text is None
+
+
+def test_fingerprints_of_a_long_text_are_summed_in_pieces():
+    r = np.random.default_rng(3)
+    sizes = np.array([0, 5, 700, 0, 1, 30, 0])
+    h = r.integers(0, 2**63, int(sizes.sum()), dtype=np.uint64)
+    want = simhash.majority(h, sizes)
+    assert all((simhash.majority(h, sizes, n) == want).all() for n in (1, 7, 64, 701))
+    first = np.r_[0, np.cumsum(sizes)]
+    assert want.tolist() == [sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in h[a:z]) > z - a) for a, z in zip(first, first[1:])]
