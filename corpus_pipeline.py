@@ -8,8 +8,6 @@ tests/llm holds them against brute force.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,13 +22,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines shared by many sources are cut, but for copies of whole pages; every document stays."""
-    cut = lines.remove_boilerplate_but_copies(common.keep_columns(docs, COLUMNS))
+    """Boilerplate lines shared by many sources are cut, but for pages that consist of them by the next stage's similarity, which are copies; every document stays."""
+    cut = lines.remove_boilerplate(common.keep_columns(docs, COLUMNS), spare=jaccard.OVER / jaccard.UNDER)
     return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of five-word Jaccard similarity 0.8 or more stays: the one with the smallest doc_id."""
+    """One document of each group of five-word Jaccard similarity 0.8 or more, found by SimHash and completed exactly, stays: the one with the smallest doc_id."""
     return jaccard.drop_near_duplicates(common.keep_columns(docs, COLUMNS)).select(*COLUMNS)
 
 
@@ -49,10 +47,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each result is a table in the shared checkpoint folder."""
-    folder = f"{common.ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = common.table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
+    """Applies the stages to documents; each result is a table in the shared checkpoint folder, and goes when the next one is written."""
+    docs, before = common.table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        folder = common.new_folder(spark, f"pipeline-{name.replace(' ', '-')}")
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        if before:
+            common.drop_folder(spark, before)
+        docs, before = spark.read.parquet(folder), folder
     return docs
