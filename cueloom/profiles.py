@@ -78,6 +78,7 @@ WARNING_CODES = ("timing_clamped", "cps_exceeded", "card_too_short", "line_too_l
 EDIT_REASONS = ("glossary", "punctuation", "llm", "second_opinion")
 
 
+#: The defaults of both are fixed values.
 @dataclass(frozen=True)
 class CardLimits:
     """How cards may look; durations in milliseconds."""

@@ -603,3 +603,26 @@ def test_queries_match_their_oracles(spark):
         assert sorted(mine.columns) == sorted(theirs.columns), name
         rows = lambda d: sorted(tuple(plain(v) for v in r) for r in d[sorted(mine.columns)].itertuples(index=False))
         assert rows(mine) == rows(theirs), name
+
+
+def test_legal_cards_are_a_run_of_starts():
+    """The earliest start against trying every card: width, duration and two lines."""
+    import numpy as np
+
+    r = random.Random(11)
+    for _ in range(150):
+        n = r.randint(1, 14)
+        size = [r.randint(1, 30) for _ in range(n)]
+        start = np.cumsum([r.randint(0, 900) for _ in range(n)])
+        end = start + r.choice([100, 800])
+        limits = CardLimits(target_chars=r.choice([14, 40, 78]), line_chars=r.choice([20, 40]), max_ms=r.choice([1500, 6000]))
+        at = np.r_[0, np.cumsum([x + 1 for x in size])]
+        got = segmenter.earliest_starts(at, start, end, limits)
+
+        def legal(a, b):
+            wide = lambda x, y: at[y] - at[x] - 1
+            lines = wide(a, b) <= limits.line_chars or b - a == 1 or any(wide(a, c) <= limits.line_chars and wide(c, b) <= limits.line_chars for c in range(a + 1, b))
+            return wide(a, b) <= limits.ceiling and end[b - 1] - start[a] <= limits.max_ms and lines
+
+        for b in range(n):
+            assert [a for a in range(b + 1) if legal(a, b + 1)] == list(range(got[b], b + 1))
