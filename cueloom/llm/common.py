@@ -106,8 +106,10 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def doc_of(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.first) - 1), self.counts)
+    def without_places(self) -> Words:
+        """Without src and src_end, where memory counts."""
+        none = np.zeros(0, np.int64)
+        return Words(self.data, self.at, self.first, none, none)
 
     def strings(self) -> pa.Array:
         return pa.LargeBinaryArray.from_buffers(pa.large_binary(), self.n, [None, pa.py_buffer(self.at.astype(np.int64)), pa.py_buffer(self.data)])

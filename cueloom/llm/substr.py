@@ -41,11 +41,11 @@ SEED_WORDS = (2, 4)
 #: A prefix of fewer bytes is taken only where a window has no longer one: short words are common.
 SEED_BYTES = 9
 #: Prefixes are counted in so many cells; a bucket is to get so many windows, and a task so many buckets.
-CELLS, BUCKET_WINDOWS, TASK_BUCKETS, MOST_TASKS = 1 << 14, 500_000, 2, 200_000
+CELLS, BUCKET_WINDOWS, TASK_BUCKETS, MOST_TASKS = 1 << 14, 800_000, 2, 200_000
 #: A longer prefix is crowded where its cell has so many times the mean.
 CROWDED = 4
 GROUP = 1 << 16
-TEXT_CHUNK = 8 << 20
+TEXT_CHUNK = 5 << 20
 NO_ID = np.iinfo(np.int64).max
 BIG = np.uint64(1) << np.uint64(63)
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -135,7 +135,7 @@ def counted(docs: DataFrame, window: int, most: int, cells: int = CELLS) -> Deal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros((len(SEED_WORDS), cells), np.int64)
         for t in common.chunks(batches, "text", TEXT_CHUNK):
-            ws = common.words_of(t.column("text"), common.separators("space"))
+            ws = common.words_of(t.column("text"), common.separators("space")).without_places()
             if ws.n < window:
                 continue
             codes, halves, _ = common.wide_keys(ws)
@@ -211,7 +211,7 @@ def bucketed(docs: DataFrame, dealing: Dealing, window: int) -> DataFrame:
             ids = t.column("place").combine_chunks()
             order = np.where(ids.is_null().to_numpy(zero_copy_only=False), NO_ID, ids.fill_null(0).to_numpy(zero_copy_only=False))
             keys = t.column("row_key").to_numpy()
-            ws = common.words_of(t.column("text"), common.separators("space"))
+            ws = common.words_of(t.column("text"), common.separators("space")).without_places()
             if ws.n < window:
                 continue
             codes, halves, _ = common.wide_keys(ws)
@@ -235,8 +235,9 @@ def bucketed(docs: DataFrame, dealing: Dealing, window: int) -> DataFrame:
             # By the plain halves, as they were counted; other chunks must send an equal window to the same bucket.
             plain, lengths = halves[codes, 0], np.diff(ws.at)
             whole = window_hashes(plain, window)[o_start]
+            del by, sw, so, sr, new, least, late, again, w, h, codes
             bucket = dealing.bucket(*(seeds(plain, lengths, window, n)[o_start] for n in SEED_WORDS), whole)
-            del by, sw, so, sr, new, least, late, again, w, whole, plain
+            del whole, plain, lengths
             first, size = _runs(o_start, o_row, bucket)
             # The words with one space after each: a run of words is a slice of it.
             at = ws.at + np.arange(ws.n + 1)
@@ -367,7 +368,7 @@ def marks(rows: DataFrame, buckets: int, window: int, group: int = GROUP) -> Dat
 
 def _kept_words(texts: pa.Array, at: list, n: list, window: int) -> tuple[common.Words, np.ndarray]:
     """Words of the texts and whether each stays."""
-    ws = common.words_of(texts, common.separators("space"))
+    ws = common.words_of(texts, common.separators("space")).without_places()
     gone = np.zeros(ws.n + 1, np.int32)
     marked = [i for i, x in enumerate(at) if x is not None and len(x)]
     if marked:
