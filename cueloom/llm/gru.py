@@ -19,6 +19,15 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+def _log_of(s: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """The logarithm of one column's probability in each row of scores."""
+    own = s[np.arange(len(s)), column]
+    top = s.max(axis=1)
+    s -= top[:, None]
+    np.exp(s, out=s)
+    return own - top - np.log(s.sum(axis=1))
+
+
 def _softmax(s: np.ndarray) -> np.ndarray:
     """In place, row by row."""
     s -= s.max(axis=1, keepdims=True)
@@ -56,27 +65,23 @@ class Model:
         c = np.tanh(gx[:, 2 * n :] + r * gh[:, 2 * n :])
         return h + z * (c - h), z, r, c, gh[:, 2 * n :]
 
-    def _log_softmax(self, h: np.ndarray, w: str, b: str, a: int = 0, z: int | None = None) -> np.ndarray:
-        s = h @ self.p[w][:, a:z]
-        s += self.p[b][a:z]
-        s -= s.max(axis=1, keepdims=True)
-        s -= np.log(np.exp(s).sum(axis=1, keepdims=True))
-        return s
-
     def log_probs(self, h: np.ndarray, cls: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Natural logarithms of the probability of the class, and of the word within it where word >= 0."""
-        out = self._log_softmax(h, "A", "a")[np.arange(len(h)), cls].astype(np.float64)
-        for rows, lo, hi in self.framed(cls, word):
-            out[rows] += self._log_softmax(h[rows], "B", "b", lo, hi)[np.arange(len(rows)), word[rows] - lo]
+        p = self.p
+        out = _log_of(h @ p["A"] + p["a"], cls).astype(np.float64)
+        by, parts = self.framed(cls, word)
+        own, at = h[by], word[by]
+        for a, z, lo, hi in parts:
+            out[by[a:z]] += _log_of(own[a:z] @ p["B"][:, lo:hi] + p["b"][lo:hi], at[a:z] - lo)
         return out
 
-    def framed(self, cls: np.ndarray, word: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
-        """For each class that has words: the tokens of it, and its columns of the word softmax."""
+    def framed(self, cls: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
+        """The tokens that have a word, by class, and for each class: where it begins and ends among them, and its columns of the word softmax."""
         by = np.flatnonzero(word >= 0)
         by = by[np.argsort(cls[by], kind="stable")]
-        cuts = np.flatnonzero(np.r_[True, cls[by][1:] != cls[by][:-1], True]) if len(by) else np.zeros(0, np.int64)
-        for a, z in zip(cuts[:-1], cuts[1:]):
-            yield by[a:z], *self.members[int(cls[by[a]])]
+        c = cls[by]
+        cuts = np.flatnonzero(np.r_[True, c[1:] != c[:-1], True]) if len(by) else np.zeros(1, np.int64)
+        return by, [(a, z, *self.members[int(c[a])]) for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
 
 class Adam:
@@ -118,7 +123,7 @@ def train(model: Model, docs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], e
             adam.apply(model, grad, rate * (1 - 0.9 * (adam.t + 1) / total))
 
 
-def read_once(model: Model, adam: Adam, inputs: np.ndarray, cls: np.ndarray, word: np.ndarray, first: np.ndarray, rate: float, streams: int = 192, window: int = 20) -> None:
+def read_once(model: Model, adam: Adam, inputs: np.ndarray, cls: np.ndarray, word: np.ndarray, first: np.ndarray, rate: float, streams: int = 256, window: int = 20) -> None:
     """One pass over every token of the texts in their order; first: where each begins (one more than texts). The streams are filled up from the beginning, so that none is left out."""
     total = len(inputs)
     if not total:
@@ -191,14 +196,16 @@ def _window(model: Model, h: np.ndarray, x: np.ndarray, cls: np.ndarray, word: n
     d /= count
     grad["A"], grad["a"] = hs.T @ d, d.sum(axis=0)
     dh = d @ p["A"].T
-    for rows, lo, hi in model.framed(c_flat, w_flat):
-        own = hs[rows]
-        e = _softmax(own @ p["B"][:, lo:hi] + p["b"][lo:hi])
-        e[np.arange(len(rows)), w_flat[rows] - lo] -= 1
+    by, parts = model.framed(c_flat, w_flat)
+    own, at, back = hs[by], w_flat[by], np.empty((len(by), n), h.dtype)
+    for a, z, lo, hi in parts:
+        e = _softmax(own[a:z] @ p["B"][:, lo:hi] + p["b"][lo:hi])
+        e[np.arange(z - a), at[a:z] - lo] -= 1
         e /= count
-        grad["B"][:, lo:hi] += own.T @ e
-        grad["b"][lo:hi] += e.sum(axis=0)
-        dh[rows] += e @ p["B"][:, lo:hi].T
+        grad["B"][:, lo:hi] = own[a:z].T @ e
+        grad["b"][lo:hi] = e.sum(axis=0)
+        np.matmul(e, p["B"][:, lo:hi].T, out=back[a:z])
+    dh[by] += back
     out = np.ascontiguousarray(dh.reshape(steps, streams, n).transpose(0, 2, 1))
     # Of the gates' inputs, and of what the state adds to them.
     dg, du = (np.empty((steps, 3 * n, streams), h.dtype) for _ in range(2))
