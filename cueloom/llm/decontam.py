@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -139,18 +140,17 @@ def spans(docs: DataFrame, p: Phrases, id_col: str, text_col: str) -> DataFrame:
     return common.keep_columns(docs, [id_col, text_col]).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_words long, spans {SPAN}, byte_spans {SPAN}, items array<string>")
 
 
-def phrase_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_words: int) -> list[Phrases]:
-    """The query set in blocks of whole items; one item longer than a block makes one of its own."""
-    blocks, held, size = [], [], 0
+def phrase_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_words: int) -> Iterator[Phrases]:
+    """The query set in blocks of whole items, one after the other, one at least; an item longer than a block makes one of its own."""
+    held, size, none = [], 0, True
     for r in benchmark.select(item_col, text_col).toLocalIterator():
         held.append((r[0], r[1] or ""))
         size += len(held[-1][1]) // 2
         if size >= block_words:
-            blocks.append(phrases_of(held, window))
-            held, size = [], 0
-    if held or not blocks:
-        blocks.append(phrases_of(held, window))
-    return blocks
+            yield phrases_of(held, window)
+            held, size, none = [], 0, False
+    if held or none:
+        yield phrases_of(held, window)
 
 
 _UNITE = """aggregate(sort_array(spans), cast(array() as {kind}), (acc, x) -> if(size(acc) > 0 and acc[size(acc) - 1].b >= x.a,
@@ -160,15 +160,18 @@ _UNITE = """aggregate(sort_array(spans), cast(array() as {kind}), (acc, x) -> if
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """A row for each row: id, n_words, n_hit, items and the merged spans to remove, in words; contaminated by the ratio."""
     blocks = phrase_blocks(benchmark, item_col, item_text_col, window, block_words)
-    if len(blocks) == 1:
-        found = spans(docs, blocks[0], id_col, text_col)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        found = spans(docs, first, id_col, text_col)
     else:
         key = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias(text_col)).withColumn("_key", F.struct(id_col, F.xxhash64(text_col).alias("h")))
-        passes = [spans(key.select("_key", text_col), b, "_key", text_col) for b in blocks]
+        # Each block's pass is run before the next block is made, so the driver holds one block.
+        each, todo = None, chain([first, second], blocks)
+        del first, second
+        for block in todo:
+            done = common.checkpointed(spans(key.select("_key", text_col), block, "_key", text_col))
+            each = done if each is None else each.unionByName(done)
         rows = key.groupBy("_key").count()
-        each = passes[0]
-        for more in passes[1:]:
-            each = each.unionByName(more)
         joined = each.groupBy("_key").agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
         united = joined.withColumn("spans", F.expr(_UNITE.format(kind=SPAN)))
         # Equal ids and texts were grouped; each gets its row back.
@@ -190,4 +193,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_decontaminate": query}
-ORACLES: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: Windows meet as joined words, which is exact, for words hold no spaces.
+SQL = f"""WITH bw AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+ph AS (SELECT DISTINCT item_id, least(len(w), {WINDOW}) AS n, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS k FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - {WINDOW - 2}, 2))) AS i FROM bw WHERE len(w) > 0)),
+dw AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+win AS (SELECT rid, n, i, array_to_string(w[i:i + n - 1], ' ') AS k FROM (SELECT rid, w, n, unnest(range(1, greatest(len(w) - n + 2, 1))) AS i FROM dw, (SELECT DISTINCT n FROM ph))),
+hit AS (SELECT rid, win.n, i, win.k FROM win JOIN (SELECT DISTINCT n, k FROM ph) p ON p.n = win.n AND p.k = win.k),
+cov AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, i + unnest(range(0, n)) AS p FROM hit) GROUP BY rid),
+its AS (SELECT rid, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS id FROM hit JOIN ph ON ph.n = hit.n AND ph.k = hit.k WHERE item_id IS NOT NULL) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(its.n, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce({RATIO} * n_hit >= len(w), false) AS contaminated
+FROM dw LEFT JOIN cov ON cov.rid = dw.rid LEFT JOIN its ON its.rid = dw.rid"""
+ORACLES = {"op7_decontaminate": SQL}
