@@ -12,6 +12,7 @@ from pyspark.sql.types import DoubleType, LongType
 
 from ..functions import text as T
 from ..profiles import LanguageProfile
+from ..storage import kept
 from . import glossary
 
 
@@ -96,7 +97,7 @@ def review(primary: DataFrame, other: DataFrame, p: LanguageProfile) -> DataFram
 
 def resolve(primary: DataFrame, other: DataFrame, lexicon: DataFrame, p: LanguageProfile) -> tuple[DataFrame, DataFrame]:
     """Words with the other's word where only that one is real, and the edits. Acts on that evidence alone."""
-    flags = review(primary, other, p)
+    flags = kept(review(primary, other, p))
     stems = flags.select(F.col("heard").alias("stem")).unionByName(flags.select(F.col("alternative").alias("stem"))).distinct()
     real = glossary.real_words(stems, lexicon, p)
     judged = flags.join(real.select(F.col("stem").alias("heard"), F.col("real").alias("h")), "heard").join(real.select(F.col("stem").alias("alternative"), F.col("real").alias("o")), "alternative")

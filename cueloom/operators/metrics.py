@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -34,8 +35,6 @@ def report(cards: DataFrame, limits: CardLimits = CardLimits()) -> DataFrame:
 
 def closed_gaps(cards: DataFrame, close_ms: int) -> DataFrame:
     """Gaps that closing would close, by spoken starts."""
-    from pyspark.sql import Window as W
-
     gap = F.lead("start_ms").over(W.partitionBy("job_id").orderBy("card")) - F.col("end_ms")
     return cards.withColumn("_g", gap).groupBy("job_id").agg(F.count_if((F.col("_g") > 0) & (F.col("_g") <= close_ms)).alias("closed_gaps"))
 
@@ -51,33 +50,29 @@ def edit_counts(edits: DataFrame) -> DataFrame:
 def code_examples(warnings: DataFrame, most: int = 3) -> DataFrame:
     """Each code with its count and its first detail; the first `most` codes in order of appearance."""
     by = warnings.groupBy("job_id", "code").agg(F.count(F.lit(1)).alias("n"), F.min_by("detail", "ord").alias("example"), F.min("ord").alias("first"))
-    from pyspark.sql import Window as W
-
     return by.withColumn("r", F.row_number().over(W.partitionBy("job_id").orderBy("first", "code"))).filter(F.col("r") <= most).drop("r", "first")
 
 
 def review_report(flags: DataFrame, most: int = 10) -> DataFrame:
     """The first `most` flags of a job by wid, and how many more there are."""
-    from pyspark.sql import Window as W
-
     w = W.partitionBy("job_id")
     ranked = flags.withColumns({"r": F.row_number().over(w.orderBy("wid")), "n": F.count(F.lit(1)).over(w)})
     return ranked.filter(F.col("r") <= most).withColumn("more", F.greatest(F.col("n") - most, F.lit(0))).drop("r", "n")
 
 
 def entity_accuracy(texts: DataFrame, terms: DataFrame, p: LanguageProfile) -> DataFrame:
-    """texts (job_id, ref, hyp), terms (term) -> job_id, accuracy: of the terms' occurrences in the reference, those that the other text has too; null where there are none.
+    """texts (job_id, ref, hyp), terms (term) -> job_id, accuracy: of the terms' occurrences in the reference, those that the other text has too; null where there are none. Terms that read alike count once each.
 
     A term's first word finds the places to look at, by equality with a word or its form without an attached letter.
     """
-    ts = terms.select(T.words_for_scoring(F.col("term"), p).alias("t")).filter(F.size("t") > 0).distinct()
+    ts = terms.select(T.words_for_scoring(F.col("term"), p).alias("t")).filter(F.size("t") > 0).groupBy("t").agg(F.count(F.lit(1)).alias("times"))
     ts = ts.withColumn("head", F.element_at("t", 1))
 
     def found(col: str) -> DataFrame:
         ws = texts.select("job_id", T.words_for_scoring(F.col(col), p).alias("ws"))
         at = ws.select("job_id", "ws", F.posexplode("ws").alias("i", "w")).select("job_id", "ws", "i", F.explode(F.array_distinct(T.variants(F.col("w"), p))).alias("head"))
         fits = F.forall(F.sequence(F.lit(1), F.size("t")), lambda k: F.coalesce(F.array_contains(T.variants(F.get("ws", F.col("i") + k - 1), p), F.get("t", k - 1)), F.lit(False)))
-        return at.join(ts, "head").filter(fits).groupBy("job_id", "t").agg(F.count_distinct("i").alias("n"))
+        return at.join(ts, "head").filter(fits).groupBy("job_id", "t").agg((F.count_distinct("i") * F.max("times")).alias("n"))
 
     both = found("ref").alias("a").join(found("hyp").withColumnRenamed("n", "m"), ["job_id", "t"], "left")
     n = both.groupBy("job_id").agg((F.sum(F.least("n", F.coalesce("m", F.lit(0)))) / F.sum("n")).alias("accuracy"))

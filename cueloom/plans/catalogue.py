@@ -271,7 +271,7 @@ def glossary_protected(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def glossary_pass(spark: SparkSession, d: str) -> DataFrame:
-    return glossary.apply(words(spark, d), *lists(spark), P)[1]
+    return glossary.apply(kept(words(spark, d)), *lists(spark), P)[1]
 
 
 _CONF = ", ".join(f"({_quote(a)}, {_quote(b)})" for g in P.confusions for a in g for b in g if a != b)
@@ -376,7 +376,7 @@ def segment_cards(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT conv_id AS job_id, CAST(turn AS BIGINT) AS wid FROM conversations WHERE false")
 def cards_cover_words(spark: SparkSession, d: str) -> DataFrame:
-    ws = words(spark, d)
+    ws = kept(words(spark, d))
     return contract.cards_cover_words(segmenter.cards(ws, P), ws)
 
 
@@ -387,8 +387,8 @@ def cards_within_limits(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def card_warnings(spark: SparkSession, d: str) -> DataFrame:
-    ws = words(spark, d)
-    return segmenter.card_warnings(segmenter.cards(ws, P), ws, P)
+    ws = kept(words(spark, d))
+    return segmenter.card_warnings(kept(segmenter.cards(ws, P)), ws, P)
 
 
 # --- display --------------------------------------------------------------------------------------------------------------
@@ -461,8 +461,8 @@ m AS (SELECT job_id, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM cards
 SELECT n.job_id, round(CASE WHEN n.h + m.h = 0 THEN 0.0 ELSE 2 * (n.h / n.n) * (m.h / m.n) / (n.h / n.n + m.h / m.n) END, 6) AS f1 FROM n JOIN m ON n.job_id = m.job_id"""
 )
 def boundary_f1(spark: SparkSession, d: str) -> DataFrame:
-    ws = words(spark, d)
-    at = lambda n: simple_cards(ws, n).select("job_id", F.col("start_ms").alias("t"))
+    ws = kept(words(spark, d))
+    at = lambda n: kept(simple_cards(ws, n).select("job_id", F.col("start_ms").alias("t")))
     return spans.boundary_f1(at(3), at(4), ["job_id"]).withColumn("f1", F.round("f1", 6))
 
 
@@ -479,7 +479,7 @@ UNION ALL SELECT job_id, 'line_too_long', '' FROM cards WHERE length(text) > 40
 
 
 def _warnings(spark: SparkSession, d: str) -> DataFrame:
-    ws = words(spark, d)
+    ws = kept(words(spark, d))
     return segmenter.card_warnings(simple_cards(ws), ws, P)
 
 
@@ -498,13 +498,12 @@ def rule_breakdown(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def edit_reason_counts(spark: SparkSession, d: str) -> DataFrame:
-    ws = words(spark, d)
-    ws = kept(ws)
+    ws = kept(words(spark, d))
     edits = glossary.apply(ws, *lists(spark), P)[1].unionByName(align.resolve(ws, S.second_opinion(ws), lexicon(spark, d), P)[1])
     return metrics.edit_counts(edits)
 
 
-TEXTS = f"""{WORDS}, hyp AS (SELECT job_id, wid, CASE WHEN wid % 17 = 0 THEN translate(w, 'aeiou', 'eioua') ELSE w END AS w FROM words WHERE wid % 101 <> 50)"""
+TEXTS = f"""{WORDS}, hyp AS (SELECT job_id, wid, CASE WHEN wid % 17 = 0 THEN translate(w, 'aeiou', 'eioua') ELSE w END AS w FROM words WHERE wid % 102 <> 60)"""
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
@@ -526,7 +525,7 @@ SELECT j.job_id, round(accuracy, 6) AS accuracy FROM (SELECT DISTINCT job_id FRO
 )
 def entity_accuracy(spark: SparkSession, d: str) -> DataFrame:
     terms = spark.createDataFrame([(t,) for t in ENTITY], "term string")
-    return metrics.entity_accuracy(_texts(spark, d), terms, P).withColumn("accuracy", F.round("accuracy", 6))
+    return metrics.entity_accuracy(kept(_texts(spark, d)), terms, P).withColumn("accuracy", F.round("accuracy", 6))
 
 
 @query(f"WITH {TEXTS}, e AS (SELECT words.job_id, words.wid, words.start_ms, words.w AS heard, hyp.w AS alternative FROM words JOIN hyp ON hyp.job_id = words.job_id AND hyp.wid = words.wid WHERE hyp.w <> words.w) SELECT job_id, count(*) AS n FROM e GROUP BY job_id")
@@ -545,8 +544,8 @@ def review_disagreements(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def resolve_disagreements(spark: SparkSession, d: str) -> DataFrame:
-    ws = words(spark, d)
-    return align.resolve(ws, S.second_opinion(ws), lexicon(spark, d), P)[1]
+    ws = kept(words(spark, d))
+    return align.resolve(ws, S.second_opinion(ws), kept(lexicon(spark, d)), P)[1]
 
 
 @query()
@@ -594,7 +593,7 @@ def bench_rows_null_not_zero(spark: SparkSession, d: str) -> DataFrame:
     return history.bench_rows(jobs, metrics.report(simple_cards(ws)).select("job_id", F.col("cards").cast("double").alias("cards"), "max_cps"))
 
 
-@query("SELECT conv_id AS job_id, conv_id % 3 <> 0 AS may_run, CASE WHEN conv_id % 3 = 0 THEN 'transcribe,segment' ELSE 'transcribe,segment' END AS stages FROM (SELECT DISTINCT conv_id FROM conversations)")
+@query("SELECT conv_id AS job_id, conv_id % 3 <> 0 AS may_run, 'transcribe,segment' AS stages FROM (SELECT DISTINCT conv_id FROM conversations)")
 def stage_guard(spark: SparkSession, d: str) -> DataFrame:
     jobs = spark.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").alias("job_id")).distinct()
     done = jobs.withColumn("stages", F.when(F.col("job_id") % 3 == 0, F.array(F.lit("transcribe"), F.lit("segment"))).otherwise(F.array(F.lit("transcribe"))))

@@ -26,8 +26,13 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1).alias("job_id"), F.col("value").alias("raw"))
 
 
+def parse_transcripts(documents: DataFrame) -> DataFrame:
+    """documents (job_id, raw)."""
+    return documents.select("job_id", F.from_json("raw", TRANSCRIPT).alias("t")).select("job_id", "t.*")
+
+
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    return read_documents(spark, path).select("job_id", F.from_json("raw", TRANSCRIPT).alias("t")).select("job_id", "t.*")
+    return parse_transcripts(read_documents(spark, path))
 
 
 def transcript_words(transcripts: DataFrame) -> DataFrame:
@@ -38,15 +43,23 @@ def transcript_words(transcripts: DataFrame) -> DataFrame:
 
 
 def read_raw_words(spark: SparkSession, path: str) -> DataFrame:
-    """Recogniser output before any wid: job_id, seg, pos, w, start_ms, end_ms, conf."""
-    segs = read_documents(spark, path).select("job_id", F.from_json("raw", RAW).alias("r")).select("job_id", F.posexplode("r.segments").alias("seg", "s"))
+    return parse_raw_words(read_documents(spark, path))
+
+
+def parse_raw_words(documents: DataFrame) -> DataFrame:
+    """Recogniser output before any wid, documents (job_id, raw): job_id, seg, pos, w, start_ms, end_ms, conf."""
+    segs = documents.select("job_id", F.from_json("raw", RAW).alias("r")).select("job_id", F.posexplode("r.segments").alias("seg", "s"))
     each = segs.select("job_id", "seg", F.posexplode("s.words").alias("pos", "x"))
     return each.select("job_id", "seg", "pos", F.col("x.w").alias("w"), _ms("x.start").alias("start_ms"), _ms("x.end").alias("end_ms"), F.col("x.conf").alias("conf"))
 
 
 def unknown_fields(spark: SparkSession, path: str) -> DataFrame:
-    """(job_id, path, problem): top-level and meta keys missing or not foreseen; from_json would pass over them in silence."""
-    docs = read_documents(spark, path).select("job_id", F.from_json("raw", "map<string,string>").alias("top"))
+    return unknown_keys(read_documents(spark, path))
+
+
+def unknown_keys(documents: DataFrame) -> DataFrame:
+    """documents (job_id, raw) -> (job_id, path, problem): top-level and meta keys missing or not foreseen; from_json would pass over them in silence."""
+    docs = documents.select("job_id", F.from_json("raw", "map<string,string>").alias("top"))
     meta = docs.select("job_id", F.from_json(F.col("top")["meta"], "map<string,string>").alias("m"))
 
     def against(df: DataFrame, col: str, where: str, keys: list[str]) -> DataFrame:
