@@ -12,7 +12,9 @@ keeps every block, and so every document, at 2 uses at most.
 Targets: sources by code point, null last, weigh 5, 2, 1 and so on in turn and share ``factor`` times all words; a target stops
 at ``most`` times its source's words and the excess is shared anew by weight. A null or empty text has size 0 and is never
 taken; a source without words has target 0. Repeated rows are separate documents. Nothing depends on partitioning: reruns agree.
-The driver sees one row a source, and refuses more than ``MAX_SOURCES`` of them.
+The driver sees one row a source up to ``MAX_SOURCES`` of them. Of more, neighbours in that order are drawn together: shards draw counts of
+groups, and a group's n-th use goes to the source that holds place n of a pseudorandom permutation of the group's slots; ranks,
+targets and slots are then columns of a table, and the driver sees one row a group.
 """
 
 from __future__ import annotations
@@ -36,6 +38,10 @@ BLOCK = 64
 SHARD_SLOTS = 4096
 SEED = 11
 MAX_SOURCES = 100_000
+#: Rows of one source that are dealt to so many tasks where sources are joined by shuffle.
+SALTS = 32
+#: Places of a source's slots that are listed at a time.
+PLACES = 1 << 16
 
 
 def targets(sizes: list[int], weights: list[float], total: float, most: float = MOST) -> list[float]:
@@ -119,19 +125,81 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     )
 
 
-def plan_for(rows: DataFrame, **kw) -> tuple[Plan, int]:
-    """The plan, and how many documents the largest source has."""
-    stats = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(stats) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    stats.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    return make_plan([r["source"] for r in stats], [r["size"] for r in stats], **kw), max((r["n"] for r in stats), default=0)
+@dataclass(frozen=True)
+class Mix:
+    """sources: _name, src, source_size, target; filled: shard, src, use, block; most_docs: documents of the largest source; few: whether the sources may be broadcast."""
+
+    sources: DataFrame
+    filled: DataFrame
+    most_docs: int
+    few: bool
+
+
+def mix_of(rows: DataFrame, most_sources: int | None = None, **kw) -> Mix | None:
+    """None where there are no rows. rows: source and size."""
+    spark, most_sources = rows.sparkSession, most_sources or MAX_SOURCES
+    stats = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    found = stats.limit(most_sources + 1).collect()
+    if not found:
+        return None
+    if len(found) > most_sources:
+        return _many(common.checkpointed(stats), most_sources, **kw)
+    found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
+    plan = make_plan([r["source"] for r in found], [r["size"] for r in found], **kw)
+    known = spark.createDataFrame([(n, i, int(plan.sizes[i]), float(plan.targets[i])) for i, n in enumerate(plan.names)], "_name string, src long, source_size long, target double")
+    return Mix(known, slots(spark, plan), max(r["n"] for r in found), True)
+
+
+def _many(stats: DataFrame, most_sources: int, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED, factor: float = FACTOR, most: float = MOST) -> Mix:
+    """The same plan by columns; stats (source, size, n) is a stored table."""
+    spark = stats.sparkSession
+    ordered = common.checkpointed(stats.orderBy(F.col("source").isNull(), F.col("source")).withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()}))
+    sizes = sorted((r["part"], r["count"]) for r in ordered.groupBy("part").count().collect())  # one row a partition
+    first = spark.createDataFrame([(p, sum(n for _, n in sizes[:i])) for i, (p, _) in enumerate(sizes)], "part int, first long")
+    rank = F.row_number().over(W.partitionBy("part").orderBy("at")) - 1
+    numbered = ordered.join(F.broadcast(first), "part").withColumn("src", (F.col("first") + rank).cast("long"))  # one row a partition
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("src") % len(WEIGHTS) + 1).cast("int"))
+    table = common.checkpointed(numbered.select("source", "src", "size", "n", weight.cast("double").alias("weight"), (F.col("size") * most).alias("top")))
+    n_sources, words, most_docs = table.agg(F.count(F.lit(1)), F.sum("size"), F.max("n")).first()
+    level, fixed = 0.0, -1
+    while True:  # more sources are full at each level, so it rises until none is added
+        full = F.col("weight") * level > F.col("top")
+        now, held, free = table.agg(F.count_if(full), F.sum(F.when(full, F.col("top")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight")))).first()
+        if now == fixed or not free:
+            break
+        fixed, level = now, (factor * words - held) / free
+    blocks = F.ceil(F.col("size") / block)
+    target = F.least(F.col("weight") * level, F.col("top"))
+    wanted = F.when(blocks > 0, F.least(F.rint(target * blocks / F.col("size")), F.floor(most * blocks))).otherwise(0).cast("long")
+    group = F.expr(f"src div {-(-n_sources // most_sources)}")
+    planned = table.select("source", "src", F.col("size").alias("source_size"), target.alias("target"), blocks.cast("long").alias("blocks"), wanted.alias("slots"), group.alias("grp"))
+    before = F.coalesce(F.sum("slots").over(W.partitionBy("grp").orderBy("src").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    planned = common.checkpointed(planned.withColumn("before", before))
+    totals = np.zeros(-(-n_sources // -(-n_sources // most_sources)), np.int64)
+    for r in planned.groupBy("grp").agg(F.sum("slots").alias("slots")).collect():  # most_sources rows at most
+        totals[r["grp"]] = r["slots"]
+    drawn = slots(spark, Plan(tuple(range(len(totals))), totals, totals.astype(float), totals, totals, block, shard_slots, seed))
+    some = planned.filter("slots > 0").withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(PLACES).cast("long"))))
+    places = some.withColumn("use", F.explode(F.sequence("from", F.least(F.col("from") + PLACES, F.col("slots")) - 1))).select("grp", (F.col("before") + F.col("use")).alias("place"), "src", "use", "blocks")
+    met = drawn.select("shard", F.col("src").alias("grp"), F.col("block").alias("place")).join(places.hint("merge"), ["grp", "place"])
+
+    def put(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"shard": f["shard"], "src": f["src"], "use": f["use"], "block": block_of(f["src"].to_numpy(), f["use"].to_numpy(), f["blocks"].to_numpy(), seed)})
+
+    filled = met.select("shard", "src", "use", "blocks").mapInPandas(put, "shard long, src long, use long, block long")
+    return Mix(planned.select(F.col("source").alias("_name"), "src", "source_size", "target"), filled, most_docs, False)
+
+
+def block_of(src: np.ndarray, use: np.ndarray, n: np.ndarray, seed: int) -> np.ndarray:
+    """The block that the use-th slot of a source of n blocks takes."""
+    return permuted(use % n, n, (src * 1_000_003 + use // n) * 2_654_435_761 + seed)
 
 
 def slots(spark: SparkSession, plan: Plan) -> DataFrame:
     """The mix: shard, src (index of the source), n-th use of the source, and the index of the block that fills the slot."""
     if not plan.shards:
-        return spark.createDataFrame([], "shard long, src int, use long, block long")
+        return spark.createDataFrame([], "shard long, src long, use long, block long")
     width = max(1, min(plan.shards, 4 * common.shuffle_width(spark)))
 
     def draws(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -139,9 +207,9 @@ def slots(spark: SparkSession, plan: Plan) -> DataFrame:
             for shard in f["id"]:
                 n = plan.draw(int(shard))
                 src = np.flatnonzero(n)
-                yield pd.DataFrame({"shard": np.full(len(src), shard), "src": src.astype(np.int32), "n": n[src].astype(np.int64)})
+                yield pd.DataFrame({"shard": np.full(len(src), shard), "src": src.astype(np.int64), "n": n[src].astype(np.int64)})
 
-    drawn = spark.range(0, plan.shards, 1, width).mapInPandas(draws, "shard long, src int, n long")
+    drawn = spark.range(0, plan.shards, 1, width).mapInPandas(draws, "shard long, src long, n long")
     got = np.zeros(len(plan.names), np.int64)
     for r in drawn.groupBy("src").agg(F.sum("n").alias("n")).collect():
         got[r["src"]] = r["n"]
@@ -160,51 +228,53 @@ def slots(spark: SparkSession, plan: Plan) -> DataFrame:
             use[moved] = got[to] + rank - (short_to - short)[to]
             src = src.copy()
             src[moved] = to
-            n = plan.blocks[src]
-            epoch = use // n
-            block = permuted(use % n, n, (src * 1_000_003 + epoch) * 2_654_435_761 + plan.seed)
-            yield pd.DataFrame({"shard": np.repeat(f["shard"].to_numpy(np.int64), f["n"]), "src": src.astype(np.int32), "use": use, "block": block})
+            yield pd.DataFrame({"shard": np.repeat(f["shard"].to_numpy(np.int64), f["n"]), "src": src, "use": use, "block": block_of(src, use, plan.blocks[src], plan.seed)})
 
     placed = _running(drawn.withColumn("part", F.expr("shard div 1024")), ["src"], "part", [F.col("shard")], "n", "first")
-    return placed.select("shard", "src", "n", "first").mapInPandas(fill, "shard long, src int, use long, block long")
+    return placed.select("shard", "src", "n", "first").mapInPandas(fill, "shard long, src long, use long, block long")
 
 
-def pieces(rows: DataFrame, plan: Plan, most_docs: int) -> DataFrame:
+def pieces(rows: DataFrame, mix: Mix, block: int = BLOCK) -> DataFrame:
     """Where documents lie in the blocks of their source: src, block, from (word of the document) and words; a document without words has one empty piece."""
-    spark = rows.sparkSession
-    known = spark.createDataFrame([(n, i, int(plan.sizes[i]), float(plan.targets[i])) for i, n in enumerate(plan.names)], "_name string, src int, source_size long, target double")
-    own = rows.join(F.broadcast(known), F.col("source").cast("string").eqNullSafe(F.col("_name"))).drop("_name")  # at most MAX_SOURCES rows
-    buckets = max(64, -(-most_docs // 20_000))
-    placed = _running(own.withColumn("bucket", F.pmod(F.xxhash64("place"), F.lit(buckets))), ["src"], "bucket", [F.col("place"), F.col("doc_id"), F.col("size")], "size", "first")
-    b = F.lit(plan.block)
-    each = placed.withColumn("block", F.explode(F.sequence(F.expr(f"first div {plan.block}"), F.expr(f"greatest(first, first + size - 1) div {plan.block}"))))
+    same = F.col("source").cast("string").eqNullSafe(F.col("_name"))
+    if mix.few:
+        own = rows.join(F.broadcast(mix.sources), same)  # MAX_SOURCES rows at most
+    else:
+        salted = rows.withColumn("salt", F.pmod("place", F.lit(SALTS)))
+        own = salted.join(mix.sources.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), same & (F.col("salt") == F.col("_salt"))).drop("salt", "_salt")
+    buckets = max(64, -(-mix.most_docs // 20_000))
+    placed = _running(own.drop("_name").withColumn("bucket", F.pmod(F.xxhash64("place"), F.lit(buckets))), ["src"], "bucket", [F.col("place"), F.col("doc_id"), F.col("size")], "size", "first")
+    b = F.lit(block)
+    each = placed.withColumn("block", F.explode(F.sequence(F.expr(f"first div {block}"), F.expr(f"greatest(first, first + size - 1) div {block}"))))
     begin = F.greatest(F.col("block") * b, F.col("first"))
     return each.withColumn("from", begin - F.col("first")).withColumn("words", F.greatest(F.lit(0), F.least((F.col("block") + 1) * b, F.col("first") + F.col("size")) - begin))
 
 
-def taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **kw) -> DataFrame:
+def taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, **kw) -> DataFrame:
     """A row a document: doc_id, size, source_size, target and how many of its words the mix takes."""
     rows = common.checkpointed(sized(docs, id_col, text_col, source_col))
-    plan, most_docs = plan_for(rows, **kw)
-    if not plan.names:
+    mix = mix_of(rows, block=block, **kw)
+    if mix is None:
         return rows.select("doc_id", "size", F.col("size").alias("source_size"), F.lit(0.0).alias("target"), F.col("size").alias("taken"))
-    uses = slots(docs.sparkSession, plan).groupBy("src", "block").agg(F.count(F.lit(1)).alias("uses"))
-    met = pieces(rows, plan, most_docs).join(uses.hint("merge"), ["src", "block"], "left")
+    uses = mix.filled.groupBy("src", "block").agg(F.count(F.lit(1)).alias("uses"))
+    met = pieces(rows, mix, block).join(uses.hint("merge"), ["src", "block"], "left")
     summed = met.groupBy("src", "bucket", "_rank", "doc_id", "size", "source_size", "target").agg(F.sum(F.col("words") * F.coalesce("uses", F.lit(0))).alias("taken"))
     return summed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-def mixed_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **kw) -> DataFrame:
+def mixed_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, **kw) -> DataFrame:
     """The mix itself: shard, src, use, block and the block's words joined by one space."""
     rows = common.checkpointed(sized(docs, id_col, text_col, source_col))
-    plan, most_docs = plan_for(rows, **kw)
+    mix = mix_of(rows, block=block, **kw)
+    if mix is None:
+        return docs.sparkSession.createDataFrame([], "shard long, src long, use long, block long, text string")
     bare = F.btrim(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.lit(SPACE))
     # Equal ids and texts give equal words, so any row of that place will do.
     words = docs.select(F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("place"), F.split(bare, SPLIT).alias("_words")).dropDuplicates(["place"])
-    part = pieces(rows, plan, most_docs).filter("words > 0").join(words, "place").select("src", "block", "first", "from", F.slice("_words", (F.col("from") + 1).cast("int"), F.col("words").cast("int")).alias("w"))
+    part = pieces(rows, mix, block).filter("words > 0").join(words, "place").select("src", "block", "first", "from", F.slice("_words", (F.col("from") + 1).cast("int"), F.col("words").cast("int")).alias("w"))
     made = part.groupBy("src", "block").agg(F.sort_array(F.collect_list(F.struct("first", "from", "w"))).alias("p"))  # a block's pieces hold BLOCK words
     text = made.select("src", "block", F.array_join(F.flatten(F.transform("p", lambda x: x["w"])), " ").alias("text"))
-    return slots(docs.sparkSession, plan).join(text.hint("merge"), ["src", "block"]).select("shard", "src", "use", "block", "text")
+    return mix.filled.join(text.hint("merge"), ["src", "block"]).select("shard", "src", "use", "block", "text")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -256,9 +256,11 @@ def test_permutation_is_one():
             assert sorted(mixing.permuted(np.arange(n), np.full(n, n), np.full(n, key)).tolist()) == list(range(n))
 
 
-def test_mixing(docs, none):
+@pytest.mark.parametrize("most", [None, 3, 5])
+def test_mixing(docs, none, most):
+    """Also with more sources than are drawn one by one."""
     rows = corpus()
-    got = mixing.taken(docs, block=8, shard_slots=50).collect()
+    got = mixing.taken(docs, block=8, shard_slots=50, most_sources=most).collect()
     assert bag((r.doc_id, r.size) for r in got) == bag((r[0], len(SPACE_WORDS.findall(r[1] or ""))) for r in rows)
     assert all(r.taken <= 2 * r.size for r in got)
     of = {r[0]: r[3] for r in rows}
@@ -267,10 +269,14 @@ def test_mixing(docs, none):
         taken[of[r.doc_id]] += r.taken
         size[of[r.doc_id]], target[of[r.doc_id]] = r.source_size, r.target
     assert all(abs(taken[s] - target[s]) <= 16 for s in taken)
-    assert bag(got) == bag(mixing.taken(docs.repartition(7), block=8, shard_slots=50).collect())
-    assert mixing.taken(none).count() == 0 and mixing.taken(docs.filter("doc_id is null")).count() == 1
-    blocks = mixing.mixed_blocks(docs.filter("doc_id < 60"), block=8, shard_slots=50).collect()
+    names = sorted(size, key=lambda s: (s is None, s or ""))
+    want = mixing.targets([size[s] for s in names], [mixing.WEIGHTS[i % 3] for i in range(len(names))], 1.5 * sum(size.values()))
+    assert all(math.isclose(target[s], t, rel_tol=1e-9) for s, t in zip(names, want)) and len(names) > 10
+    assert bag(got) == bag(mixing.taken(docs.repartition(7), block=8, shard_slots=50, most_sources=most).collect())
+    assert mixing.taken(none, most_sources=most).count() == 0 and mixing.taken(docs.filter("doc_id is null"), most_sources=most).count() == 1
+    blocks = mixing.mixed_blocks(docs.filter("doc_id < 60"), block=8, shard_slots=50, most_sources=most).collect()
     assert len({(r.src, r.use) for r in blocks}) == len(blocks) and all(len(r.text.split(" ")) <= 8 for r in blocks)
+    assert mixing.mixed_blocks(none, most_sources=most).count() == 0
 
 
 # --- 4 --------------------------------------------------------------------------------------------------------------------
