@@ -19,6 +19,12 @@ def stale(now: DataFrame, kept: DataFrame) -> DataFrame:
     return now.join(kept, ["job_id", "fingerprint"], "left_anti")
 
 
+def prepared(now: DataFrame, stored: DataFrame, audio: DataFrame) -> DataFrame:
+    """now (job_id, fingerprint), stored (the same, of the last run), audio (job_id) -> job_id, state: reused where the input is unchanged and its audio is there, otherwise rendered. A null fingerprint is never reused."""
+    same = now.join(stored.select("job_id", "fingerprint").distinct(), ["job_id", "fingerprint"], "left_semi").join(audio.select("job_id").distinct(), "job_id", "left_semi")
+    return now.select("job_id").join(same.select("job_id", F.lit("reused").alias("state")), "job_id", "left").withColumn("state", F.coalesce("state", F.lit("rendered")))
+
+
 def bench_rows(jobs: DataFrame, scores: DataFrame) -> DataFrame:
     """A row a job: a failed job has no scores, and null ones rather than zeros. jobs (job_id, failure_reason), scores (job_id, ...)."""
     ok = jobs.filter("failure_reason is null").select("job_id")

@@ -39,6 +39,17 @@ def closed_gaps(cards: DataFrame, close_ms: int) -> DataFrame:
     return cards.withColumn("_g", gap).groupBy("job_id").agg(F.count_if((F.col("_g") > 0) & (F.col("_g") <= close_ms)).alias("closed_gaps"))
 
 
+def sidecars(shown: DataFrame, warnings: DataFrame, source: Column, close_ms: int = 0, timing: bool = False, limits: CardLimits = CardLimits()) -> DataFrame:
+    """job_id, report: what is written beside a subtitle file, as JSON: its source (of job_id), the warnings of writing it, and counts of its cards. shown: cards with shown_start; timing: whether a timing card was asked for, the report tells whether there was room."""
+    first = shown.groupBy("job_id").agg((F.min_by("shown_start", "card") > 0).alias("room"))
+    gaps = closed_gaps(shown, close_ms) if close_ms > 0 else shown.select("job_id").distinct().withColumn("closed_gaps", F.lit(0).cast("long"))
+    listed = warnings.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("card", "code", "detail", "wid_start", "wid_end"))).alias("w"))
+    stats = report(shown, limits).withColumns({c: F.coalesce(F.round(c, 3), F.lit(0.0)) for c in ("max_cps", "mean_cps")}).join(gaps, "job_id").join(first, "job_id").join(listed, "job_id", "left")
+    told = F.transform(F.coalesce("w", F.array().cast(listed.schema["w"].dataType)), lambda x: F.struct(x["code"].alias("code"), x["detail"].alias("detail"), x["wid_start"].alias("wid_start"), x["wid_end"].alias("wid_end")))
+    counts = F.struct("cards", "cards_over_cps", "cards_over_line_len", "cards_under_min_duration", "max_cps", "mean_cps", "closed_gaps", (F.lit(timing) & F.col("room")).alias("timing_clip"))
+    return stats.select("job_id", F.to_json(F.struct(source.alias("source"), told.alias("warnings"), counts.alias("stats"))).alias("report"))
+
+
 def share_over_cps() -> Column:
     return F.when(F.col("cards") > 0, F.round(F.col("cards_over_cps") / F.col("cards"), 4))
 

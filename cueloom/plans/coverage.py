@@ -278,7 +278,31 @@ def unknown_keys(spark: SparkSession, d: str) -> DataFrame:
     return files.unknown_keys(_documents(spark, d))
 
 
-_GLOSSARY = "CASE WHEN wid % 5 = 0 THEN a || ' => ' || b WHEN wid % 5 = 1 THEN a || ' # a term' WHEN wid % 5 = 2 THEN a || ' ' || b WHEN wid % 5 = 3 THEN a || '=' || b ELSE a || ' => ' || b || ' => x' END"
+@query(f"""WITH {WORDS}, nb AS (SELECT *, dense_rank() OVER (PARTITION BY job_id ORDER BY seg) - 1 AS s FROM words WHERE job_id % 9 = 4), bad AS (SELECT *, '$.segments[' || s || '].words[' || pos || ']' AS path FROM nb)
+SELECT job_id, path, 'wid is not a whole number' AS problem FROM bad WHERE wid IN (3, 5, 8) UNION ALL SELECT job_id, path, 'w is not a text' FROM bad WHERE wid = 7 UNION ALL SELECT job_id, path, 'conf is neither a number nor null' FROM bad WHERE wid = 9
+UNION ALL SELECT job_id, path, 'start is not a number' FROM bad WHERE wid IN (11, 12) UNION ALL SELECT job_id, path, 'start has more than three decimals' FROM bad WHERE wid = 14 UNION ALL SELECT job_id, path, 'start is negative' FROM bad WHERE wid = 15""")
+def document_types(spark: SparkSession, d: str) -> DataFrame:
+    """Values of a wrong kind in transcript documents; a null confidence is none."""
+    raw = F.col("raw")
+    for pattern, new in (
+        ('"wid":3,', '"wid":true,'), ('"wid":5,', '"wid":"5",'), ('"wid":8,', '"wid":8.5,'), ('"wid":7,"w":"[^"]*"', '"wid":7,"w":7'), ('("wid":9,[^}]*"conf":)[0-9.]+', '$1"high"'), ('("wid":10,[^}]*"conf":)[0-9.]+', "$1null"),
+        ('("wid":11,[^}]*"start":)[0-9.]+', "$1false"), ('("wid":12,[^}]*"start":)[0-9.]+', '$1"1.5"'), ('("wid":14,[^}]*"start":)[0-9.]+', "$10.12345"), ('("wid":15,[^}]*"start":)[0-9.]+', "$1-1.5"),
+    ):
+        raw = F.when(F.col("job_id") % 9 == 4, F.regexp_replace(raw, pattern, new)).otherwise(raw)
+    return files.type_checks(_documents(spark, d).withColumn("raw", raw))
+
+
+@query(f"""WITH {SHOWN}, n AS (SELECT *, lead(start_ms) OVER (PARTITION BY job_id ORDER BY card) - end_ms AS gap FROM shown)
+SELECT job_id, 'job ' || job_id AS source, count(*) AS cards, count(*) FILTER (cps > 25.0) AS cards_over_cps, max(cps) AS max_cps, round(avg(cps), 3) AS mean_cps, count(*) FILTER (gap > 0 AND gap <= 60) AS closed_gaps, arg_min(shown_start, card) > 0 AS timing_clip, CASE WHEN count(*) FILTER (card % 50 = 7) > 0 THEN 'gap_not_applied' END AS first_code FROM n GROUP BY job_id""")
+def report_sidecars(spark: SparkSession, d: str) -> DataFrame:
+    """The JSON reports beside subtitle files, read again."""
+    ws = kept(words(spark, d))
+    shown = kept(display.starts(C.simple_cards(ws), C.onset(ws)))
+    warned = shown.filter("card % 50 = 7").select("job_id", "card", F.lit("gap_not_applied").alias("code"), F.lit("x").alias("detail"), F.col("first_wid").alias("wid_start"), F.col("last_wid").alias("wid_end"))
+    made = metrics.sidecars(shown, warned, F.concat(F.lit("job "), F.col("job_id").cast("string")), close_ms=60, timing=True)
+    at = lambda path, kind: F.get_json_object("report", f"$.{path}").cast(kind)
+    stats = [at(f"stats.{c}", k).alias(c) for c, k in (("cards", "long"), ("cards_over_cps", "long"), ("max_cps", "double"), ("mean_cps", "double"), ("closed_gaps", "long"), ("timing_clip", "boolean"))]
+    return made.select("job_id", at("source", "string").alias("source"), *stats, at("warnings[0].code", "string").alias("first_code"))
 
 
 @query(f"""WITH {WORDS}, b AS (SELECT job_id, wid, regexp_replace(w, '[^a-zA-Z]', 'q', 'g') AS a, 'r' || wid AS b FROM words WHERE wid % 7 = 0)
@@ -352,6 +376,14 @@ def audio_to_prepare(spark: SparkSession, d: str) -> DataFrame:
     return history.stale(now, stored)
 
 
+@query("SELECT DISTINCT conv_id AS job_id, CASE WHEN conv_id % 4 IN (0, 3) AND conv_id % 3 > 0 THEN 'reused' ELSE 'rendered' END AS state FROM conversations")
+def audio_states(spark: SparkSession, d: str) -> DataFrame:
+    """Stored audio is used again where the cut list is the same and the file is there."""
+    now = spark.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").alias("job_id"), F.concat(F.lit("f"), "conv_id").alias("fingerprint")).distinct()
+    stored = now.filter("job_id % 4 <> 1").withColumn("fingerprint", F.when(F.col("job_id") % 4 == 2, "old").otherwise(F.col("fingerprint")))
+    return history.prepared(now, stored, now.filter("job_id % 3 > 0"))
+
+
 _SPEECH = "sp0 AS (SELECT job_id, start_ms AS s, end_ms AS e, max(end_ms) OVER (PARTITION BY job_id ORDER BY start_ms, end_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM words)"
 
 

@@ -72,6 +72,30 @@ def unknown_keys(documents: DataFrame) -> DataFrame:
     return against(docs, "top", "$", ["meta", "segments", "edits"]).unionByName(against(meta, "m", "$.meta", ["source_file", "duration", "language", "engine", "engine_version", "created_at", "stages", "warnings"]))
 
 
+NUMBER = "^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL.*)$"
+
+
+def type_checks(documents: DataFrame) -> DataFrame:
+    """documents (job_id, raw) -> (job_id, path, problem): values of words that are not of their kind, which a reader with a schema would make null in silence. A truth value is no number."""
+    segs = documents.select("job_id", F.posexplode(F.from_json("raw", "segments array<struct<words:array<variant>>>")["segments"]).alias("seg", "s"))
+    # The kind of a word object reads OBJECT<conf: DECIMAL(2,2), w: STRING, ...>.
+    looked = F.transform("s.words", lambda x: F.struct(F.schema_of_variant(x).alias("told"), *[F.try_variant_get(x, f"$.{n}", "double").alias(n) for n in ("start", "end")]))
+    each = segs.select("job_id", "seg", F.posexplode(looked).alias("pos", "x")).select("job_id", "seg", "pos", "x.*")
+    kind = lambda name: F.regexp_extract("told", rf"[<\s]{name}: (\w+(\([0-9,]+\))?)", 1)
+    fine = lambda name: F.round(name, 3) == F.col(name)
+    checks = [
+        (kind("wid") != "BIGINT", "wid is not a whole number"),
+        (kind("w") != "STRING", "w is not a text"),
+        (~kind("conf").rlike(NUMBER) & ~kind("conf").isin("VOID", ""), "conf is neither a number nor null"),
+        *((~kind(n).rlike(NUMBER), f"{n} is not a number") for n in ("start", "end")),
+        *((kind(n).rlike(NUMBER) & ~fine(n), f"{n} has more than three decimals") for n in ("start", "end")),
+        *((kind(n).rlike(NUMBER) & (F.col(n) < 0), f"{n} is negative") for n in ("start", "end")),
+    ]
+    found = F.array_compact(F.array(*[F.when(bad, F.lit(problem)) for bad, problem in checks]))
+    path = F.concat(F.lit("$.segments["), F.col("seg").cast("string"), F.lit("].words["), F.col("pos").cast("string"), F.lit("]"))
+    return each.select("job_id", path.alias("path"), F.explode(found).alias("problem"))
+
+
 def write_stage(df: DataFrame, path: str, stage: str) -> None:
     df.write.mode("overwrite").json(f"{path}/{stage}")
 
@@ -172,6 +196,11 @@ def write_subtitles(rendered: DataFrame, path: str) -> None:
     rendered.select("job_id", body.alias("value")).repartition("job_id").write.mode("overwrite").partitionBy("job_id").text(path)
 
 
+def write_reports(sidecars: DataFrame, path: str) -> None:
+    """sidecars (job_id, report): one file a job, beside the subtitles of the same name."""
+    sidecars.select("job_id", F.col("report").alias("value")).repartition("job_id").write.mode("overwrite").partitionBy("job_id").text(path)
+
+
 # --- timelines ------------------------------------------------------------------------------------------------------------
 
 
