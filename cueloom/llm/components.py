@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Up to so many edges a round is dealt to one task for each ``TASK_EDGES``; beyond, the session's partitions and skew handling take over.
+FEW_EDGES, TASK_EDGES = 400_000, 25_000
+
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """edges (a, b) of two whole numbers -> (node, root): root is the smallest node that can be reached; only nodes with an edge.
@@ -24,9 +27,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if (n, total) == seen:
             return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         seen = (n, total)
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        dealt = (lambda df: df.repartition(-(-n // TASK_EDGES), "u")) if n <= FEW_EDGES else (lambda df: df)  # noqa: B023
+        both = dealt(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        large = dealt(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         now = common.checkpointed(small)

@@ -214,7 +214,7 @@ def _by_fingerprint(classes: DataFrame) -> DataFrame:
 def _met(docs: DataFrame, text_col: str) -> DataFrame:
     """(key, cls, n, common) of the shingles sent by several classes, for classes with enough of them; common: how many classes send the shingles of this class, on average."""
     key = W.partitionBy("key")
-    width = common.TEXT_PARTS * common.shuffle_width(docs.sparkSession)
+    width = common.shuffle_width(docs.sparkSession)
     sent = entries(docs, text_col).repartition(width, "key").dropDuplicates(["key", "cls"])
     met = common.checkpointed(sent.withColumn("members", F.count(F.lit(1)).over(key)).filter("members > 1"))
     # A similar class has at least 0.8 n shingles, and both send l of those that they share.
@@ -277,7 +277,7 @@ def _in_blocks(search: _Search, left: DataFrame) -> DataFrame:
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    width = common.TEXT_PARTS * common.shuffle_width(search.spark)
+    width = common.shuffle_width(search.spark)
     return common.checkpointed(full.repartition(width, "cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long"))
 
 
