@@ -40,7 +40,9 @@ SHARED = 10
 #: Members of a shingle up to which they are paired as rows.
 HOT = 48
 #: Shingles and classes of one block of a hot group.
-BLOCK_SHINGLES, BLOCK_ROWS = 400_000, 1024
+BLOCK_SHINGLES, BLOCK_ROWS = 800_000, 3072
+#: Bits that tell which rows' sets are asked for, by the row's key; so many at every size, and where they fill up more sets are sent than asked for.
+SIEVE = 1 << 25
 #: Similar sets lie in one band of sizes or in neighbouring ones; a little wider than need be, for rounding.
 BAND = 1.01 * UNDER / OVER
 
@@ -126,20 +128,19 @@ def entries(docs: DataFrame, text_col: str) -> DataFrame:
     return _texts(docs, text_col).mapInArrow(run, "key long, cls long, n int")
 
 
-def whole_sets(docs: DataFrame, text_col: str) -> DataFrame:
-    """(cls, shingles); a class may come more than once."""
+def whole_sets(docs: DataFrame, id_col: str, text_col: str, sieve: np.ndarray) -> DataFrame:
+    """(cls, shingles) of the rows whose key is in the sieve, and of some others; a class may come more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for t in common.chunks(batches, "text", TEXT_CHUNK):
-            h, at = sets_of(t.column("text"))
-            cls = classes_of(h, at)
-            own = _each_class_once(h, at, cls, seen)
-            n = np.diff(at)[own]
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(h[common.ranges(at[own], n)].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(cls[own]), lists], names=["cls", "shingles"])
+        for batch in batches:
+            k = batch.column("k1").to_numpy().view(np.uint64) & np.uint64(SIEVE - 1)
+            hit = (sieve[(k >> np.uint64(6)).astype(np.int64)] >> (k & np.uint64(63))) & np.uint64(1)
+            for t in common.chunks(iter([batch.filter(pa.array(hit > 0))]), "text", TEXT_CHUNK):
+                h, at = sets_of(t.column("text"))
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(classes_of(h, at)), lists], names=["cls", "shingles"])
 
-    return _texts(docs, text_col).mapInArrow(run, "cls long, shingles array<long>")
+    return docs.select(F.col(f"`{text_col}`").alias("text"), common.row_key(id_col, text_col)[0]).mapInArrow(run, "cls long, shingles array<long>")
 
 
 def similar(x: Column, y: Column) -> Column:
@@ -155,8 +156,8 @@ def _near(n: str, m: str) -> Column:
 class _Search:
     """Links and components so far. Each turn's pairs are written as a table, so that their number is known to the joins."""
 
-    def __init__(self, docs: DataFrame, text_col: str):
-        self.docs, self.text_col, self.spark = docs, text_col, docs.sparkSession
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, classes: DataFrame):
+        self.docs, self.id_col, self.text_col, self.classes, self.spark = docs, id_col, text_col, classes, docs.sparkSession
         self.folder, self.tables = common.new_folder(self.spark, "near"), 0
         self.links: DataFrame | None = None
         self.roots: DataFrame | None = None
@@ -171,8 +172,13 @@ class _Search:
         return self.spark.read.parquet(f"{self.folder}/{self.tables}")
 
     def sets(self, wanted: DataFrame) -> DataFrame:
-        """The whole sets of the classes in wanted (cls)."""
-        return whole_sets(self.docs, self.text_col).join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
+        """The whole sets of the classes in wanted (cls). Only rows that a sieve of fixed size lets through are cut into shingles and sent."""
+        k = F.col("k1").bitwiseAND(F.lit(SIEVE - 1))
+        word, bit = F.shiftright(k, 6).alias("word"), F.expr("shiftleft(1L, cast(k1 & 63 as int))")
+        rows = self.classes.join(wanted, "cls", "left_semi").groupBy(word).agg(F.bit_or(bit).alias("bits")).toArrow()  # SIEVE / 64 rows at most
+        sieve = np.zeros(SIEVE // 64, np.uint64)
+        sieve[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+        return whole_sets(self.docs, self.id_col, self.text_col, sieve).join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
 
     def settle(self, *found: DataFrame) -> None:
         for new in found:
@@ -187,10 +193,10 @@ class _Search:
         return common.checkpointed(pairs.join(one, "a").join(two, "b").filter(similar(F.col("x"), F.col("y"))).select("a", "b"))
 
 
-def roots_of_similar(docs: DataFrame, text_col: str, classes: DataFrame) -> DataFrame:
-    """(node, root) of the classes that have a similar one; classes: cls and fp."""
-    search = _Search(docs, text_col)
-    search.settle(search.verified(_by_fingerprint(classes)))
+def roots_of_similar(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame) -> DataFrame:
+    """(node, root) of the classes that have a similar one; classes: cls, fp and k1, the key of one of its rows."""
+    search = _Search(docs, id_col, text_col, classes)
+    search.settle(search.verified(_by_fingerprint(classes.select("cls", "fp"))))
     met = _met(docs, text_col)
     search.settle(search.verified(_with_pivots(search.rooted(met))))
     left = common.checkpointed(_unsettled(search.rooted(met)).withColumn("members", F.count(F.lit(1)).over(W.partitionBy("key"))))
@@ -269,7 +275,8 @@ def _in_blocks(search: _Search, left: DataFrame) -> DataFrame:
     left_of = placed.filter("not main").withColumnsRenamed({"band": "band1", "block": "block1"}).drop("main").join(cells.select("grp", "band1", "block1", "cell"), ["grp", "band1", "block1"])
     right_of = placed.join(cells.select(*where, "block", "cell"), [*where, "block"])
     rows = left_of.select("cls", "root", "cell", F.lit(False).alias("right")).unionByName(right_of.select("cls", "root", "cell", F.lit(True).alias("right")))
-    full = rows.join(search.sets(own.select("cls")), "cls")
+    rows = search.table(rows)
+    full = rows.join(search.sets(rows.select("cls").distinct()), "cls")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in common.grouped_stream(batches, "cell"):
@@ -302,7 +309,7 @@ def compared(cls: np.ndarray, root: np.ndarray, right: np.ndarray, sets: pa.List
     for own in sides:
         place[own] = np.arange(len(own))
     shared = np.zeros((len(sides[0]), len(sides[1])), np.float32)
-    step = max(256, (1 << 23) // len(cls))
+    step = max(256, (1 << 22) // len(cls))
     for a in range(0, len(both_sides), step):
         lo, hi = np.searchsorted(code, [a, a + step])
         parts = []
@@ -334,6 +341,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     of = common.checkpointed(classified(docs, id_col, text_col))
     classes = common.checkpointed(of.groupBy("cls").agg(F.min(simhash.least_row()).alias("least"), F.first("fp").alias("fp")))
-    roots = roots_of_similar(docs, text_col, classes.select("cls", "fp"))
+    roots = roots_of_similar(docs, id_col, text_col, classes.select("cls", "fp", "least.k1"))
     named = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     return of, named, named.groupBy("root").agg(F.min("least").alias("least"))
