@@ -200,7 +200,9 @@ def roots_of_similar(docs: DataFrame, id_col: str, text_col: str, classes: DataF
     met = _met(docs, text_col)
     search.settle(search.verified(_with_pivots(search.rooted(met))))
     left = common.checkpointed(_unsettled(search.rooted(met)).withColumn("members", F.count(F.lit(1)).over(W.partitionBy("key"))))
-    search.settle(search.verified(_pairs(left.filter(F.col("members") <= HOT))), _in_blocks(search, left.filter(F.col("members") > HOT)))
+    hot = left.filter(F.col("members") > HOT)
+    found = [search.verified(_pairs(left.filter(F.col("members") <= HOT)))] + ([] if hot.isEmpty() else [_in_blocks(search, hot)])
+    search.settle(*found)
     common.drop_folder(search.spark, search.folder)  # links and roots are checkpointed
     return search.roots
 
