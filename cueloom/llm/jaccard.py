@@ -41,6 +41,8 @@ SHARED = 10
 HOT = 48
 #: Shingles and classes of one block of a hot group.
 BLOCK_SHINGLES, BLOCK_ROWS = 800_000, 3072
+#: Classes for each shuffle partition of the search, up to as many as the session sets.
+PART_CLASSES = 4000
 #: Bits that tell which rows' sets are asked for, by the row's key; so many at every size, and where they fill up more sets are sent than asked for.
 SIEVE = 1 << 25
 #: Similar sets lie in one band of sizes or in neighbouring ones; a little wider than need be, for rounding.
@@ -343,6 +345,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     of = common.checkpointed(classified(docs, id_col, text_col))
     classes = common.checkpointed(of.groupBy("cls").agg(F.min(simhash.least_row()).alias("least"), F.first("fp").alias("fp")))
-    roots = roots_of_similar(docs, id_col, text_col, classes.select("cls", "fp", "least.k1"))
+    # The search runs to its end here, in steps that are small beside the texts.
+    with common.shuffling_to(docs.sparkSession, -(-classes.count() // PART_CLASSES)):
+        roots = roots_of_similar(docs, id_col, text_col, classes.select("cls", "fp", "least.k1"))
     named = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     return of, named, named.groupBy("root").agg(F.min("least").alias("least"))
