@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,17 +42,6 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-@contextmanager
-def shuffling_to(spark: SparkSession, parts: int) -> Iterator[None]:
-    """For work that is done at once on a table of known size: fewer shuffle partitions than the session has, where the table needs no more."""
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(max(1, min(int(before), parts))))
-    try:
-        yield
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that spark.checkpoint.dir names. Where none is set, a temporary one if all runs in one process on this machine; on a cluster that is an error, for executors would each write to their own disks."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -32,6 +32,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m"))
         large = dealt(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v")
+        small = dealt(small).distinct()
         now = common.checkpointed(small)
     raise RuntimeError("components did not settle")

@@ -41,7 +41,7 @@ SHARED = 10
 HOT = 48
 #: Shingles and classes of one block of a hot group.
 BLOCK_SHINGLES, BLOCK_ROWS = 800_000, 3072
-#: Classes for each shuffle partition of the search, up to as many as the session sets.
+#: Classes for each part of the search's tables, which have no more parts than the session sets.
 PART_CLASSES = 4000
 #: Bits that tell which rows' sets are asked for, by the row's key; so many at every size, and where they fill up more sets are sent than asked for.
 SIEVE = 1 << 25
@@ -158,7 +158,8 @@ def _near(n: str, m: str) -> Column:
 class _Search:
     """Links and components so far. Each turn's pairs are written as a table, so that their number is known to the joins."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, classes: DataFrame):
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, parts: int):
+        self.parts = parts  # of tables that are small beside the texts
         self.docs, self.id_col, self.text_col, self.classes, self.spark = docs, id_col, text_col, classes, docs.sparkSession
         self.folder, self.tables = common.new_folder(self.spark, "near"), 0
         self.links: DataFrame | None = None
@@ -170,7 +171,7 @@ class _Search:
 
     def table(self, df: DataFrame) -> DataFrame:
         self.tables += 1
-        df.write.parquet(f"{self.folder}/{self.tables}")
+        df.coalesce(self.parts).write.parquet(f"{self.folder}/{self.tables}")
         return self.spark.read.parquet(f"{self.folder}/{self.tables}")
 
     def sets(self, wanted: DataFrame) -> DataFrame:
@@ -192,16 +193,17 @@ class _Search:
         pairs = self.table(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
         one, two = (sets.select(F.col("cls").alias(c), F.col("shingles").alias(s)) for c, s in (("a", "x"), ("b", "y")))
-        return common.checkpointed(pairs.join(one, "a").join(two, "b").filter(similar(F.col("x"), F.col("y"))).select("a", "b"))
+        return common.checkpointed(pairs.join(one, "a").join(two, "b").filter(similar(F.col("x"), F.col("y"))).select("a", "b").coalesce(self.parts))
 
 
 def roots_of_similar(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame) -> DataFrame:
     """(node, root) of the classes that have a similar one; classes: cls, fp and k1, the key of one of its rows."""
-    search = _Search(docs, id_col, text_col, classes)
+    parts = max(1, min(common.shuffle_width(docs.sparkSession), -(-classes.count() // PART_CLASSES)))
+    search = _Search(docs, id_col, text_col, classes, parts)
     search.settle(search.verified(_by_fingerprint(classes.select("cls", "fp"))))
-    met = _met(docs, text_col)
+    met = _met(docs, text_col, parts)
     search.settle(search.verified(_with_pivots(search.rooted(met))))
-    left = common.checkpointed(_unsettled(search.rooted(met)).withColumn("members", F.count(F.lit(1)).over(W.partitionBy("key"))))
+    left = common.checkpointed(_unsettled(search.rooted(met)).withColumn("members", F.count(F.lit(1)).over(W.partitionBy("key"))).coalesce(parts))
     hot = left.filter(F.col("members") > HOT)
     found = [search.verified(_pairs(left.filter(F.col("members") <= HOT)))] + ([] if hot.isEmpty() else [_in_blocks(search, hot)])
     search.settle(*found)
@@ -221,16 +223,15 @@ def _by_fingerprint(classes: DataFrame) -> DataFrame:
     return across.unionByName(same)
 
 
-def _met(docs: DataFrame, text_col: str) -> DataFrame:
+def _met(docs: DataFrame, text_col: str, parts: int) -> DataFrame:
     """(key, cls, n, common) of the shingles sent by several classes, for classes with enough of them; common: how many classes send the shingles of this class, on average."""
     key = W.partitionBy("key")
-    width = common.shuffle_width(docs.sparkSession)
-    sent = entries(docs, text_col).repartition(width, "key").dropDuplicates(["key", "cls"])
+    sent = entries(docs, text_col).repartition(parts, "key").dropDuplicates(["key", "cls"])
     met = common.checkpointed(sent.withColumn("members", F.count(F.lit(1)).over(key)).filter("members > 1"))
     # A similar class has at least 0.8 n shingles, and both send l of those that they share.
     least = F.lit(1) + F.floor(F.ceil(F.lit(OVER) * F.col("n") / UNDER) / SHARED)
     enough = met.groupBy("cls", "n").agg(F.count(F.lit(1)).alias("own"), F.avg("members").alias("common")).filter(F.col("own") >= least).select("cls", "common")
-    again = met.drop("members").join(enough, "cls").withColumn("members", F.count(F.lit(1)).over(key))
+    again = met.drop("members").join(enough.coalesce(parts), "cls").repartition(parts, "key").withColumn("members", F.count(F.lit(1)).over(key))
     return common.checkpointed(again.filter("members > 1").drop("members"))
 
 
@@ -288,8 +289,7 @@ def _in_blocks(search: _Search, left: DataFrame) -> DataFrame:
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    width = common.shuffle_width(search.spark)
-    return common.checkpointed(full.repartition(width, "cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long"))
+    return common.checkpointed(full.repartition(search.parts, "cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long"))
 
 
 def compared(cls: np.ndarray, root: np.ndarray, right: np.ndarray, sets: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -345,8 +345,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     of = common.checkpointed(classified(docs, id_col, text_col))
     classes = common.checkpointed(of.groupBy("cls").agg(F.min(simhash.least_row()).alias("least"), F.first("fp").alias("fp")))
-    # The search runs to its end here, in steps that are small beside the texts.
-    with common.shuffling_to(docs.sparkSession, -(-classes.count() // PART_CLASSES)):
-        roots = roots_of_similar(docs, id_col, text_col, classes.select("cls", "fp", "least.k1"))
+    roots = roots_of_similar(docs, id_col, text_col, classes.select("cls", "fp", "least.k1"))
     named = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     return of, named, named.groupBy("root").agg(F.min("least").alias("least"))
