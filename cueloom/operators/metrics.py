@@ -74,16 +74,17 @@ def review_report(flags: DataFrame, most: int = 10) -> DataFrame:
 def entity_accuracy(texts: DataFrame, terms: DataFrame, p: LanguageProfile) -> DataFrame:
     """texts (job_id, ref, hyp), terms (term) -> job_id, accuracy: of the terms' occurrences in the reference, those that the other text has too; null where there are none. Terms that read alike count once each.
 
-    A term's first word finds the places to look at, by equality with a word or its form without an attached letter.
+    Words and terms meet word by word, by equality with a word or its form without an attached letter; where all words of a term stand in a row, it occurs.
+    The terms are sent whole, as a list that people keep; the words never are.
     """
     ts = terms.select(T.words_for_scoring(F.col("term"), p).alias("t")).filter(F.size("t") > 0).groupBy("t").agg(F.count(F.lit(1)).alias("times"))
-    ts = ts.withColumn("head", F.element_at("t", 1))
+    parts = F.broadcast(ts.select("t", "times", F.posexplode("t").alias("k", "word")))
 
     def found(col: str) -> DataFrame:
-        ws = texts.select("job_id", T.words_for_scoring(F.col(col), p).alias("ws"))
-        at = ws.select("job_id", "ws", F.posexplode("ws").alias("i", "w")).select("job_id", "ws", "i", F.explode(F.array_distinct(T.variants(F.col("w"), p))).alias("head"))
-        fits = F.forall(F.sequence(F.lit(1), F.size("t")), lambda k: F.coalesce(F.array_contains(T.variants(F.get("ws", F.col("i") + k - 1), p), F.get("t", k - 1)), F.lit(False)))
-        return at.join(ts, "head").filter(fits).groupBy("job_id", "t").agg((F.count_distinct("i") * F.max("times")).alias("n"))
+        ws = texts.select("job_id", F.posexplode(T.words_for_scoring(F.col(col), p)).alias("i", "w"))
+        at = ws.select("job_id", "i", F.explode(F.array_distinct(T.variants(F.col("w"), p))).alias("word"))
+        whole = at.join(parts, "word").groupBy("job_id", "t", "times", (F.col("i") - F.col("k")).alias("start")).agg(F.count(F.lit(1)).alias("met")).filter(F.col("met") == F.size("t"))
+        return whole.groupBy("job_id", "t").agg((F.count(F.lit(1)) * F.max("times")).alias("n"))
 
     both = found("ref").alias("a").join(found("hyp").withColumnRenamed("n", "m"), ["job_id", "t"], "left")
     n = both.groupBy("job_id").agg((F.sum(F.least("n", F.coalesce("m", F.lit(0)))) / F.sum("n")).alias("accuracy"))

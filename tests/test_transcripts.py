@@ -384,6 +384,33 @@ def test_entity_accuracy(spark):
     assert [r.accuracy for r in metrics.entity_accuracy(texts, terms, LATIN).orderBy("job_id").collect()] == [0.5, None]
 
 
+def sent_rows(df):
+    """Rows that the plan of a query that ran has broadcast, a number for each broadcast."""
+    plan, found = df._jdf.queryExecution().executedPlan(), []
+
+    def walk(node):
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            return walk(node.executedPlan())
+        if "QueryStage" in name:
+            return walk(node.plan())
+        if name.startswith("BroadcastExchange"):
+            found.append(node.metrics().apply("numOutputRows").value())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    df.collect()
+    walk(plan)
+    return found
+
+
+def test_entity_accuracy_sends_terms_not_words(spark):
+    texts = spark.range(1).select(F.col("id").alias("job_id"), *[F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("dthe w"), i)), " ").alias(c) for c, n in (("ref", 400), ("hyp", 300))])
+    terms = spark.createDataFrame([("the",), ("the w7",), ("w7 dthe w8",), ("the w399",)], "term string")
+    got = metrics.entity_accuracy(texts, terms, LATIN)
+    assert max(sent_rows(got), default=0) <= 20 and got.first().accuracy == pytest.approx(302 / 403)
+
+
 def test_second_opinion(spark):
     mine, theirs = words(spark, "שלום לכן בית"), words(spark, "שלום לכם ביט")
     assert [(r.heard, r.alternative) for r in align.review(mine, theirs, HEBREW).orderBy("wid").collect()] == [("לכן", "לכם"), ("בית", "ביט")]
