@@ -102,6 +102,8 @@ class CardLimits:
 class CorrectionLimits:
     fuzzy_threshold: float = 0.82
     min_fuzzy_length: int = 3
+    #: Letters are what the similarity counts; with this, UTF-8 bytes for edits over letters for length, as DuckDB's levenshtein does in the queries' SQL.
+    fuzzy_in_bytes: bool = False
     conf_threshold: float = 0.99
     edit_budget: float = 0.15
     max_edit_ratio: float = 0.60

@@ -198,6 +198,42 @@ def test_fuzzy_sends_terms_not_stems(spark):
     assert max(sent_rows(got)) <= 10 and set(col(got, "stem", "stem")) == {"keitang", *(f"keitung{i}" for i in range(10))}
 
 
+def conversations(spark, folder, *texts):
+    """A folder of the driver's tables: documents, and a conversation for each text."""
+    rows = [(i, 0, "user", t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{folder}/conversations.parquet")
+    spark.createDataFrame([("end uf thi and of the",)] * 5, "text string").write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def like_its_sql(spark, folder, name):
+    """The query's rows, which are those of its SQL."""
+    import duckdb
+
+    from cueloom.plans import coverage
+
+    con = duckdb.connect()
+    for t in ("conversations", "documents"):
+        con.execute(f"create view {t} as select * from '{folder}/{t}.parquet/*.parquet'")
+    mine = coverage.C.Q[name](spark, folder)
+    theirs = con.execute(coverage.C.SQL[name])
+    at = [[x[0] for x in theirs.description].index(c) for c in mine.columns]
+    got = sorted(tuple(r) for r in mine.collect())
+    assert got == sorted(tuple(r[i] for i in at) for r in theirs.fetchall())
+    return got
+
+
+SPELT = "ßkeitung keitang einßschau einschua keitung, thand"
+
+
+def test_edits_of_the_fuzzy_queries_count_bytes(spark, tmp_path):
+    folder = conversations(spark, tmp_path, SPELT)
+    assert [r[0] for r in like_its_sql(spark, folder, "glossary_fuzzy")] == ["keitang"]
+    assert [r[2] for r in like_its_sql(spark, folder, "glossary_pass")] == ["keitang", "thand"]
+    letters = glossary.fuzzy(spark.createDataFrame([("ßkeitung",)], "stem string"), spark.createDataFrame([(0, "keitung", "keitung")], "ord int, norm string, term string"), LATIN)
+    assert letters.first().score == 1 - 1 / 8
+
+
 def test_real_words(spark):
     lexicon = spark.createDataFrame([("בית",), ("שלומ",)], "word string")
     stems = spark.createDataFrame([(x,) for x in ("בית", "לבית", "שלבית", "בבבבית", "שלום", "כלום", "John", "!")], "stem string")
