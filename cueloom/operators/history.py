@@ -28,8 +28,8 @@ def prepared(now: DataFrame, stored: DataFrame, audio: DataFrame) -> DataFrame:
 def bench_rows(jobs: DataFrame, scores: DataFrame) -> DataFrame:
     """A row a job: a failed job has no scores, and null ones rather than zeros. jobs (job_id, failure_reason), scores (job_id, ...)."""
     ok = jobs.filter("failure_reason is null").select("job_id")
-    measured = scores.join(ok, "job_id", "left_semi")
-    return jobs.select("job_id", F.when(F.col("failure_reason").isNull(), "ok").otherwise("failed").alias("status"), "failure_reason").join(measured, "job_id", "left")
+    measured = scores.join(ok.hint("merge"), "job_id", "left_semi")
+    return jobs.select("job_id", F.when(F.col("failure_reason").isNull(), "ok").otherwise("failed").alias("status"), "failure_reason").join(measured.hint("merge"), "job_id", "left")
 
 
 def means(rows: DataFrame, columns: list[str]) -> DataFrame:

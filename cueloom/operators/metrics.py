@@ -86,6 +86,6 @@ def entity_accuracy(texts: DataFrame, terms: DataFrame, p: LanguageProfile) -> D
         whole = at.join(parts, "word").groupBy("job_id", "t", "times", (F.col("i") - F.col("k")).alias("start")).agg(F.count(F.lit(1)).alias("met")).filter(F.col("met") == F.size("t"))
         return whole.groupBy("job_id", "t").agg((F.count(F.lit(1)) * F.max("times")).alias("n"))
 
-    both = found("ref").alias("a").join(found("hyp").withColumnRenamed("n", "m"), ["job_id", "t"], "left")
+    both = found("ref").alias("a").join(found("hyp").withColumnRenamed("n", "m").hint("merge"), ["job_id", "t"], "left")
     n = both.groupBy("job_id").agg((F.sum(F.least("n", F.coalesce("m", F.lit(0)))) / F.sum("n")).alias("accuracy"))
-    return texts.select("job_id").join(n, "job_id", "left")
+    return texts.select("job_id").join(n.hint("merge"), "job_id", "left")

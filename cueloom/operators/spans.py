@@ -35,14 +35,14 @@ def near(points: DataFrame, others: DataFrame, keys: list[str], tol: int) -> Dat
     a = points.withColumn("_b", F.explode(F.array(*[F.floor(F.col("t") / tol) + d for d in (-1, 0, 1)])))
     b = others.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("t").alias("_t"), F.floor(F.col("t") / tol).alias("_c")).distinct()
     on = [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col("_b") == F.col("_c"), F.abs(F.col("t") - F.col("_t")) <= tol]
-    return a.join(b, on, "left_semi").drop("_b").distinct()
+    return a.join(b.hint("merge"), on, "left_semi").drop("_b").distinct()
 
 
 def boundary_f1(reference: DataFrame, produced: DataFrame, keys: list[str], tol: int = 120) -> DataFrame:
     """keys, f1 over all keys of either side: null where there is no reference, 0 where nothing was produced. Points are distinct within a key."""
     count = lambda d, name: d.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
-    n = count(reference, "n_ref").join(count(produced, "n_got"), keys, "full_outer")
-    n = n.join(count(near(reference, produced, keys, tol), "recalled"), keys, "left").join(count(near(produced, reference, keys, tol), "precise"), keys, "left").na.fill(0, ["n_ref", "n_got", "recalled", "precise"])
+    n = count(reference, "n_ref").join(count(produced, "n_got").hint("merge"), keys, "full_outer")
+    n = n.join(count(near(reference, produced, keys, tol), "recalled").hint("merge"), keys, "left").join(count(near(produced, reference, keys, tol), "precise").hint("merge"), keys, "left").na.fill(0, ["n_ref", "n_got", "recalled", "precise"])
     r, p = F.col("recalled") / F.col("n_ref"), F.col("precise") / F.col("n_got")
     f1 = F.when(F.col("n_ref") == 0, F.lit(None)).when((F.col("n_got") == 0) | (F.col("recalled") + F.col("precise") == 0), 0.0).otherwise(2 * r * p / (r + p))
     return n.select(*keys, f1.cast("double").alias("f1"))

@@ -22,7 +22,7 @@ def scores(texts: DataFrame, cards: DataFrame, reference_starts: DataFrame, warn
     rules = metrics.rule_breakdown(warnings).withColumnRenamed("breakdown", "hebrew_rule_breakdown")
     out = words
     for part in (entity, cuts, report, counts, rules):
-        out = out.join(part, "job_id", "left")
+        out = out.join(part.hint("merge"), "job_id", "left")
     return out.na.fill(0, [c for c in out.columns if c.startswith("warn_")])
 
 

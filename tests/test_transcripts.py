@@ -675,6 +675,14 @@ def test_bench_table_columns(spark):
     assert all(0 < r.wer < 0.2 and r.cards > 0 and r.warn_cps_exceeded is not None and 0 <= r.boundary_f1 <= 1 for r in ok)
 
 
+def test_bench_table_sends_no_words(spark):
+    """With Spark's own limit for broadcasts: nothing that grows with the jobs is sent whole, only the terms are."""
+    from cueloom.plans import catalogue
+
+    assert all(n <= len(catalogue.ENTITY) for n in sent_rows(catalogue.Q["bench_table"](spark, "/root/testdata/sf0.001")))
+    assert sent_rows(segmenter.cards(words(spark, "one two. three four. five"), LATIN)) == sent_rows(catalogue._texts(spark, "/root/testdata/sf0.001")) == []
+
+
 def test_queries_match_their_oracles(spark):
     import duckdb
 
