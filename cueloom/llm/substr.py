@@ -19,7 +19,8 @@ node of the suffix tree of all texts, so the tree is built in parts that fit in
 
 Words are [^\\x20\\x09-\\x0D]+, unchanged. A null or empty text has no words. Ids are of any type that can be ordered, and are compared in
 its order; a null id counts as larger than any other, and no row as smaller than one of the same id, so repeated rows keep their
-words. Words are told apart by 128 bits of XXH3; windows that a chunk takes for equal are compared word by word.
+words. Within a chunk and within a bucket words have codes, which only equal words share; a hash of the word's bytes serves to choose its bucket
+and no more. Windows that a chunk takes for equal are compared word by word.
 """
 
 from __future__ import annotations
@@ -124,9 +125,23 @@ def settled(halves: np.ndarray) -> np.ndarray:
     return key
 
 
-def _keys(ws: common.Words) -> np.ndarray:
-    codes, halves, _ = common.wide_keys(ws)
-    return settled(halves)[codes] if ws.n else np.zeros(0, np.uint64)
+def code_keys(codes: np.ndarray) -> np.ndarray:
+    """A scrambled 64-bit key for each code that no other code has."""
+    return common.mix64(np.asarray(codes, np.uint64) + np.uint64(1))
+
+
+#: A random number for each byte at each place in a word; places from the last on share one.
+_PLACES = 64
+_BYTE_HASHES = np.random.default_rng(8).integers(0, 1 << 64, (_PLACES, 256), np.uint64)
+
+
+def word_hashes(distinct: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word's bytes, the same in every task."""
+    data, at = common.text_bytes(distinct)
+    if not len(distinct):
+        return np.zeros(0, np.uint64)
+    place = np.minimum(np.arange(len(data)) - np.repeat(at[:-1], np.diff(at)), _PLACES - 1)
+    return common.mix64(np.add.reduceat(_BYTE_HASHES[place, data], at[:-1]))
 
 
 def counted(docs: DataFrame, window: int, most: int, cells: int = CELLS) -> Dealing:
@@ -138,8 +153,8 @@ def counted(docs: DataFrame, window: int, most: int, cells: int = CELLS) -> Deal
             ws = common.words_of(t.column("text"), common.separators("space")).without_places()
             if ws.n < window:
                 continue
-            codes, halves, _ = common.wide_keys(ws)
-            h, lengths = halves[codes, 0], np.diff(ws.at)
+            codes, distinct = ws.codes()
+            h, lengths = word_hashes(distinct)[codes], np.diff(ws.at)
             starts = common.ranges(ws.first[:-1], np.maximum(ws.counts - window + 1, 0))
             for k, words in enumerate(SEED_WORDS):
                 n[k] += np.bincount((seeds(h, lengths, window, words)[starts] % np.uint64(cells)).astype(np.int64), minlength=cells)
@@ -168,15 +183,11 @@ def _squeeze(raw: bytes) -> bytes:
 
 
 def _unsqueezed(blobs: list[bytes]) -> np.ndarray:
-    """Keys of the words of all chunks; the texts themselves are not kept."""
-    codes, halves, at = [], [], 0
-    for blob in blobs:
-        text = pa.array([zstandard.ZstdDecompressor().decompress(blob, max_output_size=1 << 31)], pa.large_binary())
-        c, own, _ = common.wide_keys(common.words_of(text, common.separators("space")))
-        codes.append(c + np.int64(at))
-        halves.append(own)
-        at += len(own)
-    return settled(np.concatenate(halves))[np.concatenate(codes)]
+    """Keys of the words of all chunks, which have one space after each; the texts themselves are not kept."""
+    raw = b"".join([zstandard.ZstdDecompressor().decompress(blob, max_output_size=1 << 31) for blob in blobs])
+    ends = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32) + 1
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.r_[0, ends]), pa.py_buffer(raw)])
+    return code_keys(words.dictionary_encode().indices.to_numpy(zero_copy_only=False))
 
 
 def _pack(*columns: np.ndarray) -> bytes:
@@ -214,8 +225,8 @@ def bucketed(docs: DataFrame, dealing: Dealing, window: int) -> DataFrame:
             ws = common.words_of(t.column("text"), common.separators("space")).without_places()
             if ws.n < window:
                 continue
-            codes, halves, _ = common.wide_keys(ws)
-            h = settled(halves)[codes]
+            codes, distinct = ws.codes()
+            h = code_keys(codes)
             starts = common.ranges(ws.first[:-1], np.maximum(ws.counts - window + 1, 0))
             if not len(starts):
                 continue
@@ -232,8 +243,8 @@ def bucketed(docs: DataFrame, dealing: Dealing, window: int) -> DataFrame:
             open_ = np.ones(len(starts), bool)
             open_[by[late | again]] = False
             o_start, o_row = starts[open_], row[open_]
-            # By the plain halves, as they were counted; other chunks must send an equal window to the same bucket.
-            plain, lengths = halves[codes, 0], np.diff(ws.at)
+            # By the words' hashes, as they were counted; other chunks must send an equal window to the same bucket.
+            plain, lengths = word_hashes(distinct)[codes], np.diff(ws.at)
             whole = window_hashes(plain, window)[o_start]
             del by, sw, so, sr, new, least, late, again, w, h, codes
             bucket = dealing.bucket(*(seeds(plain, lengths, window, n)[o_start] for n in SEED_WORDS), whole)
@@ -372,10 +383,11 @@ def _kept_words(texts: pa.Array, at: list, n: list, window: int) -> tuple[common
     gone = np.zeros(ws.n + 1, np.int32)
     marked = [i for i, x in enumerate(at) if x is not None and len(x)]
     if marked:
-        h = _keys(ws)
-        for i in marked:
-            a, b = int(ws.first[i]), int(ws.first[i + 1])
-            w = window_hashes(h[a:b], window)
+        sizes = ws.counts[marked]
+        h = code_keys(ws.strings().take(pa.array(common.ranges(ws.first[marked], sizes))).dictionary_encode().indices.to_numpy(zero_copy_only=False))
+        for i, z, size in zip(marked, np.cumsum(sizes).tolist(), sizes.tolist()):
+            a = int(ws.first[i])
+            w = window_hashes(h[z - size : z], window)
             hit = np.unique(w[common.ranges(np.asarray(at[i], np.int64), np.asarray(n[i], np.int64))])
             for s in (a + np.flatnonzero(np.isin(w, hit)),):
                 np.add.at(gone, s, 1)

@@ -566,6 +566,19 @@ def test_words_of_equal_first_halves_are_told_apart():
     assert substr._equal_before(np.zeros(3, np.uint64), np.array([0, 6, 3]), h, 3).tolist() == [False, True, False]
 
 
+def test_words_are_told_apart_without_hashing_each(monkeypatch):
+    """Keys of a bucket's words come from codes over all its chunks, and buckets are chosen by a hash of all words at once."""
+    monkeypatch.setattr(common, "wide_keys", None)
+    said = ["one two", "two three one", "ab ba " + "x" * 200 + " " + "x" * 201]
+    key = dict(zip(" ".join(said).split(), substr._unsqueezed([substr._squeeze((x + " ").encode()) for x in said]).tolist()))
+    assert len(set(key.values())) == len(key) == 7
+    keys = substr._unsqueezed([substr._squeeze(b"two "), substr._squeeze(b"one two ")])
+    assert keys[0] == keys[2] != keys[1]
+    h = substr.word_hashes(pa.array([w.encode() for w in key], pa.large_binary()))
+    assert len(set(h[:5].tolist())) == 5 and h[1] == substr.word_hashes(pa.array([b"two"], pa.large_binary()))[0]
+    assert not len(substr.word_hashes(pa.array([], pa.large_binary())))
+
+
 def test_windows_are_dealt_in_bounded_buckets():
     """Every bucket gets about what it may hold, whatever prefix is common; equal windows meet."""
     r = np.random.default_rng(12)
