@@ -20,19 +20,26 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def _log_of(s: np.ndarray, column: np.ndarray) -> np.ndarray:
-    """The logarithm of one column's probability in each row of scores."""
-    own = s[np.arange(len(s)), column]
-    top = s.max(axis=1)
-    s -= top[:, None]
+    """The logarithm of one column's probability for each token; s: scores, columns x tokens, so that sums run over whole rows of memory."""
+    own = s[column, np.arange(s.shape[1])]
+    top = s.max(axis=0)
+    s -= top
     np.exp(s, out=s)
-    return own - top - np.log(s.sum(axis=1))
+    return own - top - np.log(s.sum(axis=0))
+
+
+def _scores(h: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Columns x tokens, of tokens x features."""
+    s = weights.T @ h.T
+    s += bias[:, None]
+    return s
 
 
 def _softmax(s: np.ndarray) -> np.ndarray:
-    """In place, row by row."""
-    s -= s.max(axis=1, keepdims=True)
+    """In place, for each token; s: columns x tokens."""
+    s -= s.max(axis=0)
     np.exp(s, out=s)
-    s /= s.sum(axis=1, keepdims=True)
+    s /= s.sum(axis=0)
     return s
 
 
@@ -68,17 +75,17 @@ class Model:
     def log_probs(self, h: np.ndarray, cls: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Natural logarithms of the probability of the class, and of the word within it where word >= 0."""
         p = self.p
-        out = _log_of(h @ p["A"] + p["a"], cls).astype(np.float64)
+        out = _log_of(_scores(h, p["A"], p["a"]), cls).astype(np.float64)
         by, parts = self.framed(cls, word)
         own, at = h[by], word[by]
         for a, z, lo, hi in parts:
-            out[by[a:z]] += _log_of(own[a:z] @ p["B"][:, lo:hi] + p["b"][lo:hi], at[a:z] - lo)
+            out[by[a:z]] += _log_of(_scores(own[a:z], p["B"][:, lo:hi], p["b"][lo:hi]), at[a:z] - lo)
         return out
 
     def framed(self, cls: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
         """The tokens that have a word, by class, and for each class: where it begins and ends among them, and its columns of the word softmax."""
         by = np.flatnonzero(word >= 0)
-        by = by[np.argsort(cls[by], kind="stable")]
+        by = by[np.argsort(cls[by].astype(np.uint16), kind="stable")]  # numbers of two bytes are sorted in linear time
         c = cls[by]
         cuts = np.flatnonzero(np.r_[True, c[1:] != c[:-1], True]) if len(by) else np.zeros(1, np.int64)
         return by, [(a, z, *self.members[int(c[a])]) for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
@@ -142,18 +149,19 @@ def read_once(model: Model, adam: Adam, inputs: np.ndarray, cls: np.ndarray, wor
 
 def _by_row(rows: np.ndarray, values: np.ndarray, out: np.ndarray) -> None:
     """Adds each row of values to the row of out that it belongs to; sorted sums, where adding one by one would be slow."""
-    order = np.argsort(rows, kind="stable")
+    order = np.argsort(rows.astype(np.uint16) if len(out) <= 1 << 16 else rows, kind="stable")
     at = rows[order]
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     out[at[first]] += np.add.reduceat(values[order], first, axis=0)
 
 
-def _forward(model: Model, h: np.ndarray, x: np.ndarray, ends: list[np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
-    """States of a window: before, after, gates and the inner part of the candidate, each steps x features x streams, so that a gate of all streams is one block of memory. x: steps x streams; ends: streams that begin anew at each step."""
+def _forward(model: Model, h: np.ndarray, x: np.ndarray, ends: list[np.ndarray] | None = None, read: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """States of a window: before, after, gates and the inner part of the candidate, each steps x features x streams, so that a gate of all streams is one block of memory. x: steps x streams; ends: streams that begin anew at each step; read: of _read, where it is at hand."""
     p, n = model.p, model.hidden
     steps, streams = x.shape
-    gates = np.ascontiguousarray((p["X"][x] + p["bg"]).transpose(0, 2, 1))
-    before, after, inner = (np.empty((steps, n, streams), h.dtype) for _ in range(3))
+    gates = np.ascontiguousarray((_read(model) if read is None else read)[x].transpose(0, 2, 1))
+    before, after = (np.empty((steps, n, streams), h.dtype) for _ in range(2))
+    added = np.empty((steps, 3 * n, streams), h.dtype)
     u = np.ascontiguousarray(p["U"].T)
     h = h.T
     for t in range(steps):
@@ -161,20 +169,24 @@ def _forward(model: Model, h: np.ndarray, x: np.ndarray, ends: list[np.ndarray]
         b[:] = h
         if ends is not None and len(ends[t]):
             b[:, ends[t]] = 0
-        gh = u @ b
+        gh = np.matmul(u, b, out=added[t])
         zr, c = g[: 2 * n], g[2 * n :]
         zr += gh[: 2 * n]
         np.negative(zr, out=zr)
         np.exp(zr, out=zr)
         zr += 1
         np.reciprocal(zr, out=zr)
-        inner[t] = gh[2 * n :]
-        c += zr[n:] * inner[t]
+        c += zr[n:] * gh[2 * n :]
         np.tanh(c, out=c)
         h = np.subtract(c, b, out=after[t])
         h *= zr[:n]
         h += b
-    return before, after, gates, inner
+    return before, after, gates, added[:, 2 * n :]
+
+
+def _read(model: Model) -> np.ndarray:
+    """What each input adds to the gates."""
+    return model.p["X"] + model.p["bg"]
 
 
 def _rows(a: np.ndarray) -> np.ndarray:
@@ -191,47 +203,50 @@ def _window(model: Model, h: np.ndarray, x: np.ndarray, cls: np.ndarray, word: n
     c_flat, w_flat = cls.T.ravel(), word.T.ravel()
     count = F32(len(c_flat))
     grad = {k: np.zeros_like(v) for k, v in p.items()}
-    d = _softmax(hs @ p["A"] + p["a"])
-    d[np.arange(len(d)), c_flat] -= 1
+    d = _softmax(_scores(hs, p["A"], p["a"]))
+    d[c_flat, np.arange(len(c_flat))] -= 1
     d /= count
-    grad["A"], grad["a"] = hs.T @ d, d.sum(axis=0)
-    dh = d @ p["A"].T
+    grad["A"], grad["a"] = (d @ hs).T, d.sum(axis=1)
+    dh = d.T @ p["A"].T
     by, parts = model.framed(c_flat, w_flat)
     own, at, back = hs[by], w_flat[by], np.empty((len(by), n), h.dtype)
     for a, z, lo, hi in parts:
-        e = _softmax(own[a:z] @ p["B"][:, lo:hi] + p["b"][lo:hi])
-        e[np.arange(z - a), at[a:z] - lo] -= 1
+        e = _softmax(_scores(own[a:z], p["B"][:, lo:hi], p["b"][lo:hi]))
+        e[at[a:z] - lo, np.arange(z - a)] -= 1
         e /= count
-        grad["B"][:, lo:hi] = own[a:z].T @ e
-        grad["b"][lo:hi] = e.sum(axis=0)
-        np.matmul(e, p["B"][:, lo:hi].T, out=back[a:z])
+        grad["B"][:, lo:hi] = (e @ own[a:z]).T
+        grad["b"][lo:hi] = e.sum(axis=1)
+        np.matmul(e.T, p["B"][:, lo:hi].T, out=back[a:z])
     dh[by] += back
     out = np.ascontiguousarray(dh.reshape(steps, streams, n).transpose(0, 2, 1))
-    # Of the gates' inputs, and of what the state adds to them.
-    dg, du = (np.empty((steps, 3 * n, streams), h.dtype) for _ in range(2))
+    # By how much each gate's input, and what the state adds to it, takes part in the state's gradient; all steps at once.
+    z, r, c = gates[:, :n], gates[:, n : 2 * n], gates[:, 2 * n :]
+    keep = 1 - z
+    parts_of = np.empty((steps, 3, n, streams), h.dtype)
+    of_c = c * c
+    np.subtract(1, of_c, out=of_c)
+    of_c *= z
+    np.subtract(c, before, out=parts_of[:, 0])
+    parts_of[:, 0] *= z
+    parts_of[:, 0] *= keep
+    np.multiply(of_c, r, out=parts_of[:, 2])
+    np.subtract(1, r, out=parts_of[:, 1])
+    parts_of[:, 1] *= inner
+    parts_of[:, 1] *= parts_of[:, 2]
     carry = np.zeros((n, streams), h.dtype)
     for t in range(steps - 1, -1, -1):
-        z, r, c = gates[t, :n], gates[t, n : 2 * n], gates[t, 2 * n :]
         dt = out[t]
         dt += carry
-        keep = 1 - z
-        dc = np.multiply(dt, z, out=dg[t, 2 * n :])
-        dc *= 1 - c * c
-        dz = np.multiply(dt, keep, out=dg[t, :n])
-        dz *= z
-        dz *= c - before[t]
-        dr = np.multiply(dc, inner[t], out=dg[t, n : 2 * n])
-        dr *= r
-        np.multiply(dc, r, out=du[t, 2 * n :])
-        dr *= 1 - r
-        du[t, : 2 * n] = dg[t, : 2 * n]
-        carry = p["U"] @ du[t]
-        dt *= keep
-        carry += dt
+        parts_of[t] *= dt
+        carry = p["U"] @ parts_of[t].reshape(3 * n, streams)
+        keep[t] *= dt
+        carry += keep[t]
         if len(ends[t]):
             carry[:, ends[t]] = 0
+    du = parts_of.reshape(steps, 3 * n, streams)
     grad["U"] = np.matmul(before, du.transpose(0, 2, 1)).sum(axis=0)
-    flat = _rows(dg)
+    np.multiply(out, of_c, out=du[:, 2 * n :])  # the state's part of the candidate comes through the reset gate, the input's does not
+    flat = _rows(du)
     grad["bg"] = flat.sum(axis=0)
     _by_row(x.T.ravel(), flat, grad["X"])
     return after[-1].T, grad
@@ -242,7 +257,7 @@ def score(model: Model, inputs: np.ndarray, cls: np.ndarray, word: np.ndarray, f
     lengths = np.diff(first)
     out = np.zeros(len(lengths))
     order = np.argsort(-lengths, kind="stable")
-    start = len(model.p["X"]) - 1
+    start, read = len(model.p["X"]) - 1, _read(model)
     for g in range(0, len(order), abreast):
         own = order[g : g + abreast]
         size = lengths[own]
@@ -256,7 +271,7 @@ def score(model: Model, inputs: np.ndarray, cls: np.ndarray, word: np.ndarray, f
             x = inputs[np.maximum(at - 1, 0)]
             if not t0:
                 x[0] = start
-            _, after, _, _ = _forward(model, h[:n], x)
+            _, after, _, _ = _forward(model, h[:n], x, read=read)
             h = after[-1].T
             where = at[valid]
             np.add.at(out, np.broadcast_to(own[:n], at.shape)[valid], model.log_probs(_rows(after)[valid.ravel()], cls[where], word[where]))

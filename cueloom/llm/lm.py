@@ -78,7 +78,7 @@ def byte_pairs(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _looks(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash and ending of distinct words, their bytes and where each begins."""
     data, at = common.text_bytes(distinct)
-    return common.keys_of(data, at).view(np.int64), endings(data, at), data, at
+    return common.byte_hashes(data, at).view(np.int64), endings(data, at), data, at
 
 
 def bin_of(count: np.ndarray) -> np.ndarray:
@@ -297,7 +297,7 @@ def encoded(rows: DataFrame, counts: DataFrame, vocab: Vocabulary) -> DataFrame:
             of = t.column("block").to_numpy()
             for b in np.unique(of):
                 ws = common.words_of(t.column("text").filter(pa.array(of == b)), common.separators("space"), lower=True)
-                h = np.unique(common.word_keys(ws)).view(np.int64)
+                h = np.unique(common.byte_hashes(*common.text_bytes(ws.codes()[1])).view(np.int64))
                 wanted[int(b)] = np.union1d(wanted[int(b)], h) if int(b) in wanted else h
         for b, h in wanted.items():
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), b, np.int32)), pa.array(h)], names=["block", "h"])

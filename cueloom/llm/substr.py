@@ -130,18 +130,9 @@ def code_keys(codes: np.ndarray) -> np.ndarray:
     return common.mix64(np.asarray(codes, np.uint64) + np.uint64(1))
 
 
-#: A random number for each byte at each place in a word; places from the last on share one.
-_PLACES = 64
-_BYTE_HASHES = np.random.default_rng(8).integers(0, 1 << 64, (_PLACES, 256), np.uint64)
-
-
 def word_hashes(distinct: pa.Array) -> np.ndarray:
     """A 64-bit hash of each word's bytes, the same in every task."""
-    data, at = common.text_bytes(distinct)
-    if not len(distinct):
-        return np.zeros(0, np.uint64)
-    place = np.minimum(np.arange(len(data)) - np.repeat(at[:-1], np.diff(at)), _PLACES - 1)
-    return common.mix64(np.add.reduceat(_BYTE_HASHES[place, data], at[:-1]))
+    return common.byte_hashes(*common.text_bytes(distinct))
 
 
 def counted(docs: DataFrame, window: int, most: int, cells: int = CELLS) -> Dealing:

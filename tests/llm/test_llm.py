@@ -855,3 +855,19 @@ def test_one_pass_leaves_no_token_out(monkeypatch):
     codes = np.arange(207)
     gru.read_once(m, gru.Adam(m), codes, codes, np.full(207, -1), np.array([0, 100, 101, 207]), 0.01)
     assert set(np.concatenate(read).tolist()) == set(range(207))
+
+
+def test_model_reads_words_without_hashing_each(monkeypatch):
+    """The words of a batch are hashed at once: equal words alike in every batch, long ones and their like apart."""
+    monkeypatch.setattr(common, "keys_of", None)
+    words = ["ab", "ba", "a", "b", "aa", "\u00e9", "x" * 64, "x" * 65, "x" * 64 + "ab", "x" * 64 + "ba"]
+    hashes = {w: lm._looks(pa.array([w.encode()], pa.large_binary()))[0][0] for w in words}
+    assert len(set(hashes.values())) == len(words)
+    assert lm._looks(pa.array([w.encode() for w in words], pa.large_binary()))[0].tolist() == list(hashes.values())
+
+
+def test_softmax_runs_over_the_columns():
+    s = np.random.default_rng(2).normal(0, 30, (5, 7))
+    want = np.exp(s) / np.exp(s).sum(axis=0)
+    assert np.allclose(gru._softmax(s.copy()), want)
+    assert np.allclose(gru._log_of(s.copy(), np.arange(7) % 5), np.log(want[np.arange(7) % 5, np.arange(7)]))
