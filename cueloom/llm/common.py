@@ -259,8 +259,12 @@ def byte_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     if len(at) < 2:
         return np.zeros(0, np.uint64)
     lengths = np.diff(at)
-    place = np.minimum(np.arange(len(data)) - np.repeat(at[:-1], lengths), _PLACES - 1)
-    h = mix64(np.add.reduceat(_BYTE_HASHES[place * 256 + data], at[:-1]))
+    cell = np.arange(len(data), dtype=np.int32 if len(data) < 1 << 31 else np.int64)  # in place, for memory's sake
+    cell -= np.repeat(at[:-1].astype(cell.dtype), lengths)
+    np.minimum(cell, _PLACES - 1, out=cell)
+    cell *= 256
+    cell += data
+    h = mix64(np.add.reduceat(_BYTE_HASHES[cell], at[:-1]))
     for i in np.flatnonzero(lengths > _PLACES).tolist():
         h[i] = xxhash.xxh64_intdigest(data[at[i] : at[i + 1]].tobytes())
     return h

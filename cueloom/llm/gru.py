@@ -13,6 +13,8 @@ from dataclasses import dataclass
 import numpy as np
 
 F32 = np.float32
+#: So many tokens' scores are held at once, which a core's own memory holds.
+TOKENS = 4096
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -75,7 +77,9 @@ class Model:
     def log_probs(self, h: np.ndarray, cls: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Natural logarithms of the probability of the class, and of the word within it where word >= 0."""
         p = self.p
-        out = _log_of(_scores(h, p["A"], p["a"]), cls).astype(np.float64)
+        out = np.empty(len(h))
+        for i in range(0, len(h), TOKENS):
+            out[i : i + TOKENS] = _log_of(_scores(h[i : i + TOKENS], p["A"], p["a"]), cls[i : i + TOKENS])
         by, parts = self.framed(cls, word)
         own, at = h[by], word[by]
         for a, z, lo, hi in parts:
@@ -100,14 +104,23 @@ class Adam:
 
     def apply(self, model: Model, grad: dict[str, np.ndarray], rate: float) -> None:
         self.t += 1
-        norm = np.sqrt(sum(float((g**2).sum()) for g in grad.values()))
+        norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grad.values()))
         scale = min(1.0, 1.0 / (norm + 1e-9))
-        for k, g in grad.items():
+        first, second = 1 - 0.9**self.t, 1 - 0.99**self.t
+        for k, g in grad.items():  # in the gradient's own memory
             m, v = self.moments[k]
-            g = g * F32(scale)
-            m += F32(0.1) * (g - m)
-            v += F32(0.01) * (g * g - v)
-            model.p[k] -= (rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.99**self.t)) + 1e-6)).astype(F32)
+            g *= F32(scale * 0.1)
+            m *= F32(0.9)
+            m += g
+            g *= g
+            v *= F32(0.99)
+            v += g  # a hundredth of the square
+            np.sqrt(v, out=g)
+            g *= F32(1 / second**0.5)
+            g += F32(1e-6)
+            np.divide(m, g, out=g)
+            g *= F32(rate / first)
+            model.p[k] -= g
 
 
 def train(model: Model, docs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], epochs: int = 6, streams: int = 48, window: int = 20, rate: float = 0.01, seed: int = 3) -> None:
@@ -155,21 +168,23 @@ def _by_row(rows: np.ndarray, values: np.ndarray, out: np.ndarray) -> None:
     out[at[first]] += np.add.reduceat(values[order], first, axis=0)
 
 
-def _forward(model: Model, h: np.ndarray, x: np.ndarray, ends: list[np.ndarray] | None = None, read: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """States of a window: before, after, gates and the inner part of the candidate, each steps x features x streams, so that a gate of all streams is one block of memory. x: steps x streams; ends: streams that begin anew at each step; read: of _read, where it is at hand."""
+def _forward(model: Model, h: np.ndarray, x: np.ndarray, ends: list[np.ndarray] | None = None, read: np.ndarray | None = None, keep: bool = True) -> tuple[np.ndarray, ...]:
+    """States of a window: before, after, gates and the inner part of the candidate, each steps x features x streams, so that a gate of all streams is one block of memory. x: steps x streams; ends: streams that begin anew at each step; read: of _read, where it is at hand; keep: whether all steps of the others than the state after are wanted, or the last alone."""
     p, n = model.p, model.hidden
     steps, streams = x.shape
-    gates = np.ascontiguousarray((_read(model) if read is None else read)[x].transpose(0, 2, 1))
-    before, after = (np.empty((steps, n, streams), h.dtype) for _ in range(2))
-    added = np.empty((steps, 3 * n, streams), h.dtype)
+    read = _read(model) if read is None else read
+    held = steps if keep else 1
+    gates, added = (np.empty((held, 3 * n, streams), h.dtype) for _ in range(2))
+    before, after = np.empty((held, n, streams), h.dtype), np.empty((steps, n, streams), h.dtype)
     u = np.ascontiguousarray(p["U"].T)
     h = h.T
     for t in range(steps):
-        b, g = before[t], gates[t]
+        b, g = before[t % held], gates[t % held]
+        np.take(read, x[t], axis=1, out=g, mode="clip")  # no input is beyond it; without a mode the result is copied
         b[:] = h
         if ends is not None and len(ends[t]):
             b[:, ends[t]] = 0
-        gh = np.matmul(u, b, out=added[t])
+        gh = np.matmul(u, b, out=added[t % held])
         zr, c = g[: 2 * n], g[2 * n :]
         zr += gh[: 2 * n]
         np.negative(zr, out=zr)
@@ -185,8 +200,8 @@ def _forward(model: Model, h: np.ndarray, x: np.ndarray, ends: list[np.ndarray]
 
 
 def _read(model: Model) -> np.ndarray:
-    """What each input adds to the gates."""
-    return model.p["X"] + model.p["bg"]
+    """What each input adds to the gates, features x inputs."""
+    return np.ascontiguousarray((model.p["X"] + model.p["bg"]).T)
 
 
 def _rows(a: np.ndarray) -> np.ndarray:
@@ -271,7 +286,7 @@ def score(model: Model, inputs: np.ndarray, cls: np.ndarray, word: np.ndarray, f
             x = inputs[np.maximum(at - 1, 0)]
             if not t0:
                 x[0] = start
-            _, after, _, _ = _forward(model, h[:n], x, read=read)
+            _, after, _, _ = _forward(model, h[:n], x, read=read, keep=False)
             h = after[-1].T
             where = at[valid]
             np.add.at(out, np.broadcast_to(own[:n], at.shape)[valid], model.log_probs(_rows(after)[valid.ravel()], cls[where], word[where]))
