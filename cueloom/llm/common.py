@@ -114,6 +114,10 @@ class Words:
     def strings(self) -> pa.Array:
         return pa.LargeBinaryArray.from_buffers(pa.large_binary(), self.n, [None, pa.py_buffer(self.at.astype(np.int64)), pa.py_buffer(self.data)])
 
+    def distinct(self) -> pa.Array:
+        """The distinct words, as of codes."""
+        return pc.unique(self.strings()) if self.n else pa.array([], pa.large_binary())
+
     def codes(self) -> tuple[np.ndarray, pa.Array]:
         """A code for each word, and the distinct words by code."""
         if not self.n:
@@ -141,9 +145,10 @@ def words_of(texts: pa.Array, sep: np.ndarray, lower: bool = False) -> Words:
     """Splits whole texts into words in a few passes over their bytes."""
     raw, at = text_bytes(texts)
     n = len(raw)
+    own = raw.tobytes()  # tables of bytes are looked up without an index of eight bytes for each
     if lower:
-        raw = lower_map()[raw]
-    word = ~sep[raw]
+        own = own.translate(lower_map().tobytes())
+    raw, word = np.frombuffer(own, np.uint8), np.frombuffer(own.translate((~sep).tobytes()), bool)
     edge = np.zeros(n + 1, bool)
     edge[at] = True
     before = np.zeros(n + 1, bool)

@@ -14,7 +14,9 @@ import numpy as np
 
 F32 = np.float32
 #: So many tokens' scores are held at once, which a core's own memory holds.
-TOKENS = 4096
+TOKENS = 2048
+#: Scores within this of zero are raised to powers as they are: no sum of such powers leaves what a float holds.
+SAFE = 60.0
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -30,11 +32,23 @@ def _log_of(s: np.ndarray, column: np.ndarray) -> np.ndarray:
     return own - top - np.log(s.sum(axis=0))
 
 
-def _scores(h: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """Columns x tokens, of tokens x features."""
-    s = weights.T @ h.T
-    s += bias[:, None]
-    return s
+def _joined(weights: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, bool]:
+    """Weights and bias as one matrix, columns x (features + 1), for states with a last feature of 1; the bias counts from its largest. And whether no state, whose features are between -1 and 1, has a score beyond SAFE."""
+    w = np.vstack([weights, bias - bias.max()]).T
+    return np.ascontiguousarray(w), float(np.abs(w).sum(axis=1).max()) < SAFE
+
+
+def _powers(s: np.ndarray, safe: bool) -> np.ndarray:
+    """The scores' powers, in place, each token's by a factor of its own; s: columns x tokens."""
+    return np.exp(s, out=s) if safe else _softmax(s)
+
+
+def _log_chosen(s: np.ndarray, column: np.ndarray, safe: bool) -> np.ndarray:
+    """As _log_of, where safe scores go without their largest."""
+    if not safe:
+        return _log_of(s, column)
+    own = s[column, np.arange(s.shape[1])]
+    return own - np.log(np.exp(s, out=s).sum(axis=0))
 
 
 def _softmax(s: np.ndarray) -> np.ndarray:
@@ -76,14 +90,24 @@ class Model:
 
     def log_probs(self, h: np.ndarray, cls: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Natural logarithms of the probability of the class, and of the word within it where word >= 0."""
-        p = self.p
+        return self.log_probs_of(np.hstack([h, np.ones((len(h), 1), h.dtype)]), cls, word, self.joined())
+
+    def joined(self) -> tuple[tuple[np.ndarray, bool], tuple[np.ndarray, bool]]:
+        return _joined(self.p["A"], self.p["a"]), _joined(self.p["B"], self.p["b"])
+
+    def log_probs_of(self, h: np.ndarray, cls: np.ndarray, word: np.ndarray, joined: tuple) -> np.ndarray:
+        """As log_probs, of states with a last feature of 1."""
+        (wa, safe_a), (wb, safe_b) = joined
         out = np.empty(len(h))
         for i in range(0, len(h), TOKENS):
-            out[i : i + TOKENS] = _log_of(_scores(h[i : i + TOKENS], p["A"], p["a"]), cls[i : i + TOKENS])
+            out[i : i + TOKENS] = _log_chosen(wa @ h[i : i + TOKENS].T, cls[i : i + TOKENS], safe_a)
         by, parts = self.framed(cls, word)
-        own, at = h[by], word[by]
+        own, at, inside = h[by], word[by], np.empty(len(by))
         for a, z, lo, hi in parts:
-            out[by[a:z]] += _log_of(_scores(own[a:z], p["B"][:, lo:hi], p["b"][lo:hi]), at[a:z] - lo)
+            for i in range(a, z, TOKENS):
+                j = min(z, i + TOKENS)
+                inside[i:j] = _log_chosen(wb[lo:hi] @ own[i:j].T, at[i:j] - lo, safe_b)
+        out[by] += inside
         return out
 
     def framed(self, cls: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
@@ -153,55 +177,67 @@ def read_once(model: Model, adam: Adam, inputs: np.ndarray, cls: np.ndarray, wor
     before = np.where(fresh, len(model.p["X"]) - 1, np.r_[0, inputs[:-1]])
     streams = max(1, min(streams, total // (2 * window)))
     n = -(-total // streams)
-    x, c, w, new = (np.resize(s, n * streams).reshape(streams, n) for s in (before, cls, word, fresh))
+    x, c, w, new = (np.asfortranarray(np.resize(s, n * streams).reshape(streams, n)) for s in (before, cls, word, fresh))  # a window is one block of memory
     h = np.zeros((streams, model.hidden), F32)
     for a in range(0, n, window):
         h, grad = _window(model, h, x[:, a : a + window], c[:, a : a + window], w[:, a : a + window], new[:, a : a + window])
         adam.apply(model, grad, rate)
 
 
-def _by_row(rows: np.ndarray, values: np.ndarray, out: np.ndarray) -> None:
-    """Adds each row of values to the row of out that it belongs to; sorted sums, where adding one by one would be slow."""
-    order = np.argsort(rows.astype(np.uint16) if len(out) <= 1 << 16 else rows, kind="stable")
-    at = rows[order]
-    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    out[at[first]] += np.add.reduceat(values[order], first, axis=0)
+def _by_input(x: np.ndarray, values: np.ndarray, inputs: int) -> np.ndarray:
+    """The sums of values by input, inputs x features; x: of each token; values: steps x features x streams."""
+    out = np.empty((values.shape[1], inputs), values.dtype)
+    for k in range(len(out)):
+        out[k] = np.bincount(x, values[:, k].ravel(), inputs)
+    return np.ascontiguousarray(out.T)
 
 
-def _forward(model: Model, h: np.ndarray, x: np.ndarray, ends: list[np.ndarray] | None = None, read: np.ndarray | None = None, keep: bool = True) -> tuple[np.ndarray, ...]:
-    """States of a window: before, after, gates and the inner part of the candidate, each steps x features x streams, so that a gate of all streams is one block of memory. x: steps x streams; ends: streams that begin anew at each step; read: of _read, where it is at hand; keep: whether all steps of the others than the state after are wanted, or the last alone."""
-    p, n = model.p, model.hidden
+def _forward(model: Model, h: np.ndarray, x: np.ndarray, ends: list[np.ndarray] | None = None, read: tuple[np.ndarray, np.ndarray] | None = None, keep: bool = True) -> tuple[np.ndarray, ...]:
+    """States of a window: before, after, gates and the inner part of the candidate, each steps x features x streams, so that a gate of all streams is one block of memory; after has a last feature of 1. x: steps x streams; ends: streams that begin anew at each step; read: of _read, where it is at hand; keep: whether all steps of the others than the state after are wanted, or the last alone."""
+    n = model.hidden
     steps, streams = x.shape
-    read = _read(model) if read is None else read
+    read, u = _read(model) if read is None else read
     held = steps if keep else 1
-    gates, added = (np.empty((held, 3 * n, streams), h.dtype) for _ in range(2))
-    before, after = np.empty((held, n, streams), h.dtype), np.empty((steps, n, streams), h.dtype)
-    u = np.ascontiguousarray(p["U"].T)
+    gates, gh = np.empty((held, 3 * n, streams), h.dtype), np.empty((3 * n, streams), h.dtype)
+    (before, inner), after = (np.empty((held, n, streams), h.dtype) for _ in range(2)), np.empty((steps, n + 1, streams), h.dtype)
+    after[:, n] = 1
     h = h.T
-    for t in range(steps):
-        b, g = before[t % held], gates[t % held]
-        np.take(read, x[t], axis=1, out=g, mode="clip")  # no input is beyond it; without a mode the result is copied
-        b[:] = h
-        if ends is not None and len(ends[t]):
-            b[:, ends[t]] = 0
-        gh = np.matmul(u, b, out=added[t % held])
-        zr, c = g[: 2 * n], g[2 * n :]
-        zr += gh[: 2 * n]
-        np.negative(zr, out=zr)
-        np.exp(zr, out=zr)
-        zr += 1
-        np.reciprocal(zr, out=zr)
-        c += zr[n:] * gh[2 * n :]
-        np.tanh(c, out=c)
-        h = np.subtract(c, b, out=after[t])
-        h *= zr[:n]
-        h += b
-    return before, after, gates, added[:, 2 * n :]
-
-
-def _read(model: Model) -> np.ndarray:
-    """What each input adds to the gates, features x inputs."""
-    return np.ascontiguousarray((model.p["X"] + model.p["bg"]).T)
+    with np.errstate(over="ignore"):  # a gate whose power is infinite is shut
+        for t in range(steps):
+            b, g = before[t % held], gates[t % held]
+            np.take(read, x[t], axis=1, out=g, mode="clip")  # no input is beyond it; without a mode the result is copied
+            b[:] = h
+            if ends is not None and len(ends[t]):
+                b[:, ends[t]] = 0
+            np.matmul(u, b, out=gh)
+            zr, c = g[: 2 * n], g[2 * n :]
+            zr += gh[: 2 * n]
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            if keep:
+                inner[t] = gh[2 * n :]
+            h = after[t, :n]
+            np.multiply(zr[n:], gh[2 * n :], out=h)
+            c += h
+            c *= -2  # the tangent by a power, which costs less
+            np.exp(c, out=c)
+            c += 1
+            np.divide(2, c, out=c)
+            c -= 1
+            np.subtract(c, b, out=h)
+            h *= zr[:n]
+            h += b
+    return before, after, gates, inner
+
+
+def _read(model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """What each input adds to the gates, features x inputs, and what the state does; negative for the two gates that are sigmoids."""
+    x, n = model.p["X"], 2 * model.hidden
+    read, u = np.add(x.T, model.p["bg"][:, None], out=np.empty(x.shape[::-1], x.dtype)), np.array(model.p["U"].T, order="C")
+    for a in (read, u):
+        np.negative(a[:n], out=a[:n])
+    return read, u
 
 
 def _rows(a: np.ndarray) -> np.ndarray:
@@ -214,57 +250,78 @@ def _window(model: Model, h: np.ndarray, x: np.ndarray, cls: np.ndarray, word: n
     p, n, (streams, steps) = model.p, model.hidden, x.shape
     ends = [np.flatnonzero(new[:, t]) for t in range(steps)]
     before, after, gates, inner = _forward(model, h, x.T, ends)
-    hs = _rows(after)
     c_flat, w_flat = cls.T.ravel(), word.T.ravel()
-    count = F32(len(c_flat))
-    grad = {k: np.zeros_like(v) for k, v in p.items()}
-    d = _softmax(_scores(hs, p["A"], p["a"]))
-    d[c_flat, np.arange(len(c_flat))] -= 1
-    d /= count
-    grad["A"], grad["a"] = (d @ hs).T, d.sum(axis=1)
-    dh = d.T @ p["A"].T
+    count = h.dtype.type(len(c_flat))
+    (wa, safe_a), (wb, safe_b) = model.joined()
+    # The powers d are not made probabilities: a token's share of the sums is in its states instead, which have fewer rows.
+    total, out, d = np.zeros_like(wa), np.empty((steps, n, streams), h.dtype), np.empty((len(wa), streams), h.dtype)
+    chosen = cls.T * streams + np.arange(streams)
+    for t in range(steps):
+        _powers(np.matmul(wa, after[t], out=d), safe_a)
+        part = d.sum(axis=0)
+        d.ravel()[chosen[t]] -= part
+        part *= count
+        np.reciprocal(part, out=part)
+        total += d @ (after[t] * part).T
+        np.matmul(p["A"], d, out=out[t])
+        out[t] *= part
+    grad = {"A": total[:, :n].T, "a": total[:, n]}
     by, parts = model.framed(c_flat, w_flat)
-    own, at, back = hs[by], w_flat[by], np.empty((len(by), n), h.dtype)
-    for a, z, lo, hi in parts:
-        e = _softmax(_scores(own[a:z], p["B"][:, lo:hi], p["b"][lo:hi]))
-        e[at[a:z] - lo, np.arange(z - a)] -= 1
-        e /= count
-        grad["B"][:, lo:hi] = (e @ own[a:z]).T
-        grad["b"][lo:hi] = e.sum(axis=1)
-        np.matmul(e.T, p["B"][:, lo:hi].T, out=back[a:z])
-    dh[by] += back
-    out = np.ascontiguousarray(dh.reshape(steps, streams, n).transpose(0, 2, 1))
-    # By how much each gate's input, and what the state adds to it, takes part in the state's gradient; all steps at once.
-    z, r, c = gates[:, :n], gates[:, n : 2 * n], gates[:, 2 * n :]
-    keep = 1 - z
-    parts_of = np.empty((steps, 3, n, streams), h.dtype)
-    of_c = c * c
-    np.subtract(1, of_c, out=of_c)
-    of_c *= z
-    np.subtract(c, before, out=parts_of[:, 0])
-    parts_of[:, 0] *= z
-    parts_of[:, 0] *= keep
-    np.multiply(of_c, r, out=parts_of[:, 2])
-    np.subtract(1, r, out=parts_of[:, 1])
-    parts_of[:, 1] *= inner
-    parts_of[:, 1] *= parts_of[:, 2]
-    carry = np.zeros((n, streams), h.dtype)
+    own, back, total, share = _rows(after)[by], np.empty((len(by), n), h.dtype), np.zeros_like(wb), np.empty(len(by), h.dtype)
+    # The classes' scores stand end to end, each columns x tokens.
+    begin, long, low, wide = (np.array(k, np.int64) for k in ([a for a, *_ in parts], [z - a for a, z, _, _ in parts], [lo for *_, lo, _ in parts], [hi - lo for *_, lo, hi in parts]))
+    first = np.r_[0, np.cumsum(wide * long)]
+    of = np.repeat(np.arange(len(parts)), long)
+    e = np.empty(first[-1], h.dtype)
+    blocks = [e[i:j].reshape(hi - lo, z - a) for (a, z, lo, hi), i, j in zip(parts, first[:-1].tolist(), first[1:].tolist())]
+    for (a, z, lo, hi), block in zip(parts, blocks):
+        np.matmul(wb[lo:hi], own[a:z].T, out=block)
+    for block in [e] if safe_b else blocks:
+        _powers(block, safe_b)
+    for (a, z, lo, hi), block in zip(parts, blocks):
+        np.add.reduce(block, axis=0, out=share[a:z])
+    e[(first[:-1] - begin - low * long)[of] + w_flat[by] * long[of] + np.arange(len(by))] -= share
+    share *= count
+    np.reciprocal(share, out=share)
+    own *= share[:, None]
+    for (a, z, lo, hi), block in zip(parts, blocks):
+        np.matmul(block.T, wb[lo:hi, :n], out=back[a:z])
+        np.matmul(block, own[a:z], out=total[lo:hi])
+    grad |= {"B": total[:, :n].T, "b": total[:, n]}
+    back *= share[:, None]
+    dh = np.zeros((steps * streams, n), h.dtype)
+    dh[by] = back
+    out += dh.reshape(steps, streams, n).transpose(0, 2, 1)
+    # A step at a time, in a core's own memory: the gates give way to their gradients.
+    grad["U"] = np.zeros_like(p["U"])
+    carry, keep, of_c, of_state = (np.zeros((n, streams), h.dtype) for _ in range(4))
     for t in range(steps - 1, -1, -1):
-        dt = out[t]
+        dt, g, b = out[t], gates[t], before[t]
+        z, r, c = g[:n], g[n : 2 * n], g[2 * n :]
         dt += carry
-        parts_of[t] *= dt
-        carry = p["U"] @ parts_of[t].reshape(3 * n, streams)
-        keep[t] *= dt
-        carry += keep[t]
+        np.multiply(c, c, out=of_c)
+        np.subtract(1, of_c, out=of_c)
+        of_c *= z
+        of_c *= dt
+        np.multiply(of_c, r, out=of_state)
+        np.subtract(1, z, out=keep)
+        keep *= dt
+        c -= b
+        z *= c
+        z *= keep
+        np.subtract(1, r, out=r)
+        r *= inner[t]
+        r *= of_state
+        c[:] = of_state
+        np.matmul(p["U"], g, out=carry)
+        carry += keep
         if len(ends[t]):
             carry[:, ends[t]] = 0
-    du = parts_of.reshape(steps, 3 * n, streams)
-    grad["U"] = np.matmul(before, du.transpose(0, 2, 1)).sum(axis=0)
-    np.multiply(out, of_c, out=du[:, 2 * n :])  # the state's part of the candidate comes through the reset gate, the input's does not
-    flat = _rows(du)
-    grad["bg"] = flat.sum(axis=0)
-    _by_row(x.T.ravel(), flat, grad["X"])
-    return after[-1].T, grad
+        grad["U"] += b @ g.T
+        c[:] = of_c  # the state's part of the candidate comes through the reset gate, the input's does not
+    grad["X"] = _by_input(x.T.ravel(), gates, len(p["X"]))
+    grad["bg"] = grad["X"].sum(axis=0)  # every token has an input
+    return after[-1, :n].T, {k: np.ascontiguousarray(grad[k]) for k in p}
 
 
 def score(model: Model, inputs: np.ndarray, cls: np.ndarray, word: np.ndarray, first: np.ndarray, window: int = 32, abreast: int = 1024) -> np.ndarray:
@@ -272,7 +329,7 @@ def score(model: Model, inputs: np.ndarray, cls: np.ndarray, word: np.ndarray, f
     lengths = np.diff(first)
     out = np.zeros(len(lengths))
     order = np.argsort(-lengths, kind="stable")
-    start, read = len(model.p["X"]) - 1, _read(model)
+    start, read, joined = len(model.p["X"]) - 1, _read(model), model.joined()
     for g in range(0, len(order), abreast):
         own = order[g : g + abreast]
         size = lengths[own]
@@ -287,7 +344,9 @@ def score(model: Model, inputs: np.ndarray, cls: np.ndarray, word: np.ndarray, f
             if not t0:
                 x[0] = start
             _, after, _, _ = _forward(model, h[:n], x, read=read, keep=False)
-            h = after[-1].T
+            h = after[-1, :-1].T
             where = at[valid]
-            np.add.at(out, np.broadcast_to(own[:n], at.shape)[valid], model.log_probs(_rows(after)[valid.ravel()], cls[where], word[where]))
+            each = np.zeros(at.shape)
+            each[valid] = model.log_probs_of(_rows(after)[valid.ravel()], cls[where], word[where], joined)
+            out[own[:n]] += each.sum(axis=0)
     return out

@@ -30,6 +30,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -292,15 +293,15 @@ def encoded(rows: DataFrame, counts: DataFrame, vocab: Vocabulary) -> DataFrame:
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(width, "block")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted: dict[int, np.ndarray] = {}  # a few blocks' distinct words
+        wanted: dict[int, pa.Array] = {}  # a few blocks' distinct words
         for t in common.chunks(batches, "text", TEXT_CHUNK):
             of = t.column("block").to_numpy()
             for b in np.unique(of):
                 ws = common.words_of(t.column("text").filter(pa.array(of == b)), common.separators("space"), lower=True)
-                h = np.unique(common.byte_hashes(*common.text_bytes(ws.codes()[1])).view(np.int64))
-                wanted[int(b)] = np.union1d(wanted[int(b)], h) if int(b) in wanted else h
+                h = pa.array(common.byte_hashes(*common.text_bytes(ws.distinct())).view(np.int64))
+                wanted[int(b)] = pc.unique(pa.concat_arrays([wanted[int(b)], h]) if int(b) in wanted else h)
         for b, h in wanted.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), b, np.int32)), pa.array(h)], names=["block", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), b, np.int32)), h], names=["block", "h"])
 
     # All of dealt's columns go in, so that this and the cogroup below share one shuffle of the texts.
     wanted = dealt.mapInArrow(ask, "block int, h long")

@@ -871,3 +871,35 @@ def test_softmax_runs_over_the_columns():
     want = np.exp(s) / np.exp(s).sum(axis=0)
     assert np.allclose(gru._softmax(s.copy()), want)
     assert np.allclose(gru._log_of(s.copy(), np.arange(7) % 5), np.log(want[np.arange(7) % 5, np.arange(7)]))
+
+
+def test_safe_scores_need_no_largest(monkeypatch):
+    """Scores that stay small are raised as they are, in a window and in scoring; others go by their largest, and both say the same of a token."""
+    r = np.random.default_rng(5)
+    m = gru.Model.new(7, np.ones(4), np.ones(5), [(0, 2), (2, 5)], 3, 1)
+    cls, new = r.integers(0, 4, (2, 6)), np.zeros((2, 6), bool)
+    word = np.where(cls == 0, r.integers(0, 2, (2, 6)), np.where(cls == 1, r.integers(2, 5, (2, 6)), -1))
+    x, h = r.integers(0, 8, (2, 6)), np.zeros((2, 3), np.float32)
+    both = []
+    for safe in (60.0, 0.0):
+        monkeypatch.setattr(gru, "SAFE", safe)
+        if safe:
+            with monkeypatch.context() as without:
+                without.setattr(gru, "_softmax", None)
+                without.setattr(gru, "_log_of", None)
+                both.append((gru._window(m, h, x, cls, word, new)[1], m.log_probs(np.repeat(h, 6, 0), cls.ravel(), word.ravel())))
+        else:
+            both.append((gru._window(m, h, x, cls, word, new)[1], m.log_probs(np.repeat(h, 6, 0), cls.ravel(), word.ravel())))
+    assert all(np.allclose(both[0][0][k], both[1][0][k], atol=1e-6) for k in m.p) and np.allclose(both[0][1], both[1][1])
+    m.p["A"] *= 1e6  # far from safe
+    monkeypatch.setattr(gru, "SAFE", 60.0)
+    _, grad = gru._window(m, h, x, cls, word, new)
+    got = m.log_probs(np.ones((4, 3), np.float32), np.arange(4), np.full(4, -1))
+    assert all(np.isfinite(g).all() for g in grad.values()) and np.isfinite(got).all() and math.isclose(np.exp(got).sum(), 1, rel_tol=1e-5)
+
+
+def test_distinct_words_are_those_of_the_codes():
+    texts = pa.array(["B a\tb  A", None, "", "\u00c4 \u00e4\x85x a"])
+    ws = common.words_of(texts, common.separators("space"), lower=True)
+    assert [w.decode() for w in ws.strings().to_pylist()] == [w for t in texts.to_pylist() for w in SPACE_WORDS.findall(ascii_lower(t or ""))]
+    assert ws.distinct().to_pylist() == ws.codes()[1].to_pylist() == list(dict.fromkeys(ws.strings().to_pylist()))
